@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from tally.llm import embedding_dedup, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, warc
+from tally.llm import (
+    embedding_dedup,
+    html_extract,
+    minhash_dedup,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from tally.llm.common import table
 
 #: The tokenizer's file: a parameter of packing.
@@ -15,6 +26,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -23,6 +38,10 @@ def op3_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -39,12 +58,28 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("mix_key")
 
 
+def op9_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_embedding_dedup, op5_minhash_dedup, op6_suffix_dedup, op7_warc, op8_mixing, op10_packing)}
+    own = (
+        op1_toxicity,
+        op2_quality_rules,
+        op3_embedding_dedup,
+        op4_quality_classifier,
+        op5_minhash_dedup,
+        op6_suffix_dedup,
+        op7_warc,
+        op8_mixing,
+        op9_html_extract,
+        op10_packing,
+    )
+    return {f.__name__: f for f in own}
 
 
 OP8_SQL = """
