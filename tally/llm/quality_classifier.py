@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,21 @@ def slots(token: str) -> tuple[int, int]:
     return zlib.crc32(token.lower().encode()) % BUCKETS, zlib.crc32(b"shape " + shape.encode()) % BUCKETS
 
 
-def length_slot(n: int) -> int:
-    return zlib.crc32(b"length %d" % min(n.bit_length(), 8)) % BUCKETS
+def whole_slots(tokens: list[str]) -> tuple[int, int]:
+    """The buckets of a text's length and of how often a token repeats the one before it."""
+    stutter = 10 * sum(map(eq, tokens, tokens[1:])) // max(1, len(tokens))
+    return zlib.crc32(b"length %d" % min(len(tokens).bit_length(), 8)) % BUCKETS, zlib.crc32(b"stutter %d" % stutter) % BUCKETS
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values: shares of the text's tokens, and one bucket for its length."""
+    """Buckets and values: shares of the text's tokens, and two buckets for the whole."""
     tokens = text.split()
     found: Counter[int] = Counter()
     for token, n in Counter(tokens).items():
         for slot in slots(token):
             found[slot] += n / len(tokens)
-    found[length_slot(len(tokens))] += 1.0
+    for slot in whole_slots(tokens):
+        found[slot] += 1.0
     return np.fromiter(found.keys(), np.int32, len(found)), np.fromiter(found.values(), np.float32, len(found))
 
 
@@ -117,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", cut: int = 0, least: float = 0.5) -> DataFrame:
     """``docs`` with expected_grade, tail_probability (of a grade above cut ``cut``) and accepted (it reaches ``least``).
 
-    Null and empty texts are scored by their length alone. Clashing column names get underscores before ours.
+    Null and empty texts are scored as texts without tokens. Clashing column names get underscores before ours.
     """
     names = [fresh(docs, x) for x in ("expected_grade", "tail_probability")]
 
@@ -134,7 +138,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", cut: int = 0, l
             for token in set(tokens).difference(kept):
                 one, two = slots(token)
                 kept[token] = float(model.weights[one] + model.weights[two])
-            scores.append((sum(map(kept.__getitem__, tokens)) / len(tokens) if tokens else 0.0) + float(model.weights[length_slot(len(tokens))]))
+            of_tokens = sum(map(kept.__getitem__, tokens)) / len(tokens) if tokens else 0.0
+            scores.append(of_tokens + sum(float(model.weights[slot]) for slot in whole_slots(tokens)))
         tails = model.tails(np.array(scores, float))
         return pd.DataFrame({"expected": model.low + tails.sum(axis=1), "tail": tails[:, min(cut, tails.shape[1] - 1)]})
 

@@ -20,10 +20,11 @@ SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 WINDOW = 8
 
-#: Measure -> (quantile, slack): a document fails above the group's quantile plus the slack. The slack keeps documents that
-#: hardly differ from their group, and the floor of a group whose quantile is 0.
-UPPER = {"symbol_ratio": (0.75, 0.10), "dup_line_ratio": (0.75, 0.30), "repeat_ratio": (0.75, 0.15), "mean_word": (0.75, 4.0)}
-LOWER = {"mean_word": (0.25, 3.0)}
+#: Measure -> slack: a document fails beyond the group's outer quartile by more than SPREAD quartile ranges and the slack.
+#: The slack is for groups whose documents are all alike, so that hardly differing from one's group is no failure.
+UPPER = {"symbol_ratio": 0.10, "dup_lines_per_100": 5.0, "repeat_ratio": 0.25, "mean_word": 4.0}
+LOWER = {"mean_word": 3.0}
+SPREAD = 3.0
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -76,8 +77,10 @@ def thresholds(measured: DataFrame, names: list[str], k: int = 200) -> DataFrame
     """Per group, the limits from KLL sketches of the documents that pass the base rules."""
     wanted = sorted({*UPPER, *LOWER})
     sketches = measured.filter(~F.col("base_failed")).groupBy(*names).agg(*(F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in wanted))
-    high = [(F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)) + slack).alias(f"high_{m}") for m, (q, slack) in UPPER.items()]
-    low = [(F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)) - slack).alias(f"low_{m}") for m, (q, slack) in LOWER.items()]
+    quartile = lambda m, q: F.kll_sketch_get_quantile_double(F.col(m), F.lit(q))
+    spread = lambda m: SPREAD * (quartile(m, 0.75) - quartile(m, 0.25))
+    high = [(quartile(m, 0.75) + spread(m) + slack).alias(f"high_{m}") for m, slack in UPPER.items()]
+    low = [(quartile(m, 0.25) - spread(m) - slack).alias(f"low_{m}") for m, slack in LOWER.items()]
     return sketches.select(*names, *high, *low)
 
 
@@ -94,7 +97,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
         measures(docs, id_col, text_col, keys)
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
         .withColumn("symbol_ratio", F.col("n_symbols") / n)
-        .withColumn("dup_line_ratio", F.col("n_dup_lines") / n * 20)
+        .withColumn("dup_lines_per_100", F.col("n_dup_lines") * 100 / n)
         .withColumn("repeat_ratio", F.col("n_repeat_words") / n)
         .withColumn("mean_word", F.col("word_chars") / n),
         "measures",

@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over a few dense features, calibrated by isotonic regression.
 
-The labelled documents that may be learnt from are dealt into three parts: one yields the lexicon (words and word
-beginnings that toxic documents hold far more often), one the trees, one the calibration, so that no part judges itself.
+The lexicon (words and word beginnings that toxic documents hold far more often) comes from the labelled documents that
+may be learnt from. These are dealt into folds, and each fold is measured with the lexicon of the others, so that no
+document vouches for its own words; the last fold calibrates trees that the others grew.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,10 @@ from tally.llm.common import is_held_out, materialize
 FIT_ROWS = 12_000
 #: Terms in the lexicon at most, those with the highest log-odds.
 LEXICON = 5_000
+FOLDS = 4
 #: Letters of the word beginnings that the lexicon may hold.
 STEMS = (4, 5)
-LEAST_ODDS, LEAST_DOCS = 2.5, 3
+LEAST_ODDS, LEAST_DOCS = 2.5, 3  # LEAST_DOCS: toxic documents that hold a term, more where many documents make chance finds likely
 NEAR = 10  # words between a term and a second-person pronoun
 WORDS_KEPT = 500_000
 # fixed values: second-person pronouns of the four languages
@@ -42,24 +45,38 @@ def terms(text: str) -> set[str]:
     return words | {f"{w[:k]}-" for w in words for k in STEMS if len(w) > k}
 
 
-def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Term -> smoothed log-odds of toxic over other documents; ``labelled``: (text, toxic)."""
+def learn_lexicons(labelled: DataFrame) -> dict[int | None, dict[str, float]]:
+    """Term -> smoothed log-odds of toxic over other documents, from all rows (None) and without each fold.
+
+    ``labelled``: (text, toxic, fold).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic: Counter[str] = Counter()
-            other: Counter[str] = Counter()
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                (toxic if label else other).update(terms(text or ""))
-            # what no toxic document of this batch holds still counts against a term
-            each = list(toxic.keys() | other.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(each, pa.string()), pa.array([toxic[t] for t in each], pa.int64()), pa.array([other[t] for t in each], pa.int64())], ["term", "toxic", "other"])
-
-    sizes = labelled.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
-    counts = labelled.select("text", "toxic").mapInArrow(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    odds = F.log((F.col("toxic") + 0.5) / (sizes[0] + 1)) - F.log((F.col("other") + 0.5) / (sizes[1] + 1))
-    best = counts.filter(F.col("toxic") >= LEAST_DOCS).select("term", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "term").limit(LEXICON)
-    return {r["term"]: r["odds"] for r in best.collect()}
+            counts: Counter[tuple[str, int, int]] = Counter()
+            for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+                counts.update((t, fold, label) for t in terms(text or ""))
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], ["term", "fold", "toxic", "n"])
+
+    label, fold = F.col("toxic") == 1, F.col("fold")
+    sizes = labelled.groupBy().agg(*(F.count_if((fold == f) & (label if t else ~label)).alias(f"{t}_{f}") for f in range(FOLDS) for t in (0, 1))).first()
+    counts = labelled.select("text", "toxic", "fold").mapInArrow(run, "term string, fold int, toxic int, n long")
+    cells = [F.coalesce(F.sum(F.when((fold == f) & (F.col("toxic") == t), F.col("n"))), F.lit(0)).alias(f"{t}_{f}") for f in range(FOLDS) for t in (0, 1)]
+    both = [sum(F.col(f"{t}_{f}") for f in range(FOLDS)) for t in (0, 1)]
+    all_sizes = [sum(sizes[f"{t}_{f}"] for f in range(FOLDS)) for t in (0, 1)]
+    n_all = max(2, sum(all_sizes))
+    least = max(LEAST_DOCS, math.ceil(math.log(10 * n_all) / -math.log(min(0.5, max(all_sizes[1], 1) / n_all))))
+    odds = F.log((both[1] + 0.5) / (all_sizes[1] + 1)) - F.log((both[0] + 0.5) / (all_sizes[0] + 1))
+    best = counts.groupBy("term").agg(*cells).filter(both[1] >= least).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "term").limit(LEXICON).collect()
+    out: dict[int | None, dict[str, float]] = {}
+    for left_out in (None, *range(FOLDS)):
+        used = [f for f in range(FOLDS) if f != left_out]
+        n = [sum(sizes[f"{t}_{f}"] for f in used) for t in (0, 1)]
+        own = ((r["term"], [sum(r[f"{t}_{f}"] for f in used) for t in (0, 1)]) for r in best)
+        scored = ((term, math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))) for term, c in own if c[1] >= LEAST_DOCS)
+        out[left_out] = {term: x for term, x in scored if x >= LEAST_ODDS}
+    return out
 
 
 class Scanner:
@@ -165,25 +182,24 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "sample")
-    part = F.crc32(F.col("doc_id").cast("string"))
-    # remainders 0 and 3 of four give the lexicon; of remainder 1, two thirds the trees and a third the calibration
-    role = F.when(part % 4 != 1, "lexicon").when(F.floor(part / 4) % 3 == 0, "calibration").otherwise("trees")
-    rows = materialize(plain.join(sample, "doc_id").withColumn("role", role), "labelled")
-    sizes = {(r["role"], r["toxic"]): r["n"] for r in rows.groupBy("role", "toxic").agg(F.count("*").alias("n")).collect()}
+    fold = (F.floor(F.crc32(F.col("doc_id").cast("string")) / 4) % FOLDS).cast("int")
+    rows = materialize(plain.join(sample, "doc_id").withColumn("fold", fold), "labelled")
+    sizes = {(r["last"], r["toxic"]): r["n"] for r in rows.groupBy((F.col("fold") == FOLDS - 1).alias("last"), "toxic").agg(F.count("*").alias("n")).collect()}
     classes = {toxic for _, toxic in sizes}
     held = is_held_out("doc_id")
     if len(classes) < 2:
         constant = float(max(classes, default=0))
         return plain.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.lit(constant).alias("score"), F.lit(int(constant >= threshold)).alias("predicted"))
-    lexicon = learn_lexicon(rows.filter("role = 'lexicon'"))
-    seen = materialize(measured(rows, lexicon), "features")
-    for_trees = seen.filter("role = 'trees'") if all(sizes.get(("trees", c), 0) for c in (0, 1)) else seen
-    put, model = fit_trees(for_trees)
-    for_curve = seen.filter("role = 'calibration'") if all(sizes.get(("calibration", c), 0) >= 20 for c in (0, 1)) else seen.filter("role <> 'lexicon'")
+    lexicons = learn_lexicons(rows)
+    seen = reduce(DataFrame.unionByName, (measured(rows.filter(F.col("fold") == f), lexicons[f]) for f in range(FOLDS)))
+    seen = materialize(seen, "features")
+    split = all(sizes.get((last, c), 0) >= 5 for last in (True, False) for c in (0, 1))
+    put, model = fit_trees(seen.filter(F.col("fold") < FOLDS - 1) if split else seen)
+    for_curve = seen.filter(F.col("fold") == FOLDS - 1) if split else seen
     from pyspark.ml.regression import IsotonicRegression
 
     curve = IsotonicRegression(featuresCol="raw", labelCol="toxic").fit(raw_score(put, model, for_curve).select(F.col("toxic").cast("double").alias("toxic"), "raw"))
     boundaries, predictions = list(curve.boundaries), list(curve.predictions)
-    scored = raw_score(put, model, measured(plain, lexicon))
+    scored = raw_score(put, model, measured(plain, lexicons[None]))
     score = F.least(F.greatest(calibrated(F.col("raw"), boundaries, predictions), F.lit(0.0)), F.lit(1.0))
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
