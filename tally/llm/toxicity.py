@@ -26,8 +26,8 @@ FIT_ROWS = 12_000
 LEXICON = 5_000
 FOLDS = 4
 #: Letters of the word beginnings that the lexicon may hold.
-STEMS = (4, 5)
-LEAST_ODDS, LEAST_DOCS = 2.5, 3  # LEAST_DOCS: toxic documents that hold a term, more where many documents make chance finds likely
+STEMS = (4, 5, 6, 7)
+LEAST_ODDS, LEAST_DOCS, LEAST_Z = 1.5, 3, 4.5  # LEAST_DOCS: toxic documents that hold a term, more where many documents make chance finds likely
 NEAR = 10  # words between a term and a second-person pronoun
 WORDS_KEPT = 500_000
 # fixed values: second-person pronouns of the four languages
@@ -67,8 +67,9 @@ def learn_lexicons(labelled: DataFrame) -> dict[int | None, dict[str, float]]:
     all_sizes = [sum(sizes[f"{t}_{f}"] for f in range(FOLDS)) for t in (0, 1)]
     n_all = max(2, sum(all_sizes))
     least = max(LEAST_DOCS, math.ceil(math.log(10 * n_all) / -math.log(min(0.5, max(all_sizes[1], 1) / n_all))))
+    expected = (both[0] + both[1]) * (all_sizes[1] / n_all)
     odds = F.log((both[1] + 0.5) / (all_sizes[1] + 1)) - F.log((both[0] + 0.5) / (all_sizes[0] + 1))
-    best = counts.groupBy("term").agg(*cells).filter(both[1] >= least).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "term").limit(LEXICON).collect()
+    best = counts.groupBy("term").agg(*cells).filter((both[1] >= least) & (both[1] - expected >= LEAST_Z * F.sqrt(expected))).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "term").limit(LEXICON).collect()
     out: dict[int | None, dict[str, float]] = {}
     for left_out in (None, *range(FOLDS)):
         used = [f for f in range(FOLDS) if f != left_out]
@@ -85,14 +86,14 @@ class Scanner:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.kept = lexicon, {}
 
-    def kind(self, word: str) -> int:
-        """1 a word of the lexicon, 2 a known beginning, 4 a second-person pronoun."""
+    def kind(self, word: str) -> tuple[float, float, bool]:
+        """Log-odds of the word, of its best known beginning (0: none), and whether it is a second-person pronoun."""
         found = self.kept.get(word)
         if found is None:
             if len(self.kept) > WORDS_KEPT:
                 self.kept.clear()
-            stem = any(len(word) > k and f"{word[:k]}-" in self.lexicon for k in STEMS)
-            found = self.kept[word] = (word in self.lexicon) + 2 * stem + 4 * (word in SECOND_PERSON)
+            stem = max((self.lexicon.get(f"{word[:k]}-", 0.0) for k in STEMS if len(word) > k), default=0.0)
+            found = self.kept[word] = (self.lexicon.get(word, 0.0), stem, word in SECOND_PERSON)
         return found
 
     def __call__(self, text: str) -> list[float]:
@@ -100,11 +101,17 @@ class Scanner:
         words = WORD.findall(lower)
         n = max(1, len(words))
         counts = Counter(words)
-        hits = {w: c for w, c in counts.items() if self.kind(w) & 3}
-        you = sum(c for w, c in counts.items() if self.kind(w) & 4)
+        hits, weighed, stems, you = {}, 0.0, 0.0, 0
+        for word, count in counts.items():
+            odds, stem, second = self.kind(word)
+            if odds or stem:
+                hits[word] = count
+                weighed += odds * count
+                stems += stem * count
+            you += second * count
         near = 0
         if hits and you:
-            places = np.array([i for i, w in enumerate(words) if self.kind(w) & 4])
+            places = np.array([i for i, w in enumerate(words) if self.kind(w)[2]])
             at = np.array([i for i, w in enumerate(words) if w in hits])
             after = np.searchsorted(places, at)
             gap = np.minimum(np.abs(places[np.minimum(after, len(places) - 1)] - at), np.abs(at - places[np.maximum(after - 1, 0)]))
@@ -114,10 +121,10 @@ class Scanner:
         capitals = int(raw[65:91].sum())
         shouted = sum(1 for w in WORD.findall(text) if len(w) > 2 and w.isupper()) if capitals > 3 else 0
         odd = DISGUISED.findall(lower)
-        revealed = sum(1 for w in odd if self.kind(w.translate(DISGUISE)) & 3)
+        revealed = sum(1 for w in odd if any(self.kind(w.translate(DISGUISE))[:2]))
         return [
-            sum(c for w, c in hits.items() if self.kind(w) & 1) / n,
-            sum(c for w, c in hits.items() if self.kind(w) & 2) / n,
+            weighed / n,
+            stems / n,
             len(hits) / max(1, len(counts)),
             float(max(hits.values(), default=0)),
             near / n,
