@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import NULL_ID, materialize, mix64
+from tally.llm.common import NULL_ID, fresh, materialize, mix64
 
 ANCHOR = 40
 #: Bytes that a task sorts through at once; longer texts go in overlapping segments.
-SEGMENT = 2_000_000
+SEGMENT = 500_000
 #: Reaches of one anchor that a single task compares; groups beyond it are sorted by Spark, window by window.
 GROUP = 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -100,18 +100,15 @@ def segments(raw: bytes, length: int) -> Iterator[tuple[int, bytes, int, int]]:
         yield base, raw[base : at + SEGMENT + 2 * length], at - base, min(at + SEGMENT, len(raw)) - base
 
 
-def find_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """(gram, reach, doc, tag, pos, before, after) of each anchor of ``texts`` (doc, tag, z)."""
+def find_anchors(rows: DataFrame, length: int) -> DataFrame:
+    """(gram, reach, doc, tag, pos, before, after) of each anchor of ``rows`` (doc, tag, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             docs, tags = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("tag").to_numpy(zero_copy_only=False)
             pending, size = [], 0
-            for row, z in enumerate(batch.column("z")):
-                raw = expand.decompress(z.as_buffer())
+            for row, text in enumerate(batch.column("text")):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if len(raw) < length:
                     continue
                 for piece in segments(raw, length):
@@ -139,7 +136,7 @@ def find_anchors(texts: DataFrame, length: int) -> DataFrame:
             ["gram", "reach", "doc", "tag", "pos", "before", "after"],
         )
 
-    return texts.mapInArrow(run, "gram long, reach long, doc long, tag int, pos long, before short, after short")
+    return rows.select("doc", "tag", "text").mapInArrow(run, "gram long, reach long, doc long, tag int, pos long, before short, after short")
 
 
 def fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -154,13 +151,15 @@ def fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             flat, counts = batch.column("at").flatten(), pa.compute.list_value_length(batch.column("at")).to_numpy(zero_copy_only=False)
             field = {x.name: flat.field(i) for i, x in enumerate(flat.type)}
             pos, before, after = (field[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("pos", "before", "after"))
-            cuts, at = [], 0
-            for z, n in zip(batch.column("z"), counts.tolist(), strict=True):
-                raw = expand.decompress(z.as_buffer())
-                for i in range(at, at + n):
-                    cuts.append(raw[pos[i] - before[i] : pos[i] + after[i]])
+            cuts, at, done = [], 0, 0
+            for row, n in enumerate(counts.tolist()):
+                raw = expand.decompress(batch.column("z")[row].as_buffer())
+                cuts += [raw[pos[i] - before[i] : pos[i] + after[i]] for i in range(at, at + n)]
                 at += n
-            yield pa.RecordBatch.from_arrays([field["gram"], field["reach"], field["n"], field["size"], field["before"], pa.array(cuts, pa.binary())], ["gram", "reach", "n", "size", "before", "bytes"])
+                if len(cuts) >= 5_000 or row == len(counts) - 1:
+                    part = slice(done, at)
+                    yield pa.RecordBatch.from_arrays([*(field[x][part] for x in ("gram", "reach", "n", "size", "before")), pa.array(cuts, pa.binary())], ["gram", "reach", "n", "size", "before", "bytes"])
+                    cuts, done = [], at
 
     return texts.join(lists, ["doc", "tag"]).select("z", "at").mapInArrow(run, "gram long, reach long, n long, size long, before short, bytes binary")
 
@@ -244,32 +243,38 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def compressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row id, doc, tag, z): texts as zstd, which halves what the joins by document move; (doc, tag) names id and text."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc, tag, text): (doc, tag) names id and text also where ids are null or repeat."""
+    ids, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(ids.alias("id"), F.coalesce(ids, F.lit(NULL_ID)).alias("doc"), F.hash(text).alias("tag"), text.alias("text"))
+
+
+def compressed(rows: DataFrame) -> DataFrame:
+    """(id, doc, tag, z): texts as zstd, which halves what the joins by document move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            z = [squeeze.compress(x.as_buffer() if x.is_valid else b"") for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc"), batch.column("tag"), pa.array(z, pa.binary())], ["id", "doc", "tag", "z"])
+            for low in range(0, batch.num_rows, 1_000):
+                some = batch.slice(low, 1_000)
+                z = [squeeze.compress(x.as_buffer() if x.is_valid else b"") for x in some.column("text")]
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("doc"), some.column("tag"), pa.array(z, pa.binary())], ["id", "doc", "tag", "z"])
 
-    ids = F.col(id_col).cast("long")
-    plain = docs.select(ids.alias("id"), F.coalesce(ids, F.lit(NULL_ID)).alias("doc"), F.hash(F.col(text_col).cast("string")).alias("tag"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "id long, doc long, tag int, z binary")
+    return rows.select("id", "doc", "tag", "text").mapInArrow(run, "id long, doc long, tag int, z binary")
 
 
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """(doc, tag, spans): for texts (doc, tag, z) that hold repeated windows, the stretches that these cover, unmerged."""
-    found = find_anchors(texts, length)
+def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
+    """(doc, tag, spans): for the ``rows`` of keyed() that hold repeated windows, the stretches that these cover, unmerged."""
+    found = find_anchors(rows, length)
     grams = found.groupBy("gram").agg(F.count("*").alias("c"), F.min("reach").alias("least"), F.max("reach").alias("most")).filter("c > 1")
     grams = grams.select("gram", (F.col("least") != F.col("most")).alias("mixed"))
     hot = materialize(found.join(grams, "gram"), "anchors")
     classes = hot.filter("mixed").groupBy("gram", "reach").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "pos", "before", "after")).alias("x")).select("gram", "reach", "n", "x.*")
     classes = materialize(classes, "reaches")
     sized = classes.join(classes.groupBy("gram").agg(F.count("*").alias("size")), "gram")
-    reaches = materialize(fetch(texts, sized), "bytes")
+    reaches = materialize(fetch(compressed(rows), sized), "bytes")
     sorted_out = sort_groups(reaches.filter(F.col("size") <= GROUP), length).unionByName(sort_wide(reaches.filter(F.col("size") > GROUP), length))
     stretches = sorted_out.groupBy("gram", "reach").agg(F.collect_list(F.struct("start", "end")).alias("around"))
     whole = classes.filter("n > 1").select("gram", "reach", F.lit(True).alias("whole"))
@@ -332,8 +337,8 @@ def dedup_digest(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     the input. Null and short texts lose nothing; rows that repeat an id or a text are documents of their own; a null id
     stays null; an empty table gives no rows; other columns are ignored.
     """
-    texts = compressed(docs, id_col, text_col)
-    joined = texts.join(repeated_spans(texts.select("doc", "tag", "z"), length), ["doc", "tag"], "left").select("id", "z", "spans")
+    rows = keyed(docs, id_col, text_col)
+    joined = compressed(rows).join(repeated_spans(rows, length), ["doc", "tag"], "left").select("id", "z", "spans")
     return joined.mapInArrow(_apply("long long long string", ["n_bytes", "n_removed", "n_spans", "kept_sha256"], digest_row), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", "doc_id")
 
 
@@ -342,14 +347,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     Cuts keep characters whole. Rows that share id and text share the result; null texts stay null.
     """
-    texts = compressed(docs, id_col, text_col)
-    spans = repeated_spans(texts.select("doc", "tag", "z"), length)
-    own = {"doc": "__doc", "tag": "__tag", "spans": "__spans"}
-    for old, new in own.items():
-        if old in spans.columns:
-            spans = spans.withColumnRenamed(old, new)
-    keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("__tag", F.hash(F.col(text_col).cast("string")))
-    joined = keyed.join(spans, ["__doc", "__tag"], "left").drop("__doc", "__tag")
+    rows = keyed(docs, id_col, text_col)
+    doc, tag, found = (fresh(docs, x) for x in ("doc", "tag", "spans"))
+    spans = repeated_spans(rows, length).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(found))
+    named = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(tag, F.hash(F.col(text_col).cast("string")))
+    joined = named.join(spans, [doc, tag], "left")
 
     @F.pandas_udf("string")
     def without(text, spans):
@@ -357,8 +359,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
         return pd.Series([t if t is None or s is None else text_row(t.encode(), merged([(x["start"], x["end"]) for x in s]))[0] for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    touched = F.col("__spans").isNotNull()
-    out = joined.withColumn(text_col, F.when(touched, without(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
+    touched = F.col(found).isNotNull()
+    out = joined.withColumn(text_col, F.when(touched, without(F.col(text_col), F.col(found))).otherwise(F.col(text_col)))
     if size_col and size_col in docs.columns:
         out = out.withColumn(size_col, F.when(touched, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
     return out.select(*docs.columns)
