@@ -128,6 +128,8 @@ def records_in(source: Source, start: int, end: int) -> Iterator[bytes]:
     while at < end:
         if not in_step:
             piece = source.peek(at, min(65536, end - at + 2))
+            if not piece:  # the file ends before the range
+                return
             hit = piece.find(MAGIC)
             if hit < 0:
                 at += max(1, len(piece) - 2)
