@@ -1,15 +1,97 @@
-"""The registry of ledger queries."""
+"""The registry of ledger queries: operators over the ledger tables, amounts as doubles, months as yyyy-MM."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from tally.functions import text
+from tally.operators import checks, dashboards, rules
+from tally.plans.oracle import SQL
+from tally.sources import ledger
 
 
-def oracle_sql() -> dict:
-    return {}
+def plain(df: DataFrame) -> DataFrame:
+    """Decimals to doubles and first-of-month dates to text, so that results compare across engines."""
+    out = {c: F.col(c).cast("double") for c, kind in df.dtypes if kind.startswith("decimal")}
+    out |= {c: F.date_format(c, "yyyy-MM") for c in ("month", "last_month") if c in df.columns}
+    out |= {c: F.date_format(c, "yyyy-MM-dd") for c, kind in df.dtypes if kind == "date" and c not in out}
+    out |= {c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int"}
+    return df.withColumns(out) if out else df
+
+
+def _on(operator, *tables):
+    return lambda spark, sf_dir: plain(operator(*(t(spark, sf_dir) for t in tables)))
+
+
+def _balance(operator):
+    return lambda spark, sf_dir: plain(operator(checks.month_balance(ledger.account_month(spark, sf_dir))))
+
+
+def text_functions(spark, sf_dir):
+    """F1, F2, F4, F5, F6, F7 over the expense entries."""
+    rows = ledger.expense(spark, sf_dir)
+    d = F.col("description")
+    part = text.installment(d)
+    return plain(rows.select("code", text.norm_text(d).alias("norm"), text.invoice_no(d).alias("invoice_no"), part["n"].alias("n"), part["total"].alias("total"), text.base_description(d).alias("base"), text.format_brl(F.col("amount")).alias("brl")).distinct())
+
+
+def parse_round_trip(spark, sf_dir):
+    """amounts written in the Brazilian format and read back, summed per building."""
+    rows = ledger.expense(spark, sf_dir).select("condo_id", text.parse_brl(text.format_brl(F.col("amount"))).alias("amount"))
+    return plain(rows.groupBy("condo_id").agg(F.sum("amount").alias("total"), F.count("amount").alias("n")))
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Findings of the main rules in one set."""
+    expense, account = ledger.expense(spark, sf_dir), ledger.account_month(spark, sf_dir)
+    parts = [
+        rules.finding(rules.negative_income(ledger.income(spark, sf_dir)), "negative_income", "R1", F.col("description"), F.col("total")),
+        rules.finding(rules.category_variation(expense), "category_variation", "R4", F.col("category"), F.col("total")),
+        rules.finding(rules.negative_streak(account), "negative_balance", "R7", F.col("account"), F.col("closing")),
+        rules.finding(rules.balance_continuity(account), "balance_continuity", "R9", F.col("account"), F.col("gap")),
+        rules.finding(checks.duplicate_codes(expense), "duplicate", "A7", F.col("code"), F.col("amount")),
+    ]
+    return plain(rules.all_findings(parts))
+
+
+def queries() -> dict:
+    e, i, a = ledger.expense, ledger.income, ledger.account_month
+    return {
+        "text_functions": text_functions,
+        "f3_parse_brl": parse_round_trip,
+        "r1_negative_income": _on(rules.negative_income, i),
+        "r4_category_variation": _on(rules.category_variation, e),
+        "r5_repeated_invoice": _on(rules.repeated_invoice, e),
+        "r6_collection_rate": _on(rules.collection_rate, ledger.issuance),
+        "r7_negative_streak": _on(rules.negative_streak, a),
+        "r9_balance_continuity": _on(rules.balance_continuity, a),
+        "r10_inter_account_movement": _on(rules.inter_account_movement, a),
+        "r11_disproportionate_yield": _on(rules.disproportionate_yield, a),
+        "r15_installments_same_month": _on(rules.installments_same_month, e),
+        "r17_new_category": _on(rules.new_category, e),
+        "r20_late_payment": _on(rules.late_payment, e),
+        "g2_round_amount": _on(rules.round_amount, e),
+        "g3_missing_recurrent": _on(rules.missing_recurrent, e),
+        "g8_duplicate_in_month": _on(rules.duplicate_in_month, e),
+        "g10_account_deficit": _on(rules.account_deficit, a),
+        "a1_extraction_check": _on(checks.extraction_check, e, a),
+        "a6_account_identity": _on(checks.account_identity, a),
+        "a7_duplicate_codes": _on(checks.duplicate_codes, e),
+        "a16_negative_expense": _on(checks.negative_expense, e),
+        "a18_category_rollup": _on(checks.category_rollup, e),
+        "a19_month_balance": _on(checks.month_balance, a),
+        "j1_pair_by_code": _on(checks.pair_by_code, e, ledger.evidence),
+        "j4_many_to_one": _on(checks.many_to_one, e, ledger.evidence),
+        "d2_period_kpis": _balance(dashboards.period_kpis),
+        "d4_budget_tracking": _on(dashboards.budget_tracking, ledger.issuance),
+        "d6_account_buckets": _on(dashboards.account_buckets, a),
+        "d9_balance_evolution": _balance(dashboards.balance_evolution),
+        "d10_snapshot_latest": _balance(dashboards.snapshot_latest),
+        "t2_last_import": _on(dashboards.last_import, ledger.imports),
+        "u1_all_findings": flagship,
+    }
+
+
+def oracle_sql() -> dict:
+    return dict(SQL)
