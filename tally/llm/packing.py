@@ -7,7 +7,9 @@ more than its own rows, and cuts at window borders. A document that crosses a bo
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +21,42 @@ from pyspark.sql import functions as F
 
 from tally.llm.common import materialize
 
-#: Words whose ids a task keeps at hand; the memory starts anew when it is full.
-WORDS_KEPT = 400_000
+#: Words whose ids a worker keeps at hand, also from task to task; the memory starts anew when it is full.
+WORDS_KEPT = 800_000
+# fixed value: how byte-level BPE cuts a text into pieces
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranked(path: str):
+    """The tokenizer of a byte-level BPE file as an encoder by ranks, which takes short words several times faster.
+
+    None unless the file is of that kind and its ids rise with its merges, so that both give the same ids.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec.get("normalizer"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merges]
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    if any(a >= b for a, b in zip(ids, ids[1:], strict=False)) or min(ids) < 256:
+        return None
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
+_ENCODERS: dict[str, "ChunkEncoder"] = {}
+
+
+def encoder_for(path: str) -> "ChunkEncoder":
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
 
 
 class ChunkEncoder:
@@ -37,6 +73,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
+        self.ranked = ranked(path)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -59,9 +96,13 @@ class ChunkEncoder:
         if len(kept) > WORDS_KEPT:
             kept.clear()
         new = list({c for parts in cut if parts for c in parts if c not in kept})
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            kept.update(zip(some, self._whole(some), strict=True))
+        if self.ranked:
+            one = self.ranked.encode_ordinary
+            kept.update((c, array("H", one(c)).tobytes()) for c in new)
+        else:
+            for at in range(0, len(new), 50_000):
+                some = new[at : at + 50_000]
+                kept.update(zip(some, self._whole(some), strict=True))
         return [self._whole([t])[0] if parts is None else b"".join(map(kept.__getitem__, parts)) for t, parts in zip(texts, cut, strict=True)]
 
 
@@ -69,7 +110,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """(doc_id, part, start_in_part, n_tokens, ids): the ids of each document with ``end_id`` after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, encoder = TaskContext.get().partitionId(), 0, ChunkEncoder(tokenizer)
+        part, at, encoder = TaskContext.get().partitionId(), 0, encoder_for(tokenizer)
         end = np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
             ids_col, texts = batch.column(0), batch.column(1)
