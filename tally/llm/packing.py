@@ -8,6 +8,7 @@ more than its own rows, and cuts at window borders. A document that crosses a bo
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from tally.llm.common import materialize
 
 #: Words whose ids a worker keeps at hand, also from task to task; the memory starts anew when it is full.
 WORDS_KEPT = 800_000
+#: A space that more white space or the end follows: no border between chunks.
+AMBIGUOUS = re.compile(r" (?:\s|\Z)")
 # fixed value: how byte-level BPE cuts a text into pieces
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -81,13 +84,10 @@ class ChunkEncoder:
     @staticmethod
     def chunks(text: str) -> list[str] | None:
         """None where the text can't be cut at its single spaces."""
-        parts = text.split(" ")
-        if "" in parts[1:]:
+        if AMBIGUOUS.search(text):
             return None
-        for part in parts[1:]:
-            if part[0].isspace():
-                return None
-        return parts[:1] + [" " + x for x in parts[1:]] if parts[0] else [" " + x for x in parts[1:]]
+        head, *rest = text.split(" ")
+        return [head] * bool(head) + [" " + x for x in rest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
