@@ -3,10 +3,10 @@
 Suffixes are ordered only as deep as the threshold, in passes from the most significant digit on, and a group of one leaves
 the sort at once:
 
-1. The first digit is an anchor of ``ANCHOR`` bytes. Anchors are the positions whose hash is the least of some window's:
-   the choice depends on the window's bytes alone, so equal windows hold anchors at equal places, and about one position in
-   eighty stands for all windows around it.
-2. The next digit is the anchor's whole reach, the bytes that any window around it can cover. Equal reaches are repeated
+1. The first digit is an anchor of ``ANCHOR`` bytes: of each window, the leftmost position whose hash is the least. The
+   choice depends on the window's bytes alone, so equal windows have their anchor at the same place, and about one position
+   in eighty stands for the windows around it.
+2. The next digit is the anchor's whole reach, the bytes of the windows that it stands for. Equal reaches are repeated
    windows throughout, and stay in the sort as one member.
 3. Only reaches that share an anchor and differ are sorted to the full depth: window by window, equal groups of two or more
    are exactly the repeated windows.
@@ -62,32 +62,42 @@ class Prefix:
         return mix64((self.sums[length:] - self.sums[:n]) * Prefix.powers[1][:n])
 
 
-def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """The least (or most) of each run of ``width`` values."""
-    take = np.minimum if least else np.maximum
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of ``width`` values."""
     n, pad = len(x), -len(x) % width
-    rows = np.concatenate([x, np.full(pad, np.iinfo(x.dtype).max if least else 0, x.dtype)]).reshape(-1, width)
-    ahead = take.accumulate(rows, axis=1).ravel()
-    back = take.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return take(back[: n - width + 1], ahead[width - 1 : n])
+    rows = np.concatenate([x, np.full(pad, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, Prefix]:
-    """Positions of the anchors in texts laid end to end (``ends``: where each ends), and the hash of each anchor."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Prefix]:
+    """Of texts laid end to end (``ends``: where each ends): the anchors' positions, their hashes, and the stretch from the
+    first to the end of the last window that each stands for.
+
+    A window's anchor is the leftmost of its least grams, so each window has one, and the windows of one lie together.
+    """
     prefix = Prefix(data)
     width = length - ANCHOR + 1
     grams = prefix.every(ANCHOR)
     if len(grams) < width:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), prefix
-    value = np.maximum((grams >> np.uint64(32)).astype(np.uint32), 1)
-    low = sliding(value, width, True)
+        none = np.empty(0, np.int64)
+        return none, np.empty(0, np.uint64), none, none, prefix
+    place = np.uint64(2**32 - 1)
+    anchor = (sliding_least((grams & ~place) | np.arange(len(grams), dtype=np.uint64), width) & place).astype(np.int64)
+    inside = np.ones(len(anchor), bool)
     starts = np.concatenate([[0], ends[:-1]])
     for at in range(1, len(starts)):  # a window that crosses into the next text counts for nothing
-        low[max(starts[at - 1], starts[at] - length + 1) : starts[at]] = 0
-    padded = np.zeros(len(low) + 2 * (width - 1), np.uint32)
-    padded[width - 1 : width - 1 + len(low)] = low
-    at = np.flatnonzero(sliding(padded, width, False) == value)
-    return at, grams[at], prefix
+        inside[max(starts[at - 1], starts[at] - length + 1) : starts[at]] = False
+    window = np.flatnonzero(inside)
+    if not len(window):
+        none = np.empty(0, np.int64)
+        return none, np.empty(0, np.uint64), none, none, prefix
+    anchor = anchor[window]
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    last = np.append(first[1:], len(window)) - 1
+    at = anchor[first]
+    return at, grams[at], window[first], window[last] + length, prefix
 
 
 def segments(raw: bytes, length: int) -> Iterator[tuple[int, bytes, int, int]]:
@@ -123,13 +133,12 @@ def find_anchors(rows: DataFrame, length: int) -> DataFrame:
     def flush(pending, docs, tags) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(x[2] for x in pending), np.uint8)
         ends = np.cumsum([len(x[2]) for x in pending])
-        at, gram, prefix = anchors(data, ends, length)
+        at, gram, low, high, prefix = anchors(data, ends, length)
         piece = np.searchsorted(ends, at, "right")
         start = np.concatenate([[0], ends[:-1]])[piece]
         row, base, first, last = (np.array([x[i] for x in pending], np.int64)[piece] for i in (0, 1, 3, 4))
         own = (at - start >= first) & (at - start < last)
-        at, gram, piece, start, row, base = (x[own] for x in (at, gram, piece, start, row, base))
-        low, high = np.maximum(at - (length - ANCHOR), start), np.minimum(at + length, ends[piece])
+        at, gram, low, high, start, row, base = (x[own] for x in (at, gram, low, high, start, row, base))
         reach = mix64(prefix.hashes(low, high) + (at - low).astype(np.uint64))
         return pa.RecordBatch.from_arrays(
             [pa.array(gram.view(np.int64)), pa.array(reach.view(np.int64)), pa.array(docs[row]), pa.array(tags[row]), pa.array((at - start + base).astype(np.int64)), pa.array((at - low).astype(np.int16)), pa.array((high - at).astype(np.int16))],
