@@ -149,8 +149,8 @@ def find_anchors(rows: DataFrame, length: int) -> DataFrame:
 
 
 def fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, reach, n, size, before, bytes): the bytes of each reach, cut from one of the texts that hold it."""
-    lists = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "reach", "n", "size", "pos", "before", "after")).alias("at"))
+    """(gram, n, size, doc, tag, pos, before, bytes): the bytes of each reach, cut from one of the texts that hold it."""
+    lists = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "n", "size", F.col("doc").alias("in_doc"), F.col("tag").alias("in_tag"), "pos", "before", "after")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -167,10 +167,10 @@ def fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 at += n
                 if len(cuts) >= 5_000 or row == len(counts) - 1:
                     part = slice(done, at)
-                    yield pa.RecordBatch.from_arrays([*(field[x][part] for x in ("gram", "reach", "n", "size", "before")), pa.array(cuts, pa.binary())], ["gram", "reach", "n", "size", "before", "bytes"])
+                    yield pa.RecordBatch.from_arrays([*(field[x][part] for x in ("gram", "n", "size", "in_doc", "in_tag", "pos", "before")), pa.array(cuts, pa.binary())], ["gram", "n", "size", "doc", "tag", "pos", "before", "bytes"])
                     cuts, done = [], at
 
-    return texts.join(lists, ["doc", "tag"]).select("z", "at").mapInArrow(run, "gram long, reach long, n long, size long, before short, bytes binary")
+    return texts.join(lists, ["doc", "tag"]).select("z", "at").mapInArrow(run, "gram long, n long, size long, doc long, tag int, pos long, before short, bytes binary")
 
 
 def windows(reaches: list[bytes], before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,33 +196,34 @@ def runs(member: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def sort_groups(reaches: DataFrame, length: int) -> DataFrame:
-    """(gram, reach, start, end): stretches around the anchor whose windows occur in another reach of the same anchor."""
+    """(doc, tag, start, end): of reaches that occur once, the stretches whose windows occur in another reach of the same anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list = []
         size = 0
         for batch in batches:  # sorted by gram: a gram is whole once the next one begins
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "reach", "before", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "before", "bytes", "n", "doc", "tag", "pos")), strict=True):
                 if kept and size >= 400_000 and row[0] != kept[-1][0]:
                     yield flush(kept)
                     kept, size = [], 0
                 kept.append(row)
-                size += len(row[3])
+                size += len(row[2])
         if kept:
             yield flush(kept)
 
     def flush(kept: list) -> pa.RecordBatch:
-        gram, reach, before = (np.array([x[i] for x in kept], np.int64) for i in range(3))
-        member, offset, value = windows([x[3] for x in kept], before, length)
+        gram, before, n, doc, tag, pos = (np.array([x[i] for x in kept], np.int64) for i in (0, 1, 3, 4, 5, 6))
+        member, offset, value = windows([x[2] for x in kept], before, length)
         value = mix64(value + mix64(gram.view(np.uint64) + np.uint64(1))[member] + offset.astype(np.uint64))  # compare inside (gram, offset) only
         order = np.argsort(value, kind="stable")
         same = value[order][1:] == value[order][:-1]
         twice = np.zeros(len(value), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
+        twice &= n[member] == 1
         who, start, end = runs(member[twice], -offset[twice], length)
-        return pa.RecordBatch.from_arrays([pa.array(gram[who]), pa.array(reach[who]), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["gram", "reach", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(tag[who].astype(np.int32)), pa.array(pos[who] + start), pa.array(pos[who] + end)], ["doc", "tag", "start", "end"])
 
-    return reaches.select("gram", "reach", "before", "bytes").repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(run, "gram long, reach long, start long, end long")
+    return reaches.select("gram", "before", "bytes", "n", "doc", "tag", "pos").repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(run, "doc long, tag int, start long, end long")
 
 
 def sort_wide(reaches: DataFrame, length: int) -> DataFrame:
@@ -232,14 +233,14 @@ def sort_wide(reaches: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 2_000):
                 some = batch.slice(low, 2_000)
-                gram, reach, before = (some.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "reach", "before"))
+                gram, before, n, doc, tag, pos = (some.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "before", "n", "doc", "tag", "pos"))
                 member, offset, value = windows(some.column("bytes").to_pylist(), before.astype(np.int64), length)
                 value = mix64(value + mix64(gram.view(np.uint64) + np.uint64(1))[member] + offset.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(gram[member]), pa.array(reach[member]), pa.array((-offset).astype(np.int64)), pa.array(value.view(np.int64))], ["gram", "reach", "start", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[member]), pa.array(tag[member]), pa.array(pos[member] - offset), pa.array(n[member]), pa.array(value.view(np.int64))], ["doc", "tag", "start", "n", "value"])
 
-    each = materialize(reaches.select("gram", "reach", "before", "bytes").mapInArrow(spread, "gram long, reach long, start long, value long"), "windows")
+    each = materialize(reaches.mapInArrow(spread, "doc long, tag int, start long, n long, value long"), "windows")
     twice = each.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1").select("value")
-    return each.join(twice, "value").select("gram", "reach", "start", (F.col("start") + length).alias("end"))
+    return each.filter("n = 1").join(twice, "value", "left_semi").select("doc", "tag", "start", (F.col("start") + length).alias("end"))
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -276,22 +277,16 @@ def compressed(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(doc, tag, spans): for the ``rows`` of keyed() that hold repeated windows, the stretches that these cover, unmerged."""
-    found = find_anchors(rows, length)
-    grams = found.groupBy("gram").agg(F.count("*").alias("c"), F.min("reach").alias("least"), F.max("reach").alias("most")).filter("c > 1")
-    grams = grams.select("gram", (F.col("least") != F.col("most")).alias("mixed"))
-    hot = materialize(found.join(grams, "gram"), "anchors")
-    classes = hot.filter("mixed").groupBy("gram", "reach").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "pos", "before", "after")).alias("x")).select("gram", "reach", "n", "x.*")
-    classes = materialize(classes, "reaches")
-    sized = classes.join(classes.groupBy("gram").agg(F.count("*").alias("size")), "gram")
-    reaches = materialize(fetch(compressed(rows), sized), "bytes")
-    sorted_out = sort_groups(reaches.filter(F.col("size") <= GROUP), length).unionByName(sort_wide(reaches.filter(F.col("size") > GROUP), length))
-    stretches = sorted_out.groupBy("gram", "reach").agg(F.collect_list(F.struct("start", "end")).alias("around"))
-    whole = classes.filter("n > 1").select("gram", "reach", F.lit(True).alias("whole"))
-    verdict = stretches.join(whole, ["gram", "reach"], "full")
-    everywhere = F.array(F.struct((-F.col("before")).cast("long").alias("start"), F.col("after").cast("long").alias("end")))
-    single = hot.filter("not mixed").select("doc", "tag", "pos", everywhere.alias("around"))
-    mixed = hot.filter("mixed").join(verdict, ["gram", "reach"]).select("doc", "tag", "pos", F.when(F.col("whole"), everywhere).otherwise(F.col("around")).alias("around"))
-    spans = single.unionByName(mixed).select("doc", "tag", F.transform("around", lambda x: F.struct((F.col("pos") + x["start"]).alias("start"), (F.col("pos") + x["end"]).alias("end"))).alias("spans"))
+    found = materialize(find_anchors(rows, length), "anchors")
+    classes = found.groupBy("gram", "reach").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "pos", "before", "after")).alias("x")).select("gram", "reach", "n", "x.*")
+    grams = classes.groupBy("gram").agg(F.count("*").alias("size"), F.sum("n").alias("c")).filter("c > 1").select("gram", "size")
+    shared = materialize(classes.join(grams, "gram"), "reaches")
+    # a reach that occurs twice or more is repeated throughout; one that occurs once is its class's own row
+    whole = found.join(shared.filter("n > 1").select("gram", "reach"), ["gram", "reach"], "left_semi")
+    everywhere = F.array(F.struct((F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("end")))
+    bytes_of = materialize(fetch(compressed(rows), shared.filter("size > 1")), "bytes")
+    single = sort_groups(bytes_of.filter(F.col("size") <= GROUP), length).unionByName(sort_wide(bytes_of.filter(F.col("size") > GROUP), length))
+    spans = whole.select("doc", "tag", everywhere.alias("spans")).unionByName(single.select("doc", "tag", F.array(F.struct("start", "end")).alias("spans")))
     return spans.groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
