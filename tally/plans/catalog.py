@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions import text
-from tally.operators import checks, dashboards, rules
-from tally.plans.oracle import SQL
+from tally.operators import checks, dashboards, history, reviews, rules
+from tally.plans import oracle, oracle_more
 from tally.sources import ledger
 
+#: The month that buildings should have reached by now.
+EXPECTED = "1998-11-01"
+
 
 def plain(df: DataFrame) -> DataFrame:
     """Decimals to doubles and first-of-month dates to text, so that results compare across engines."""
@@ -55,6 +58,25 @@ def flagship(spark, sf_dir):
     return plain(rules.all_findings(parts))
 
 
+def reviewed(spark, sf_dir):
+    """Findings on income, continuity and duplicates with their waivers."""
+    found = rules.finding(rules.negative_income(ledger.income(spark, sf_dir)), "negative_income", "R1", F.col("description"), F.col("total"))
+    found = found.unionByName(rules.finding(rules.balance_continuity(ledger.account_month(spark, sf_dir)), "balance_continuity", "R9", F.col("account"), F.col("gap")))
+    found = found.unionByName(rules.finding(checks.duplicate_codes(ledger.expense(spark, sf_dir)), "duplicate", "A7", F.col("code"), F.col("amount")))
+    return reviews.apply_waivers(found, ledger.waivers(found))
+
+
+def month_card(spark, sf_dir):
+    """D3 over the month's balance and its ranked categories."""
+    return plain(reviews.month_card(checks.month_balance(ledger.account_month(spark, sf_dir)), checks.category_rollup(ledger.expense(spark, sf_dir))))
+
+
+def building_status(spark, sf_dir):
+    """D11 for November 1998."""
+    snapshot = dashboards.snapshot_latest(checks.month_balance(ledger.account_month(spark, sf_dir)))
+    return plain(reviews.building_status(snapshot, dashboards.last_import(ledger.imports(spark, sf_dir)), EXPECTED))
+
+
 def queries() -> dict:
     e, i, a = ledger.expense, ledger.income, ledger.account_month
     return {
@@ -90,8 +112,31 @@ def queries() -> dict:
         "d10_snapshot_latest": _balance(dashboards.snapshot_latest),
         "t2_last_import": _on(dashboards.last_import, ledger.imports),
         "u1_all_findings": flagship,
+        "r3_budget_change": _on(history.budget_change, ledger.issuance),
+        "r3_missing_line": _on(history.missing_line, ledger.issuance),
+        "r8_negative_balance_alert": _on(history.negative_balance_alert, a),
+        "r16_category_switch": _on(history.category_switch, e),
+        "r18_new_category_totals": _on(history.new_category_totals, e),
+        "g4b_series_stopped": _on(history.series_stopped, e),
+        "g9_reserve_usage": _on(history.reserve_usage, e),
+        "g12_delinquency_growth": _on(history.delinquency_growth, ledger.indicator),
+        "k2_top_items": _on(history.top_items, e),
+        "a5_category_closure": _on(reviews.category_closure, e, a),
+        "a8_duplicates_by_fields": _on(reviews.duplicates_by_fields, e),
+        "a21_audit_totals": _on(reviews.audit_totals, a),
+        "a28_delinquency_ratio": _on(reviews.delinquency_ratio, ledger.indicator, ledger.issuance),
+        "j9_shared_documents": _on(reviews.shared_documents, ledger.slips),
+        "j15_kth_pairing": _on(reviews.kth_pairing, e, ledger.evidence),
+        "p4_reviewed_findings": lambda spark, sf_dir: plain(reviewed(spark, sf_dir)),
+        "p10_open_items": lambda spark, sf_dir: plain(reviews.open_items(reviewed(spark, sf_dir))),
+        "d3_month_card": month_card,
+        "d5_category_by_month": _on(reviews.category_by_month, e),
+        "d7_budget_gap": _on(reviews.budget_gap, ledger.issuance),
+        "d8_delinquency_status": _on(reviews.delinquency_status, ledger.indicator),
+        "d11_building_status": building_status,
+        "q4_text_lint": _on(reviews.lint_texts, ledger.replies),
     }
 
 
 def oracle_sql() -> dict:
-    return dict(SQL)
+    return oracle.SQL | oracle_more.SQL

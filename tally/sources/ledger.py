@@ -106,3 +106,28 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "error").otherwise("warning")
     return read(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % BUILDINGS).cast("int").alias("condo_id"), status.alias("status"))
+
+
+def indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delinquent and recovered amounts of a month; some buildings don't declare the first."""
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("amount")).otherwise(0))
+    sums = income(spark, sf_dir).groupBy("condo_id", "month").agg(of("quota").alias("quota"), of("fine").alias("recovered"))
+    return sums.select("condo_id", "month", F.when(F.col("condo_id") % 10 != 0, F.col("quota")).alias("delinquent"), "recovered")
+
+
+def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expenses paid by a tax slip that several share; the slip's amount also covers expenses without evidence."""
+    keys = ["condo_id", "month", "account"]
+    rows = expense(spark, sf_dir).filter("ord % 13 = 1")
+    totals = rows.groupBy(*keys).agg(F.sum("amount").alias("document_amount"))
+    auth = F.concat_ws("-", "condo_id", F.date_format("month", "yyyy-MM"), "account")
+    return rows.filter("ord % 11 <> 0").join(totals, keys).select("condo_id", "month", "code", "amount", auth.alias("auth_id"), "document_amount")
+
+
+def waivers(findings: DataFrame) -> DataFrame:
+    """Waivers of income and continuity findings in one of ten building-months, with the findings' own totals."""
+    return findings.filter(F.col("rule").isin("R1", "R9") & ((F.col("condo_id") + month_no(F.col("month"))) % 10 == 0))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
