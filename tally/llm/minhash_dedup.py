@@ -6,7 +6,7 @@ many bits as samples differ (up to collisions), which estimates high similaritie
 Documents with equal shingle sets are one class. Candidates are taken in two turns, so that a bucket of near copies never
 yields its pairs: first each class against the least class of its buckets; then, between classes that these links have not
 joined yet, the pairs that share a bucket and whose wide sketches agree. A wide sketch is an odd sketch of the shingle
-hashes below a bound (all of them in most texts), close enough to tell a similarity of 0.75 from 0.8. Both turns are
+hashes below a bound (all of them in most texts), whose XOR bits bound the number of shingles that differ. Both turns are
 confirmed on the full sets.
 """
 
@@ -26,8 +26,8 @@ ROWS, BANDS, SKETCH_WORDS = 5, 28, 8
 SAMPLES = ROWS * BANDS
 #: Standard deviations of the estimate that a candidate may fall short of the threshold.
 SLACK = 5.0
-#: Words of a wide sketch, the shingles that one folds at most (about), and what its estimates may be short.
-WIDE_WORDS, WIDE_SHINGLES, WIDE_SLACK = 32, 4096, 0.05
+#: Words of a wide sketch, and the shingles that one folds at most (about).
+WIDE_WORDS, WIDE_SHINGLES = 32, 4096
 BLOCK = 512
 WORDS_KEPT = 1_000_000
 
@@ -85,12 +85,20 @@ def wide_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
     return halvings, np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def wide_similarity(bits: np.ndarray, one: np.ndarray, two: np.ndarray, halvings: np.ndarray) -> np.ndarray:
-    """Estimates from XOR bits and the two set sizes: the odd sketch inverts to the size of the symmetric difference."""
-    n = 64 * WIDE_WORDS
-    left = np.maximum(1 - 2 * bits / n, 1e-9)
-    apart = -n / 2 * np.log(left) * 2.0**halvings
-    return (one + two - apart) / (one + two + apart)
+def most_wide_bits(sizes: np.ndarray, halvings: np.ndarray, threshold: float) -> np.ndarray:
+    """XOR bits that two wide sketches at ``threshold`` have at most, given the sum of their set sizes.
+
+    Bits never outnumber the shingles that differ, so for whole sets that number itself is a bound without exception; large
+    sets collide, and SLACK standard deviations above the expected bits are the tighter bound.
+    """
+    n, step = 64 * WIDE_WORDS, 0.5**halvings
+    apart = sizes * (1 - threshold) / (1 + threshold) + 1e-6
+    sampled = apart * step
+    sampled = sampled + SLACK * np.sqrt(sampled * (1 - step))
+    even, even2 = (1 - 2 / n) ** sampled, (1 - 4 / n) ** sampled
+    spread = np.sqrt(np.maximum(0, n * (1 - even**2) + n * (n - 1) * (even2 - even**2))) / 2
+    expected = n / 2 * (1 - even) + SLACK * spread + 4
+    return np.where(halvings > 0, expected, np.minimum(apart, expected))
 
 
 def most_bits(threshold: float) -> int:
@@ -169,6 +177,7 @@ def pairs_of_block(rows: dict[str, np.ndarray], threshold: float) -> np.ndarray:
     lower, upper, head = rows["low"][0], rows["high"][0], rows["head"][0]
     names, counts = np.unique(label, return_counts=True)
     most = names[counts.argmax()]
+    bands = rows["bands"]
     bits, halvings = rows["wide"][:, :-1].view(np.uint64), rows["wide"][:, -1]
     out = [np.empty((0, 2), np.int64)]
     for i in np.flatnonzero(label != most):  # a pair of two of the largest label has nothing to find
@@ -180,20 +189,22 @@ def pairs_of_block(rows: dict[str, np.ndarray], threshold: float) -> np.ndarray:
         two = np.flatnonzero(other)
         if len(two):
             apart = np.bitwise_count(bits[i] ^ bits[two]).sum(axis=1)
-            near = wide_similarity(apart, size[i], size[two], halvings[two]) >= threshold - WIDE_SLACK
-            two = reps[two[near | (halvings[two] != halvings[i])]]
+            near = apart <= most_wide_bits(size[i] + size[two], halvings[two], threshold)
+            two = two[near | (halvings[two] != halvings[i])]
+            # of the buckets that both are in, the first one yields the pair
+            two = reps[two[bands[i][(bands[i] == bands[two]).argmax(axis=1)] == rows["key"][0]]]
             out.append(np.stack([np.minimum(reps[i], two), np.maximum(reps[i], two)], axis=1))
     return np.concatenate(out)
 
 
 def mixed_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs_of_block over the block pairs of ``rows``, which lie sorted and pass one at a time."""
-    names = ["key", "low", "high", "own", "head", "rep", "label", "n"]
+    names, wide = ["key", "low", "high", "own", "head", "rep", "label", "n"], {"wide": WIDE_WORDS + 1, "bands": BANDS}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
         for batch in batches:
-            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names} | {"wide": batch.column("wide").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE_WORDS + 1)}
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names} | {c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for c, width in wide.items()}
             rows = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             starts = np.flatnonzero(np.concatenate([[True], np.any([rows[c][1:] != rows[c][:-1] for c in names[:3]], axis=0)]))
             found = [pairs_of_block({c: x[low:high] for c, x in rows.items()}, threshold) for low, high in zip(starts, starts[1:], strict=False)]
@@ -206,7 +217,7 @@ def mixed_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     def out(pairs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return rows.select(*names, "wide").repartition(*names[:3]).sortWithinPartitions(*names[:3]).mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*names, *wide).repartition(*names[:3]).sortWithinPartitions(*names[:3]).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +252,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     # a bucket of two has had its only pair compared
     open_keys = labelled.filter("size > 2").groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("rep").alias("head")).filter("least <> most").select("key", "head")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = labelled.join(open_keys, "key").join(classes.select("rep", "wide"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = labelled.join(open_keys, "key").join(classes.select("rep", "wide", "bands"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     second = confirm(materialize(mixed_pairs(rest, threshold), "pairs"), texts, words, threshold)
     links = first.unionByName(second)
