@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions import text
-from tally.operators import checks, dashboards, history, reviews, rules
-from tally.plans import oracle, oracle_more
+from tally.operators import audits, checks, dashboards, history, reviews, rules
+from tally.plans import oracle, oracle_audits, oracle_more
 from tally.sources import ledger
 
 #: The month that buildings should have reached by now.
@@ -134,9 +134,23 @@ def queries() -> dict:
         "d7_budget_gap": _on(reviews.budget_gap, ledger.issuance),
         "d8_delinquency_status": _on(reviews.delinquency_status, ledger.indicator),
         "d11_building_status": building_status,
+        "r12_yield_concentrated": _on(audits.yield_concentrated, a),
+        "r20_late_business_days": _on(audits.late_by_business_days, e),
+        "j12_bank_statement_check": _on(audits.bank_statement_check, e, ledger.evidence),
+        "q2_read_integrity": _on(audits.read_integrity, e, a),
+        "q6_uncovered_negatives": _on(audits.uncovered_negatives, a),
+        "u2_union_by_priority": _on(audits.union_by_priority, a),
+        "d1_financial_analysis": _on(audits.financial_analysis, a),
+        "d13_processing_overview": _balance(audits.processing_overview),
+        "g0_vendor_stability": _on(audits.vendor_stability, e),
+        "g1_new_vendor": _on(audits.new_vendor, e),
+        "f8_expense_keys": _on(audits.expense_keys, e),
+        "f18_income_kinds": _on(audits.income_kinds, i),
+        "f36_base_balances": _on(audits.base_balances, a),
+        "t3_latest_versions": _on(audits.latest_versions, ledger.imports),
         "q4_text_lint": _on(reviews.lint_texts, ledger.replies),
     }
 
 
 def oracle_sql() -> dict:
-    return oracle.SQL | oracle_more.SQL
+    return oracle.SQL | oracle_more.SQL | oracle_audits.SQL

@@ -7,8 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tally.functions import text
-from tally.operators import checks, rules
+from tally.functions import calendar, text
+from tally.operators import audits, checks, rules
 from tally.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -22,7 +22,7 @@ def rows(frame):
     return list(frame.columns), sorted(map(str, frame.astype(object).where(frame.notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["r1_negative_income", "r4_category_variation", "r7_negative_streak", "r9_balance_continuity", "a18_category_rollup", "j1_pair_by_code", "d4_budget_tracking", "t2_last_import", "u1_all_findings"])
+@pytest.mark.parametrize("name", ["r1_negative_income", "r4_category_variation", "r7_negative_streak", "r9_balance_continuity", "a18_category_rollup", "j1_pair_by_code", "d4_budget_tracking", "t2_last_import", "u1_all_findings", "r16_category_switch", "p4_reviewed_findings", "r20_late_business_days", "j15_kth_pairing", "u2_union_by_priority"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{DIR}/*.parquet"):
@@ -49,3 +49,17 @@ def test_mutations_are_found(spark):
     assert [r["total"] for r in rules.negative_income(income).collect()] == [income.first()["amount"]]
     twice = income.select("condo_id", "month", F.lit("c").alias("code"), "amount")
     assert checks.duplicate_codes(twice.unionAll(twice)).count() == 1 and checks.duplicate_codes(twice).count() == 0
+
+
+def test_business_days(spark):
+    easter = calendar.with_easter(spark.createDataFrame([(1998,), (2000,), (2024,)], "y int")).collect()
+    assert [str(r["easter"]) for r in easter] == ["1998-04-12", "2000-04-23", "2024-03-31"]
+    dates = spark.createDataFrame([("2024-02-10",), ("2024-03-29",), ("2024-05-30",), ("2024-06-03",), (None,)], "d string").select(F.to_date("d").alias("due"))
+    got = {str(r["due"]): str(r["business"]) for r in calendar.next_business_days(dates, "due").collect()}
+    assert got == {"2024-02-10": "2024-02-14", "2024-03-29": "2024-04-01", "2024-05-30": "2024-05-31", "2024-06-03": "2024-06-03"}
+
+
+def test_concentrated_yield(spark):
+    rows = [(1, "A", 1000.0, 1000.0, 5.0), (1, "B", 20000.0, 20000.0, 0.0), (2, "A", 1000.0, 1000.0, 5.0), (2, "B", 100.0, 100.0, 0.0)]
+    df = spark.createDataFrame(rows, "condo_id int, account string, opening double, closing double, yield_amt double").withColumn("month", F.to_date(F.lit("2024-01-01")))
+    assert [(r["condo_id"], r["others"], r["total"]) for r in audits.yield_concentrated(df).collect()] == [(1, 20000.0, 5.0)]
