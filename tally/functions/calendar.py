@@ -11,17 +11,12 @@ FROM_EASTER = [-48, -47, -2, 60]
 
 
 def with_easter(years: DataFrame) -> DataFrame:
-    """``years`` (y: int) with the date of Easter Sunday, by the Gregorian computus in integers."""
-    steps = {
-        "a": "y % 19", "b": "y div 100", "c": "y % 100",
-        "g": "(b - (b + 8) div 25 + 1) div 3",
-        "h": "(19 * a + b - b div 4 - g + 15) % 30",
-        "l": "(32 + 2 * (b % 4) + 2 * (c div 4) - h - c % 4) % 7",
-        "s": "h + l - 7 * ((a + 11 * h + 22 * l) div 451) + 114",
-    }
-    for name, step in steps.items():
-        years = years.withColumn(name, F.expr(step))
-    return years.select("y", F.expr("make_date(y, cast(s div 31 as int), cast(s % 31 + 1 as int))").alias("easter"))
+    """``years`` (y: int) with the date of Easter Sunday: the Sunday after the paschal moon, counted from 28 March (Oudin)."""
+    years = years.withColumn("golden", F.expr("y % 19")).withColumn("century", F.expr("y div 100"))
+    years = years.withColumn("age", F.expr("(century - century div 4 - (8 * century + 13) div 25 + 19 * golden + 15) % 30"))
+    years = years.withColumn("moon", F.expr("age - (age div 28) * (1 - (29 div (age + 1)) * ((21 - golden) div 11))"))
+    weekday = F.expr("(y + y div 4 + moon + 2 - century + century div 4) % 7")
+    return years.select("y", F.date_add(F.make_date("y", F.lit(3), F.lit(28)), (F.col("moon") - weekday).cast("int")).alias("easter"))
 
 
 def holidays(years: DataFrame) -> DataFrame:
