@@ -80,6 +80,18 @@ def test_mixing(docs):
     assert mixing.mix(docs, weights={"s": 1.0}).filter("source is null").count() == 0
 
 
+def test_mixing_of_a_tiny_source(spark):
+    rows = [(i, "x" * 40_000, "large") for i in range(400)] + [(1000, "y", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counts = {r["source"]: r["count"] for r in mixing.mix(df).groupBy("source").count().collect()}
+    rate = 16_000_001 / 4001  # the square root of 16,000,000 is 4,000
+    assert abs(counts["tiny"] - rate) < 5 * rate**0.5 and abs(counts["large"] - 400) < 100
+    ids = spark.range(2000).select("id", mixing.copy_count(20, F.col("id").cast("string"), F.lit(1200.0)).alias("n"))
+    mean, variance = ids.agg(F.avg("n"), F.var_samp("n")).first()
+    assert abs(mean - 1200) < 5 * (1200 / 2000) ** 0.5 and abs(variance / 1200 - 1) < 0.2
+    assert sorted(r["copy_no"] for r in mixing.mix(df).filter("source = 'tiny'").collect()) == list(range(counts["tiny"]))
+
+
 def test_warc(spark):
     html = "<p>" + "z" * 1200
     rows = [(1, "http://a/\r\nX: y", html), (2, None, html), (3, "u", None), (4, "u", "short"), (5, "u", "short"), (None, "u", html)]
