@@ -1,7 +1,11 @@
 """Quality rules with thresholds learnt from the data: quantiles per language and source, from mergeable sketches.
 
-One narrow pass measures each text. KLL sketches of the measures, built map-side and merged per (language, source), give
-the thresholds; a join brings them back to the measures, and the rules compare.
+One narrow pass measures each text. KLL sketches of the measures, built map-side and merged per (language, source), then
+per language and over all documents, give the thresholds; a join brings them back to the measures, and the rules compare.
+
+A group's quartiles are pulled toward those of its language, and these toward all documents', the more so the smaller it is.
+How far a document may lie from the group's median is the reach of the outer fence, by the middle one of the three levels
+(so that junk in a quarter of a group doesn't carry the limit off), or what the group's other half reaches if that is more.
 """
 
 from __future__ import annotations
@@ -20,11 +24,14 @@ SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 WINDOW = 8
 
-#: Measure -> slack: a document fails beyond the group's outer quartile by more than SPREAD quartile ranges and the slack.
-#: The slack is for groups whose documents are all alike, so that hardly differing from one's group is no failure.
-UPPER = {"symbol_ratio": 0.10, "dup_lines_per_100": 5.0, "repeat_ratio": 0.25, "mean_word": 4.0}
-LOWER = {"mean_word": 3.0}
+#: Measure -> (its count, the measure's value for one a word, how many of the count come at once). A document fails beyond
+#: its group's limit by more than SPREAD deviations of a count of that size, or of one where the limit is none.
+COUNTS = {"symbol_ratio": ("n_symbols", 1, 1), "dup_lines_per_100": ("n_dup_lines", 100, 1), "repeat_ratio": ("n_repeat_words", 1, 2 * WINDOW), "mean_word": ("word_chars", 1, 1)}
+UPPER = ("symbol_ratio", "dup_lines_per_100", "repeat_ratio", "mean_word")
+LOWER = ("mean_word",)
 SPREAD = 3.0
+#: A group of so many documents weighs as much as the level above it.
+PULL = 10.0
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -75,13 +82,37 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
 def thresholds(measured: DataFrame, names: list[str], k: int = 200) -> DataFrame:
     """Per group, the limits from KLL sketches of the documents that pass the base rules."""
-    wanted = sorted({*UPPER, *LOWER})
-    sketches = measured.filter(~F.col("base_failed")).groupBy(*names).agg(*(F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in wanted))
-    quartile = lambda m, q: F.kll_sketch_get_quantile_double(F.col(m), F.lit(q))
-    spread = lambda m: SPREAD * (quartile(m, 0.75) - quartile(m, 0.25))
-    high = [(quartile(m, 0.75) + spread(m) + slack).alias(f"high_{m}") for m, slack in UPPER.items()]
-    low = [(quartile(m, 0.25) - spread(m) - slack).alias(f"low_{m}") for m, slack in LOWER.items()]
-    return sketches.select(*names, *high, *low)
+    groups = materialize(measured.filter(~F.col("base_failed")).groupBy(*names).agg(*(F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in COUNTS)), "sketches")
+
+    def level(merged: DataFrame, keys: list[str], stem: str) -> DataFrame:
+        quartiles = [F.array(*(F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)) for q in (0.25, 0.5, 0.75))).alias(f"{stem}_{m}") for m in COUNTS]
+        return merged.select(*keys, F.kll_sketch_get_n_double(F.col("mean_word")).cast("double").alias(f"{stem}_n"), *quartiles)
+
+    merged = [F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in COUNTS]
+    parents = level(groups.groupBy(names[0]).agg(*merged), names[:1], "parent")
+    whole = level(groups.agg(*merged), [], "whole")
+    levels = level(groups, names, "own").join(parents, names[0]).crossJoin(F.broadcast(whole))  # a single row
+    pull = lambda own, n, above: F.zip_with(own, above, lambda x, y: (F.col(n) * x + PULL * y) / (F.col(n) + PULL))
+    for m in COUNTS:
+        levels = levels.withColumn(f"parent_{m}", pull(F.col(f"parent_{m}"), "parent_n", F.col(f"whole_{m}")))
+        levels = levels.withColumn(f"own_{m}", pull(F.col(f"own_{m}"), "own_n", F.col(f"parent_{m}")))
+
+    def limit(m: str, sign: int) -> F.Column:
+        """The upper limit for ``sign`` 1, the lower one for -1."""
+        at = lambda stem, i: F.col(f"{stem}_{m}")[1 + sign * i]
+        fence = lambda stem: sign * (at(stem, 1) - at(stem, 0)) + SPREAD * sign * (at(stem, 1) - at(stem, -1))
+        middle = F.array_sort(F.array(*map(fence, ("own", "parent", "whole"))))[1]
+        other = (1 + 2 * SPREAD) * sign * (at("own", 0) - at("own", -1))  # the fence, were the halves alike
+        return at("own", 0) + sign * F.greatest(middle, other)
+
+    return levels.select(*names, *(limit(m, 1).alias(f"high_{m}") for m in UPPER), *(limit(m, -1).alias(f"low_{m}") for m in LOWER))
+
+
+def beyond(m: str, sign: int) -> F.Column:
+    """Whether the measure ``m`` fails at its upper (1) or lower (-1) limit."""
+    count, per, unit = COUNTS[m]
+    expected = F.greatest(F.col(f"high_{m}" if sign > 0 else f"low_{m}"), F.lit(0.0)) / per * F.col("n_words")
+    return sign * (F.col(count) - expected) > SPREAD * unit * F.sqrt(F.greatest(expected / unit, F.lit(1.0)))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -105,6 +136,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
     # as many rows as there are groups; Spark broadcasts the written table only where its size allows
     limits = materialize(thresholds(measured, names), "limits")
     joined = measured.join(limits, names, "left")
-    fails = [F.col(m) > F.col(f"high_{m}") for m in UPPER] + [F.col(m) < F.col(f"low_{m}") for m in LOWER]
+    fails = [beyond(m, 1) for m in UPPER] + [beyond(m, -1) for m in LOWER]
     verdict = ~F.greatest(*(F.coalesce(x, F.lit(False)) for x in fails))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"))

@@ -33,6 +33,20 @@ def test_quality_rules(docs):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_limits_are_learnt(spark):
+    def text(n, symbols):
+        return " ".join(f"w{n:04}{i * (n + 3) % 997:03}" + "#" * (i < symbols) for i in range(200))
+
+    rows = [(i, text(i, 0), "en", "clean") for i in range(1000, 1300)] + [(100, text(100, 15), "en", "clean")]  # 0.075 a word
+    rows += [(200 + i, text(i, 150 + i if i % 5 < 2 else 0), "en", "junk") for i in range(100)]  # two fifths are junk
+    rows += [(400 + i, text(i, 60 + i % 7), "xx", "code") for i in range(60)]  # all alike
+    rows += [(600, text(3, 180), "en", "single")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df).collect()}
+    junk = {100, 600} | {200 + i for i in range(100) if i % 5 < 2}
+    assert {i for i, k in kept.items() if not k} == junk
+
+
 def test_minhash(docs, spark):
     for table in (docs, spark.read.parquet(f"{DIR}/documents.parquet")):
         pairs = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
