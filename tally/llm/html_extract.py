@@ -1,9 +1,12 @@
 """Main text of web pages by composite text density.
 
 Each node of the page's tree has a density: characters per tag of its subtree, adjusted by how much of it is links compared
-with the whole body. A node's density sum adds the densities of its children, and the node with the largest sum holds the
+with the whole body. Text that lies beside blocks is a block of its own. A node's density sum adds the densities of its
+children (without any, it is its own density), and the node with the largest sum, or the <article> around it, holds the
 article. The least density on its path up to the body is the threshold: wherever a node elsewhere reaches it, the best
-subtree below belongs to the text as well. Menus, notices, forms and the like are cut away before.
+subtree below belongs to the text as well, and so do the headings right before a part of the text and short blocks without
+links between two parts. Menus, notices, forms and
+the like are cut away before.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 # fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -44,13 +48,14 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "holds_main", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "holds_main", "chars", "links", "tags", "link_tags", "inline", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.children: list[Node | str] = []
         self.holds_main = tag in ("article", "main", "body")
         self.chars = self.links = self.tags = self.link_tags = 0
+        self.inline = tag in INLINE
         self.density = self.total = 0.0
 
 
@@ -119,6 +124,8 @@ def parse(page: str) -> Node:
     return root
 
 
+#: The tag of text that lies beside blocks.
+RUN = "#run"
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -138,9 +145,32 @@ def measure(root: Node) -> list[Node]:
                 node.chars, node.links = node.chars + x.chars, node.links + x.links
                 node.tags += x.tags + (x.tag not in INLINE)
                 node.link_tags += x.link_tags + (x.tag == "a")
+        node.inline = node.inline and not node.tags
+        if node.tags:
+            node.children = with_runs(node)
         if node.tag == "a":
             node.links = node.chars
-    return order
+    return [x for node in order for x in (node, *(y for y in node.children if isinstance(y, Node) and y.tag == RUN))]
+
+
+def with_runs(node: Node) -> list[Node | str]:
+    """The children of a node that has blocks, text between them as nodes of their own."""
+    children: list[Node | str] = []
+    run = None
+    for x in node.children:
+        if isinstance(x, Node) and not x.inline:
+            children.append(x)
+            run = None
+            continue
+        if run is None:
+            run = Node(RUN, node)
+            children.append(run)
+        run.children.append(x)
+        if isinstance(x, str):
+            run.chars += len("".join(x.split()))
+        else:
+            run.chars, run.links, run.link_tags = run.chars + x.chars, run.links + x.links, run.link_tags + x.link_tags + (x.tag == "a")
+    return children
 
 
 def weigh(order: list[Node], body: Node) -> None:
@@ -153,7 +183,8 @@ def weigh(order: list[Node], body: Node) -> None:
         ratio = node.chars / max(1, node.links) * tags / max(1, node.link_tags)
         node.density = node.chars / tags * max(0.0, math.log(max(ratio, 1.0)) / math.log(math.log(inner) + 1e-9 + (math.e - 1)))
     for node in order:
-        node.total = sum(x.density for x in node.children if isinstance(x, Node) and x.tag not in INLINE)
+        parts = [x.density for x in node.children if isinstance(x, Node) and not x.inline]
+        node.total = sum(parts) if parts else node.density
 
 
 def chosen(order: list[Node], body: Node) -> list[Node]:
@@ -164,28 +195,38 @@ def chosen(order: list[Node], body: Node) -> list[Node]:
         if node is not body and node.parent is not None and id(node.parent) in inside:
             inside.add(id(node))
             nodes.append(node)
-    best = max((x for x in nodes if x.tag not in INLINE), key=lambda x: x.total)
+    best = max((x for x in nodes if not x.inline), key=lambda x: x.total)
     if best.total <= 0:
         return [body]
-    limit, up = best.density, best
+    each = lambda x: x.chars / max(1, x.tags)
+    limit, plain, up = best.density, each(best), best
     while up is not body:
         up = up.parent
-        limit = min(limit, up.density)
+        limit, plain = min(limit, up.density), min(plain, each(up))
+    up = best
+    while up is not body and up.tag != "article":
+        up = up.parent
+    if up is not body:
+        up.total, best = best.total, up
     top: dict[int, Node] = {}
     for node in reversed(nodes):  # of each subtree, the node with the largest sum
-        top[id(node)] = max([node, *(top[id(x)] for x in node.children if isinstance(x, Node) and x.tag not in INLINE)], key=lambda x: x.total)
-    marked, stack, picked = set(), [body], []
+        top[id(node)] = best if node is best else max([node, *(top[id(x)] for x in node.children if isinstance(x, Node) and not x.inline)], key=lambda x: x.total)
+    marked, stack, picked, between = {id(best)}, [body], [], []
     while stack:
         node = stack.pop()
-        if id(node) in marked:
-            picked.append(node)
-            continue
-        if node.density >= limit and top[id(node)].total > 0:
+        # without links a density grows with the node, so that a lone paragraph is held against characters per tag
+        if id(node) not in marked and (node.density >= limit or not node.links and each(node) >= plain) and top[id(node)].total > 0:
             marked.add(id(top[id(node)]))
-            if id(node) in marked:
-                picked.append(node)
-                continue
-        stack.extend(x for x in reversed(node.children) if isinstance(x, Node) and x.tag not in INLINE)
+        blocks = [x for x in node.children if isinstance(x, Node) and not x.inline]
+        if id(node) in marked:
+            picked += [*between, node]
+            between = []
+        elif node.tag in HEADINGS or picked and node.chars and not node.links and not blocks:
+            between.append(node)
+        elif blocks:
+            stack.extend(reversed(blocks))
+        elif node.chars:
+            between = []
     return picked
 
 

@@ -122,6 +122,20 @@ def test_html():
     assert html_extract.main_text("") == "" and html_extract.main_text("<<<>>>&lt;") != "" and html_extract.main_text("plain  text") == "plain text"
 
 
+def test_html_mixed_articles():
+    words = lambda w: f"{w} " * 60
+    plain = lambda *parts: " ".join(" ".join(parts).split())
+    inner = f"<p>{words('b')}</p><p>{words('c')}</p><p>{words('d')}</p>"
+    for outer in ("article", "div"):
+        page = f"<body><{outer}><h1>Head</h1><p>{words('a')}</p><div>{inner}</div></{outer}></body>"
+        assert html_extract.main_text(page) == plain("Head", words("a"), words("b"), words("c"), words("d"))
+        page = f"<body><{outer}><h1>Head</h1>{words('bare')}<b>bold</b><div>{inner}</div>{words('tail')}</{outer}></body>"
+        assert html_extract.main_text(page) == plain("Head", words("bare"), "bold", words("b"), words("c"), words("d"), words("tail"))
+        page = f"<body><{outer}><section><h2>One</h2>{inner}</section><blockquote>{words('q')}</blockquote><section><h2>Two</h2>{inner}</section></{outer}></body>"
+        both = [words(x) for x in "bcd"]
+        assert html_extract.main_text(page) == plain("One", *both, words("q"), "Two", *both)
+
+
 def test_pages(spark):
     import re
 
