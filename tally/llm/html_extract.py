@@ -6,7 +6,8 @@ children (without any, it is its own density), and the node with the largest sum
 article. The least density on its path up to the body is the threshold: wherever a node elsewhere reaches it, the best
 subtree below belongs to the text as well, and so do the headings right before a part of the text and short blocks without
 links between two parts. Menus, notices, forms and
-the like are cut away before.
+the like are cut away before, but without an <article> or <main> on the page never
+a node that holds most of the page's text outside links.
 """
 
 from __future__ import annotations
@@ -27,11 +28,22 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video map nav aside header footer form button select option textarea input label fieldset dialog menu title link meta".split())
+#: Of these, those that may be wrapped around the text.
+WRAPPERS = frozenset("nav aside header footer form fieldset dialog menu".split())
+#: Of these, those that don't hold the article though an <article> is inside.
+BESIDE = frozenset(["nav", "aside", "footer"])
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 # fixed values: words of class and id that name what is not the article
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice popup promo promotion promoted recommended related replies reply respond search share sharing sidebar sidebox signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that name readers' texts, which can be longer than the article.
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+#: Words that say where or what kind of box a noise word's node is: "sidebar-left", "comment-list".
+PLACES = frozenset("area bar block body bottom box button buttons container content footer form group header inner item items left link links list main outer panel region right row section slot title top unit wrap wrapper".split())
+#: Kinds of noise: no text of the page at all; cut unless most of the text is inside; cut unless hardly any text is outside.
+NEVER, USUAL, READERS = 1, 2, 3
+MOST = {USUAL: 0.5, READERS: 0.9}
 #: Closing tags that an opening tag implies: tag -> (tags it closes, tags that stop the search).
 IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -48,31 +60,47 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "holds_main", "chars", "links", "tags", "link_tags", "inline", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "readers", "holds_main", "chars", "links", "tags", "link_tags", "inline", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
+    def __init__(self, tag: str, parent: Node | None, noise: int = 0):
         self.tag, self.parent, self.noise = tag, parent, noise
+        self.readers = noise == READERS or parent is not None and parent.readers
         self.children: list[Node | str] = []
-        self.holds_main = tag in ("article", "main", "body")
+        self.holds_main = tag in ("article", "main", "body") and not (tag == "article" and self.readers)
         self.chars = self.links = self.tags = self.link_tags = 0
         self.inline = tag in INLINE
         self.density = self.total = 0.0
 
 
-def is_noise(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
+def named_noise(value: str) -> int:
+    """The noise that a class or id names: by a whole token, or by a token of noise words and places."""
+    kind = 0
+    for token in value.split():
+        words = WORD.findall(token)
+        if words and words[0] in NOISE and all(x in NOISE or x in PLACES for x in words):
+            if not COMMENTS.isdisjoint(words):
+                return READERS
+            kind = USUAL
+    return kind
+
+
+def noise_kind(tag: str, attributes: str) -> int:
+    if tag in DROPPED and tag not in WRAPPERS:
+        return NEVER
+    kind = USUAL if tag in WRAPPERS else 0
     if not attributes or tag in ("html", "body"):
-        return False
+        return kind
     for name, one, two, three in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (one or two or three).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return NEVER
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and not NOISE.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+            return NEVER
+        if name == "role" and value in ROLES:
+            kind = max(kind, USUAL)
+        if name in ("class", "id"):
+            kind = max(kind, named_noise(value))
+    return kind
 
 
 def parse(page: str) -> Node:
@@ -106,7 +134,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             while up.parent is not None and up.tag in closed:
                 node = up = up.parent
-        new = Node(tag, node, is_noise(tag, found[3] or found[6] or ""))
+        new = Node(tag, node, noise_kind(tag, found[3] or found[6] or ""))
         node.children.append(new)
         if new.holds_main:
             up = new.parent
@@ -129,14 +157,38 @@ RUN = "#run"
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def measure(root: Node) -> list[Node]:
-    """Fills in counts of the tree without noise; the nodes, parents first."""
+def lies_beside(node: Node | None) -> bool:
+    while node is not None and node.tag not in BESIDE:
+        node = node.parent
+    return node is not None
+
+
+def cut(root: Node) -> list[Node]:
+    """Takes the noise out of the tree; the nodes left, parents first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
-        node.children = [x for x in node.children if isinstance(x, str) or not x.noise or x.holds_main and x.tag not in ("head", "nav", "aside", "footer")]
+        node.children = [x for x in node.children if isinstance(x, str) or x.noise != NEVER or x.holds_main and x.tag != "head"]
         order.append(node)
         stack.extend(x for x in reversed(node.children) if isinstance(x, Node))
+    plain: dict[int, int] = {}  # characters outside links
+    for node in reversed(order):
+        plain[id(node)] = 0 if node.tag == "a" else sum(len("".join(x.split())) if isinstance(x, str) else plain[id(x)] for x in node.children)
+    named = any(x.tag in ("article", "main") and x.holds_main and plain[id(x)] and not lies_beside(x) for x in order)
+    most = lambda x: not named and plain[id(x)] > MOST[x.noise] * plain[id(root)]
+    stays = lambda x: x.noise not in MOST or most(x) or x.holds_main and x.tag not in BESIDE
+    left, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        node.children = [x for x in node.children if isinstance(x, str) or stays(x)]
+        left.append(node)
+        stack.extend(x for x in reversed(node.children) if isinstance(x, Node))
+    return left
+
+
+def measure(root: Node) -> list[Node]:
+    """Fills in counts of the tree without noise; the nodes, parents first."""
+    order = cut(root)
     for node in reversed(order):
         for x in node.children:
             if isinstance(x, str):

@@ -136,6 +136,18 @@ def test_html_mixed_articles():
         assert html_extract.main_text(page) == plain("One", *both, words("q"), "Two", *both)
 
 
+def test_html_noise():
+    words = " ".join(["word"] * 80)
+    for attributes in ("div class='content has-sidebar'", "div class=no-comments", "div id=share-story", "div class=page-with-header", "div class=widget", "form method=post", "form><fieldset"):
+        page = f"<body><div class=sidebar-left><p>beside</p></div><{attributes}><p>{words}</p><p>{words}</p><div class='comment-list'><p>me too</p></div></div></form></body>"
+        assert html_extract.main_text(page) == f"{words} {words}", attributes
+    assert html_extract.main_text(f"<body><article><h1>Head</h1></article><footer>{words}</footer></body>") == "Head"
+    article, comment = f"<article><h1>Head</h1><p>{words}</p></article>", f"<article class=comment><p>{words} too</p></article>"
+    for attributes in ("class=comments", "id=x"):
+        assert html_extract.main_text(f"<body>{article}<section {attributes}>{comment * 3}</section></body>") == f"Head {words}"
+    assert html_extract.main_text(f"<body>{article}<section class=comments><article><p>{words} too</p></article></section></body>") == f"Head {words}"
+
+
 def test_pages(spark):
     import re
 
