@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tally.llm.common import fresh, is_held_out
 
 BUCKETS = 1 << 18
-#: Labelled rows that the fit uses at most, those with the least hash of their id.
+#: Labelled rows that the fit uses at most, one for an id: those with the least hash of their id.
 FIT_ROWS = 6_000
 WORDS_KEPT = 500_000
 SHAPES = [(re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[0-9]+"), "0")]
@@ -30,7 +30,7 @@ SHAPES = [(re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+
 
 def slots(token: str) -> tuple[int, int]:
     """The buckets of a token's lower-case form and of its shape."""
-    shape = token[:40]
+    shape = token
     for pattern, sign in SHAPES:
         shape = pattern.sub(sign, shape)
     return zlib.crc32(token.lower().encode()) % BUCKETS, zlib.crc32(b"shape " + shape.encode()) % BUCKETS
@@ -101,11 +101,12 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 200, rate:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on at most ``fit_rows`` labelled documents that are not held out."""
+    """Fits on at most ``fit_rows`` labelled documents that are not held out; of rows that share an id, on the one with the least hash."""
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce("toxic", F.lit(0)) == 1, 1).otherwise(2)
     graded = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).groupBy("doc_id").agg(F.min(grade).alias("grade"))
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(sample, "doc_id")
+    joined = joined.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

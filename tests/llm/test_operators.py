@@ -166,6 +166,17 @@ def test_classifiers_on_held_out_rows(spark):
     assert toxicity.score_documents(documents, none).filter("score = 0").count() == documents.count()
 
 
+def test_classifier_rows(spark, monkeypatch):
+    long = "ab1-" * 12
+    assert quality_classifier.slots(long + "xyz")[1] != quality_classifier.slots(long + "123")[1]
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows: seen.append(len(rows)))
+    df = spark.createDataFrame([(i % 3 if i > 20 else i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.range(21).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    quality_classifier.train(df, labels)
+    assert seen == [labels.filter(~quality_classifier.is_held_out("doc_id")).count()]
+
+
 def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeats", "mixed", "packed"]
     assert corpus_pipeline.run(spark, DIR).count() > 0
