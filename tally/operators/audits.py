@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tally.functions.calendar import next_business_days
@@ -112,6 +111,5 @@ def base_balances(account_month: DataFrame) -> DataFrame:
 def latest_versions(imports: DataFrame) -> DataFrame:
     """Of the imports of a building and month, the newest one and how many there were."""
     rows = imports.withColumn("month", F.trunc("ts", "month"))
-    order = W.partitionBy(*KEYS).orderBy("ts", "event_id")
-    numbered = rows.withColumn("version", F.row_number().over(order))
-    return numbered.groupBy(*KEYS).agg(F.max_by(F.struct("version", "event_id", "status"), "version").alias("x")).select(*KEYS, "x.*")
+    newest = F.max_by(F.struct("event_id", "status"), F.struct("ts", "event_id"))
+    return rows.groupBy(*KEYS).agg(F.count("*").cast("int").alias("version"), newest.alias("x")).select(*KEYS, "version", "x.*")

@@ -63,3 +63,11 @@ def test_concentrated_yield(spark):
     rows = [(1, "A", 1000.0, 1000.0, 5.0), (1, "B", 20000.0, 20000.0, 0.0), (2, "A", 1000.0, 1000.0, 5.0), (2, "B", 100.0, 100.0, 0.0)]
     df = spark.createDataFrame(rows, "condo_id int, account string, opening double, closing double, yield_amt double").withColumn("month", F.to_date(F.lit("2024-01-01")))
     assert [(r["condo_id"], r["others"], r["total"]) for r in audits.yield_concentrated(df).collect()] == [(1, 20000.0, 5.0)]
+
+
+def test_latest_versions(spark):
+    rows = [(1, "2024-01-05", 7, "warning"), (1, "2024-01-09", 3, "error"), (1, "2024-01-09", 4, "success"), (1, "2024-02-01", 1, "error"), (2, None, 9, "error")]
+    df = spark.createDataFrame(rows, "condo_id int, ts string, event_id long, status string").withColumn("ts", F.to_timestamp("ts"))
+    got = audits.latest_versions(df)
+    assert sorted((r["condo_id"], str(r["month"]), r["version"], r["event_id"], r["status"]) for r in got.collect()) == [(1, "2024-01-01", 3, 4, "success"), (1, "2024-02-01", 1, 1, "error"), (2, "None", 1, 9, "error")]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
