@@ -182,6 +182,14 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DIR).count() > 0
 
 
+def test_near_duplicate_stage(spark):
+    table = spark.read.parquet(f"{DIR}/documents.parquet")
+    pairs = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
+    want = sorted(i for i, (_, component) in brute.near_documents(pairs, 5).items() if i == component)
+    got = dict(corpus_pipeline.near_duplicates(spark, table, DIR).select("doc_id", "text").collect())
+    assert sorted(got) == want and all(got[i] == t for i, t in pairs if i in got)
+
+
 def test_mixing_same_as_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
