@@ -1,17 +1,18 @@
 """Remove byte strings of a given length that occur more than once, by a depth-limited radix sort of suffixes.
 
 Suffixes are ordered only as deep as the threshold, in passes from the most significant digit on, and a group of one leaves
-the sort at once:
-
-1. The first digit is an anchor of ``ANCHOR`` bytes: of each window, the leftmost position whose hash is the least. The
-   choice depends on the window's bytes alone, so equal windows have their anchor at the same place, and about one position
-   in eighty stands for the windows around it.
-2. The next digit is the anchor's whole reach, the bytes of the windows that it stands for. Equal reaches are repeated
-   windows throughout, and stay in the sort as one member.
-3. Only reaches that share an anchor and differ are sorted to the full depth: window by window, equal groups of two or more
-   are exactly the repeated windows.
-
-Digits are compared by 64-bit hashes of their bytes inside groups of equal anchors.
+the sort at once. The order of the digits is fixed by an anchor, the leftmost position of a window whose hash is the least:
+equal windows have their anchor at the same place, so about one position in eighty stands for the windows around it.
+
+1. The first digit is the anchor's gram, ``ANCHOR`` bytes. Grams that occur once leave.
+2. A reach that occurs again as a whole (all bytes of the windows that the anchor stands for) is repeated throughout and is
+   done; one member of it stays for the comparison with others.
+3. The other reaches of a gram go on. A window has some of its remaining bytes before the gram and some behind it. The range
+   of that number is cut into parts, and each part's next digit holds the bytes that all its windows share; parts are cut on
+   until one window is left, whose groups of two or more are exactly the repeated windows. Spark does these passes for grams
+   of very many reaches, one shuffle for each; groups of at most ``GROUP`` are sorted inside a task.
+
+Grams and whole reaches are told apart by 64-bit hashes (both must agree), all later digits by their bytes.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from tally.llm.common import NULL_ID, fresh, materialize, mix64
 ANCHOR = 40
 #: Bytes that a task sorts through at once; longer texts go in overlapping segments.
 SEGMENT = 500_000
-#: Reaches of one anchor that a single task compares; groups beyond it are sorted by Spark, window by window.
-GROUP = 20_000
+#: Members of a group that a task sorts by itself; Spark passes on the larger ones.
+GROUP = 1_000
+#: Parts into which one pass of Spark cuts a range of windows.
+PARTS = 4
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -111,7 +114,8 @@ def segments(raw: bytes, length: int) -> Iterator[tuple[int, bytes, int, int]]:
 
 
 def find_anchors(rows: DataFrame, length: int) -> DataFrame:
-    """(gram, reach, doc, tag, pos, before, after) of each anchor of ``rows`` (doc, tag, text)."""
+    """(gram, reach, doc, tag, before, after, pos) of the anchors of ``rows`` (doc, tag, text); equal reaches of one text lie
+    in one row, with all their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,17 +144,26 @@ def find_anchors(rows: DataFrame, length: int) -> DataFrame:
         own = (at - start >= first) & (at - start < last)
         at, gram, low, high, start, row, base = (x[own] for x in (at, gram, low, high, start, row, base))
         reach = mix64(prefix.hashes(low, high) + (at - low).astype(np.uint64))
+        order = np.lexsort((at, reach, gram, row))
+        at, gram, low, high, start, row, base, reach = (x[order] for x in (at, gram, low, high, start, row, base, reach))
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]) | (reach[1:] != reach[:-1])
+        one = np.flatnonzero(new)
+        places = pa.ListArray.from_arrays(pa.array(np.append(one, len(at)).astype(np.int32)), pa.array((at - start + base).astype(np.int64)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(gram.view(np.int64)), pa.array(reach.view(np.int64)), pa.array(docs[row]), pa.array(tags[row]), pa.array((at - start + base).astype(np.int64)), pa.array((at - low).astype(np.int16)), pa.array((high - at).astype(np.int16))],
-            ["gram", "reach", "doc", "tag", "pos", "before", "after"],
+            [pa.array(gram[one].view(np.int64)), pa.array(reach[one].view(np.int64)), pa.array(docs[row[one]]), pa.array(tags[row[one]]), pa.array((at - low)[one].astype(np.int32)), pa.array((high - at)[one].astype(np.int32)), places],
+            ["gram", "reach", "doc", "tag", "before", "after", "pos"],
         )
 
-    return rows.select("doc", "tag", "text").mapInArrow(run, "gram long, reach long, doc long, tag int, pos long, before short, after short")
+    return rows.select("doc", "tag", "text").mapInArrow(run, "gram long, reach long, doc long, tag long, before int, after int, pos array<long>")
+
+
+MEMBER = ["gram", "n", "size", "doc", "tag", "pos", "before"]
 
 
 def fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, reach, n, size, before, bytes): the bytes of each reach, cut from one of the texts that hold it."""
-    lists = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "reach", "n", "size", "pos", "before", "after")).alias("at"))
+    """The columns of MEMBER and ``bytes``: those of each reach, cut from the text that ``wanted`` names."""
+    lists = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("gram", "n", "size", "pos", "before", "after")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -159,6 +172,8 @@ def fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             flat, counts = batch.column("at").flatten(), pa.compute.list_value_length(batch.column("at")).to_numpy(zero_copy_only=False)
             field = {x.name: flat.field(i) for i, x in enumerate(flat.type)}
+            for x in ("doc", "tag"):
+                field[x] = batch.column(x).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
             pos, before, after = (field[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("pos", "before", "after"))
             cuts, at, done = [], 0, 0
             for row, n in enumerate(counts.tolist()):
@@ -167,23 +182,49 @@ def fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 at += n
                 if len(cuts) >= 5_000 or row == len(counts) - 1:
                     part = slice(done, at)
-                    yield pa.RecordBatch.from_arrays([*(field[x][part] for x in ("gram", "reach", "n", "size", "before")), pa.array(cuts, pa.binary())], ["gram", "reach", "n", "size", "before", "bytes"])
+                    yield pa.RecordBatch.from_arrays([*(field[x][part] for x in MEMBER), pa.array(cuts, pa.binary())], [*MEMBER, "bytes"])
                     cuts, done = [], at
 
-    return texts.join(lists, ["doc", "tag"]).select("z", "at").mapInArrow(run, "gram long, reach long, n long, size long, before short, bytes binary")
+    return texts.join(lists, ["doc", "tag"]).select("doc", "tag", "z", "at").mapInArrow(run, "gram long, n long, size long, doc long, tag long, pos long, before int, bytes binary")
 
 
-def windows(reaches: list[bytes], before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, offset, hash) of each whole window around the anchors of ``reaches``; offset: its bytes before the anchor."""
-    sizes = np.array([len(x) for x in reaches])
-    prefix = Prefix(np.frombuffer(b"".join(reaches), np.uint8))
-    base = np.cumsum(sizes) - sizes
-    last = np.minimum(before, sizes - length)  # the window that starts last
-    count = np.maximum(last + 1, 0)
-    member = np.repeat(np.arange(len(sizes)), count)
-    start = np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count)
-    at = base[member] + start
-    return member, before[member] - start, prefix.hashes(at, at + length)
+def refined(group: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """Group numbers after one more digit: ``digit`` has a row of bytes for each member."""
+    keys = np.concatenate([group.astype(">i8")[:, None].view(np.uint8), digit], axis=1)
+    return np.unique(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+
+
+def repeated_windows(reaches: list[bytes], before: np.ndarray, group: np.ndarray, low: int, high: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, offset) of the windows that another member of the group has as well.
+
+    ``offset`` counts a window's bytes before the gram, from ``low`` to ``high``; members of a group agree in the ``low`` bytes
+    before the gram and in those behind it that all these windows share.
+    """
+    width = length - ANCHOR
+    left, right = (np.zeros((len(reaches), width), np.uint8) for _ in range(2))
+    for i, (raw, b) in enumerate(zip(reaches, before.tolist(), strict=True)):
+        left[i, :b] = np.frombuffer(raw, np.uint8, b)[::-1]
+        right[i, : len(raw) - b - ANCHOR] = np.frombuffer(raw, np.uint8, offset=b + ANCHOR)
+    behind = np.array([len(x) for x in reaches]) - before - ANCHOR
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    stack = [(np.arange(len(reaches)), group, low, high)]
+    while stack:
+        member, group, low, high = stack.pop()
+        there = np.maximum(low, width - behind[member]) <= np.minimum(high, before[member])
+        member, group = member[there], np.unique(group[there], return_inverse=True)[1].ravel()
+        more = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.empty(0, bool)
+        member, group = member[more], group[more]
+        if not len(member):
+            continue
+        if low == high:
+            found.append((member, np.full(len(member), low)))
+            continue
+        middle = (low + high) // 2
+        for first, last, side, digit in ((low, middle, right, slice(width - high, width - middle)), (middle + 1, high, left, slice(low, middle + 1))):
+            fits = np.maximum(first, width - behind[member]) <= np.minimum(last, before[member])
+            if fits.any():
+                stack.append((member[fits], refined(group[fits], side[member[fits], digit]), first, last))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def runs(member: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,51 +236,76 @@ def runs(member: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray
     return member[new], start[new], start[ends] + length
 
 
-def sort_groups(reaches: DataFrame, length: int) -> DataFrame:
-    """(gram, reach, start, end): stretches around the anchor whose windows occur in another reach of the same anchor."""
+SPAN = "doc long, tag long, start long, end long"
+
+
+def sort_groups(groups: DataFrame, length: int) -> DataFrame:
+    """(doc, tag, start, end): stretches of members that stand for themselves (n = 1) whose windows another member of the
+    group has; each group (gram, low, high, key) is sorted inside one task."""
+    by = ["gram", "low", "high", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list = []
         size = 0
-        for batch in batches:  # sorted by gram: a gram is whole once the next one begins
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "reach", "before", "bytes")), strict=True):
-                if kept and size >= 400_000 and row[0] != kept[-1][0]:
+        for batch in batches:  # sorted: a group is whole once the next one begins
+            for row in zip(*(batch.column(c).to_pylist() for c in (*by, "before", "bytes", "n", "doc", "tag", "pos")), strict=True):
+                if kept and size >= 1_000_000 and row[:4] != kept[-1][:4]:
                     yield flush(kept)
                     kept, size = [], 0
                 kept.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if kept:
             yield flush(kept)
 
     def flush(kept: list) -> pa.RecordBatch:
-        gram, reach, before = (np.array([x[i] for x in kept], np.int64) for i in range(3))
-        member, offset, value = windows([x[3] for x in kept], before, length)
-        value = mix64(value + mix64(gram.view(np.uint64) + np.uint64(1))[member] + offset.astype(np.uint64))  # compare inside (gram, offset) only
-        order = np.argsort(value, kind="stable")
-        same = value[order][1:] == value[order][:-1]
-        twice = np.zeros(len(value), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        who, start, end = runs(member[twice], -offset[twice], length)
-        return pa.RecordBatch.from_arrays([pa.array(gram[who]), pa.array(reach[who]), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["gram", "reach", "start", "end"])
-
-    return reaches.select("gram", "reach", "before", "bytes").repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(run, "gram long, reach long, start long, end long")
-
-
-def sort_wide(reaches: DataFrame, length: int) -> DataFrame:
-    """As sort_groups, for anchors of very many reaches: one row per window, counted and joined by Spark."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2_000):
-                some = batch.slice(low, 2_000)
-                gram, reach, before = (some.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "reach", "before"))
-                member, offset, value = windows(some.column("bytes").to_pylist(), before.astype(np.int64), length)
-                value = mix64(value + mix64(gram.view(np.uint64) + np.uint64(1))[member] + offset.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(gram[member]), pa.array(reach[member]), pa.array((-offset).astype(np.int64)), pa.array(value.view(np.int64))], ["gram", "reach", "start", "value"])
-
-    each = materialize(reaches.select("gram", "reach", "before", "bytes").mapInArrow(spread, "gram long, reach long, start long, value long"), "windows")
-    twice = each.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1").select("value")
-    return each.join(twice, "value").select("gram", "reach", "start", (F.col("start") + length).alias("end"))
+        low, high, before, n, doc, tag, pos = (np.array([x[i] for x in kept], np.int64) for i in (1, 2, 4, 6, 7, 8, 9))
+        numbers: dict[tuple, int] = {}
+        group = np.array([numbers.setdefault(x[:4], len(numbers)) for x in kept], np.int64)
+        who, offset = [], []
+        for a, b in sorted(set(zip(low.tolist(), high.tolist(), strict=True))):
+            some = np.flatnonzero((low == a) & (high == b))
+            member, at = repeated_windows([kept[i][5] for i in some.tolist()], before[some], group[some], a, b, length)
+            who.append(some[member])
+            offset.append(at)
+        who, offset = np.concatenate(who), np.concatenate(offset)
+        who, offset = who[n[who] == 1], offset[n[who] == 1]
+        order = np.lexsort((-offset, who))
+        who, start, end = runs(who[order], -offset[order], length)
+        return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(tag[who]), pa.array(pos[who] + start), pa.array(pos[who] + end)], ["doc", "tag", "start", "end"])
+
+    picked = groups.select(*by, "before", "bytes", "n", "doc", "tag", "pos")
+    return picked.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, SPAN)
+
+
+def cut_ranges(groups: DataFrame, length: int) -> DataFrame:
+    """One pass of Spark: each member in each part of its group's range of windows that it has windows in, with the bytes
+    that the part's windows share as ``key`` and the new ``size`` of its group; groups of one leave."""
+    width = length - ANCHOR
+    step = F.ceil((F.col("high") - F.col("low") + 1) / PARTS).cast("int")
+    parts = F.transform(F.sequence(F.col("low"), F.col("high"), step), lambda x: F.struct(x.alias("low"), F.least(x + step - 1, F.col("high")).alias("high")))
+    behind = F.octet_length("bytes") - F.col("before") - ANCHOR
+    each = groups.drop("key", "size").withColumn("part", F.explode(parts)).withColumn("low", F.col("part.low")).withColumn("high", F.col("part.high")).drop("part")
+    each = each.filter(F.greatest("low", width - behind) <= F.least("high", "before"))
+    share = F.col("low") + ANCHOR + width - F.col("high")
+    keyed_by = ["gram", "low", "high", "key"]
+    each = materialize(each.withColumn("key", F.substring(F.col("bytes"), F.col("before") - F.col("low") + 1, share)), "digits")
+    counts = each.groupBy(*keyed_by).agg(F.count("*").alias("size")).filter("size > 1")
+    return materialize(each.join(counts, keyed_by), "groups")
+
+
+def sort_all(reaches: DataFrame, length: int) -> DataFrame:
+    """(doc, tag, start, end) as sort_groups, for groups of any size: Spark passes on those beyond GROUP until they are small
+    or down to one window."""
+    groups = reaches.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - ANCHOR)).withColumn("key", F.lit(b""))
+    found = sort_groups(groups.filter(F.col("size") <= GROUP), length)
+    wide = groups.filter(F.col("size") > GROUP)
+    while not wide.isEmpty():
+        groups = cut_ranges(wide, length)
+        start = F.col("pos") - F.col("low")
+        found = found.unionByName(groups.filter("low = high and n = 1").select("doc", "tag", start.alias("start"), (start + length).alias("end")))
+        found = found.unionByName(sort_groups(groups.filter((F.col("low") < F.col("high")) & (F.col("size") <= GROUP)), length))
+        wide = groups.filter((F.col("low") < F.col("high")) & (F.col("size") > GROUP))
+    return found
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -255,7 +321,7 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, doc, tag, text): (doc, tag) names id and text also where ids are null or repeat."""
     ids, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(ids.alias("id"), F.coalesce(ids, F.lit(NULL_ID)).alias("doc"), F.hash(text).alias("tag"), text.alias("text"))
+    return docs.select(ids.alias("id"), F.coalesce(ids, F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def compressed(rows: DataFrame) -> DataFrame:
@@ -271,28 +337,22 @@ def compressed(rows: DataFrame) -> DataFrame:
                 z = [squeeze.compress(x.as_buffer() if x.is_valid else b"") for x in some.column("text")]
                 yield pa.RecordBatch.from_arrays([some.column("id"), some.column("doc"), some.column("tag"), pa.array(z, pa.binary())], ["id", "doc", "tag", "z"])
 
-    return rows.select("id", "doc", "tag", "text").mapInArrow(run, "id long, doc long, tag int, z binary")
+    return rows.select("id", "doc", "tag", "text").mapInArrow(run, "id long, doc long, tag long, z binary")
 
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """(doc, tag, spans): for the ``rows`` of keyed() that hold repeated windows, the stretches that these cover, unmerged."""
-    found = find_anchors(rows, length)
-    grams = found.groupBy("gram").agg(F.count("*").alias("c"), F.min("reach").alias("least"), F.max("reach").alias("most")).filter("c > 1")
-    grams = grams.select("gram", (F.col("least") != F.col("most")).alias("mixed"))
-    hot = materialize(found.join(grams, "gram"), "anchors")
-    classes = hot.filter("mixed").groupBy("gram", "reach").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "pos", "before", "after")).alias("x")).select("gram", "reach", "n", "x.*")
-    classes = materialize(classes, "reaches")
-    sized = classes.join(classes.groupBy("gram").agg(F.count("*").alias("size")), "gram")
-    reaches = materialize(fetch(compressed(rows), sized), "bytes")
-    sorted_out = sort_groups(reaches.filter(F.col("size") <= GROUP), length).unionByName(sort_wide(reaches.filter(F.col("size") > GROUP), length))
-    stretches = sorted_out.groupBy("gram", "reach").agg(F.collect_list(F.struct("start", "end")).alias("around"))
-    whole = classes.filter("n > 1").select("gram", "reach", F.lit(True).alias("whole"))
-    verdict = stretches.join(whole, ["gram", "reach"], "full")
-    everywhere = F.array(F.struct((-F.col("before")).cast("long").alias("start"), F.col("after").cast("long").alias("end")))
-    single = hot.filter("not mixed").select("doc", "tag", "pos", everywhere.alias("around"))
-    mixed = hot.filter("mixed").join(verdict, ["gram", "reach"]).select("doc", "tag", "pos", F.when(F.col("whole"), everywhere).otherwise(F.col("around")).alias("around"))
-    spans = single.unionByName(mixed).select("doc", "tag", F.transform("around", lambda x: F.struct((F.col("pos") + x["start"]).alias("start"), (F.col("pos") + x["end"]).alias("end"))).alias("spans"))
-    return spans.groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = materialize(find_anchors(rows, length), "anchors")
+    grams = found.groupBy("gram").agg(F.sum(F.size("pos")).alias("c")).filter("c > 1").select("gram")
+    hot = materialize(found.join(grams, "gram"), "hot")
+    place = F.struct("doc", "tag", F.col("pos")[0].alias("pos"), "before", "after")
+    classes = materialize(hot.groupBy("gram", "reach").agg(F.sum(F.size("pos")).alias("n"), F.min(place).alias("x")).select("gram", "reach", "n", "x.*"), "reaches")
+    around = F.transform("pos", lambda p: F.struct((p - F.col("before")).alias("start"), (p + F.col("after")).alias("end")))
+    whole = hot.join(classes.filter("n > 1").select("gram", "reach"), ["gram", "reach"]).select("doc", "tag", around.alias("spans"))
+    sizes = classes.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1")
+    reaches = materialize(fetch(compressed(rows), classes.join(sizes, "gram")), "bytes")
+    parts = sort_all(reaches, length).select("doc", "tag", F.array(F.struct("start", "end")).alias("spans"))
+    return whole.unionByName(parts).groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _apply(schema: str, names: list[str], make):
@@ -359,7 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     rows = keyed(docs, id_col, text_col)
     doc, tag, found = (fresh(docs, x) for x in ("doc", "tag", "spans"))
     spans = repeated_spans(rows, length).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(found))
-    named = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(tag, F.hash(F.col(text_col).cast("string")))
+    named = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(tag, F.xxhash64(F.col(text_col).cast("string")))
     joined = named.join(spans, [doc, tag], "left")
 
     @F.pandas_udf("string")
