@@ -5,9 +5,12 @@ with the whole body. Text that lies beside blocks is a block of its own. A node'
 children (without any, it is its own density), and the node with the largest sum, or the <article> around it, holds the
 article. The least density on its path up to the body is the threshold: wherever a node elsewhere reaches it, the best
 subtree below belongs to the text as well, and so do the headings right before a part of the text and short blocks without
-links between two parts. Menus, notices, forms and
-the like are cut away before, but without an <article> or <main> on the page never
-a node that holds most of the page's text outside links.
+links between two parts.
+
+All of the body is measured but for scripts, styles and what is never shown. Menus, notices, forms and the like, known by
+element, role and class, count in the densities; they can't be chosen themselves, and inside the choice they are left out.
+Without an <article> or <main> on the page, a node that holds most of the page's text outside links is never taken for one.
+A page takes time in proportion to its length, however it is nested.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,29 +48,35 @@ PLACES = frozenset("area bar block body bottom box button buttons container cont
 #: Kinds of noise: no text of the page at all; cut unless most of the text is inside; cut unless hardly any text is outside.
 NEVER, USUAL, READERS = 1, 2, 3
 MOST = {USUAL: 0.5, READERS: 0.9}
-#: Closing tags that an opening tag implies: tag -> (tags it closes, tags that stop the search).
-IMPLIED = {
-    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
-    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
-    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "option": (frozenset(["option"]), frozenset(["select"])),
-}
+#: What an opening tag closes first: (tags closed, tags that hold the search, opening tags).
+SCOPES = (
+    (frozenset(["p"]), frozenset("article body button div main section table td th li".split()), CLOSES_P),
+    (frozenset(["li"]), frozenset(["ul", "ol", "menu"]), frozenset(["li"])),
+    (frozenset(["dt", "dd"]), frozenset(["dl"]), frozenset(["dt", "dd"])),
+    (frozenset(["tr", "td", "th"]), frozenset(["table"]), frozenset(["tr"])),
+    (frozenset(["td", "th"]), frozenset(["tr", "table"]), frozenset(["td", "th"])),
+    (frozenset(["option"]), frozenset(["select"]), frozenset(["option"])),
+)
+SCOPE_OF = {tag: i for i, (_, _, opening) in enumerate(SCOPES) for tag in opening}
+SCOPED = frozenset().union(*(closed | stops for closed, stops, _ in SCOPES))
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "readers", "holds_main", "chars", "links", "tags", "link_tags", "inline", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "readers", "beside", "holds_main", "out", "scopes", "chars", "links", "tags", "link_tags", "inline", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: int = 0):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.readers = noise == READERS or parent is not None and parent.readers
+        self.beside = tag in BESIDE or parent is not None and parent.beside
         self.children: list[Node | str] = []
         self.holds_main = tag in ("article", "main", "body") and not (tag == "article" and self.readers)
+        self.out = False
+        self.scopes = parent.scopes if parent is not None else (None,) * len(SCOPES)  # the nearest node that each scope could close
+        if tag in SCOPED:
+            self.scopes = tuple(self if tag in closed else None if tag in stops else near for (closed, stops, _), near in zip(SCOPES, self.scopes, strict=True))
         self.chars = self.links = self.tags = self.link_tags = 0
         self.inline = tag in INLINE
         self.density = self.total = 0.0
@@ -107,6 +117,12 @@ def parse(page: str) -> Node:
     """The tree of a page; broken markup closes where HTML would close it, or at the end."""
     root = node = Node("html", None)
     at, n, lower = 0, len(page), None
+    open_names: Counter[str] = Counter()  # of the nodes from the root down to ``node``
+
+    def leave(node: Node) -> Node:
+        open_names[node.tag] -= 1
+        return node.parent
+
     while at < n:
         found = TAG.search(page, at)
         if found is None:
@@ -116,24 +132,20 @@ def parse(page: str) -> Node:
             node.children.append(page[at : found.start()])
         at = found.end()
         tag = (found[2] or found[5] or "").lower()
-        if not tag:
+        if not tag or tag == "html":
             continue
         if found[1] or found[4]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
-            continue
-        if tag == "html":
+            if open_names[tag]:
+                while node.tag != tag:
+                    node = leave(node)
+                node = leave(node)
             continue
-        if tag in CLOSES_P or tag in IMPLIED:
-            closed, stops = IMPLIED.get(tag, (frozenset(["p"]), frozenset(["article", "body", "button", "div", "main", "section", "table", "td", "th", "li"])))
-            up = node
-            while up.parent is not None and up.tag not in closed and up.tag not in stops:
-                up = up.parent
-            while up.parent is not None and up.tag in closed:
-                node = up = up.parent
+        scope = SCOPE_OF.get(tag)
+        if scope is not None and (near := node.scopes[scope]) is not None:
+            while node is not near:
+                node = leave(node)
+            while node.parent is not None and node.tag in SCOPES[scope][0]:
+                node = leave(node)
         new = Node(tag, node, noise_kind(tag, found[3] or found[6] or ""))
         node.children.append(new)
         if new.holds_main:
@@ -149,6 +161,7 @@ def parse(page: str) -> Node:
             at = page.find(">", end) + 1 or n
         elif tag not in VOID:
             node = new
+            open_names[tag] += 1
     return root
 
 
@@ -157,14 +170,8 @@ RUN = "#run"
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def lies_beside(node: Node | None) -> bool:
-    while node is not None and node.tag not in BESIDE:
-        node = node.parent
-    return node is not None
-
-
-def cut(root: Node) -> list[Node]:
-    """Takes the noise out of the tree; the nodes left, parents first."""
+def mark(root: Node) -> list[Node]:
+    """Cuts what is never shown out of the tree and marks the noise; the nodes left, parents first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -174,21 +181,17 @@ def cut(root: Node) -> list[Node]:
     plain: dict[int, int] = {}  # characters outside links
     for node in reversed(order):
         plain[id(node)] = 0 if node.tag == "a" else sum(len("".join(x.split())) if isinstance(x, str) else plain[id(x)] for x in node.children)
-    named = any(x.tag in ("article", "main") and x.holds_main and plain[id(x)] and not lies_beside(x) for x in order)
-    most = lambda x: not named and plain[id(x)] > MOST[x.noise] * plain[id(root)]
-    stays = lambda x: x.noise not in MOST or most(x) or x.holds_main and x.tag not in BESIDE
-    left, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        node.children = [x for x in node.children if isinstance(x, str) or stays(x)]
-        left.append(node)
-        stack.extend(x for x in reversed(node.children) if isinstance(x, Node))
-    return left
+    named = any(x.tag in ("article", "main") and x.holds_main and plain[id(x)] and not x.beside for x in order)
+    for x in order:
+        most = not named and x.noise in MOST and plain[id(x)] > MOST[x.noise] * plain[id(root)]
+        stays = x.noise not in MOST or most or x.holds_main and x.tag not in BESIDE
+        x.out = not stays or x.parent is not None and x.parent.out
+    return order
 
 
 def measure(root: Node) -> list[Node]:
-    """Fills in counts of the tree without noise; the nodes, parents first."""
-    order = cut(root)
+    """Fills in the counts; the nodes, parents first."""
+    order = mark(root)
     for node in reversed(order):
         for x in node.children:
             if isinstance(x, str):
@@ -216,6 +219,7 @@ def with_runs(node: Node) -> list[Node | str]:
             continue
         if run is None:
             run = Node(RUN, node)
+            run.out = node.out
             children.append(run)
         run.children.append(x)
         if isinstance(x, str):
@@ -240,11 +244,11 @@ def weigh(order: list[Node], body: Node) -> None:
 
 
 def chosen(order: list[Node], body: Node) -> list[Node]:
-    """The nodes of the text, in page order."""
+    """The nodes of the text, in page order: none that is marked as noise."""
     inside = {id(body)}
     nodes = [body]
     for node in order:
-        if node is not body and node.parent is not None and id(node.parent) in inside:
+        if node is not body and not node.out and node.parent is not None and id(node.parent) in inside:
             inside.add(id(node))
             nodes.append(node)
     best = max((x for x in nodes if not x.inline), key=lambda x: x.total)
@@ -262,14 +266,14 @@ def chosen(order: list[Node], body: Node) -> list[Node]:
         up.total, best = best.total, up
     top: dict[int, Node] = {}
     for node in reversed(nodes):  # of each subtree, the node with the largest sum
-        top[id(node)] = best if node is best else max([node, *(top[id(x)] for x in node.children if isinstance(x, Node) and not x.inline)], key=lambda x: x.total)
+        top[id(node)] = best if node is best else max([node, *(top[id(x)] for x in node.children if isinstance(x, Node) and not x.inline and not x.out)], key=lambda x: x.total)
     marked, stack, picked, between = {id(best)}, [body], [], []
     while stack:
         node = stack.pop()
         # without links a density grows with the node, so that a lone paragraph is held against characters per tag
         if id(node) not in marked and (node.density >= limit or not node.links and each(node) >= plain) and top[id(node)].total > 0:
             marked.add(id(top[id(node)]))
-        blocks = [x for x in node.children if isinstance(x, Node) and not x.inline]
+        blocks = [x for x in node.children if isinstance(x, Node) and not x.inline and not x.out]
         if id(node) in marked:
             picked += [*between, node]
             between = []
@@ -283,7 +287,7 @@ def chosen(order: list[Node], body: Node) -> list[Node]:
 
 
 def text_of(node: Node) -> list[str]:
-    """The blocks below a node: white space turned into single spaces, empty ones left out."""
+    """The blocks below a node without the noise: white space turned into single spaces, empty ones left out."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -300,6 +304,9 @@ def text_of(node: Node) -> list[str]:
             close()
         elif isinstance(x, str):
             line.append(x)
+        elif x.out:
+            if not x.inline:
+                close()
         elif x.tag == "br":
             line.append(" ")
         elif x.tag in INLINE:
