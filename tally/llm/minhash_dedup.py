@@ -7,7 +7,7 @@ Documents with equal shingle sets are one class. Candidates are taken in two tur
 yields its pairs: first each class against the least class of its buckets; then, between classes that these links have not
 joined yet, the pairs that share a bucket and whose wide sketches agree. A wide sketch is an odd sketch of the shingle
 hashes below a bound (all of them in most texts), whose XOR bits bound the number of shingles that differ. Both turns are
-confirmed on the full sets.
+confirmed on the full sets. Ids come in at the end only: classes, links and texts go by the number of the class.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import materialize, mix64, string_chunks
+from tally.llm.common import fresh, materialize, mix64, string_chunks
 from tally.llm.components import connected_components
 
 ROWS, BANDS, SKETCH_WORDS = 5, 28, 8
@@ -109,7 +109,7 @@ def most_bits(threshold: float) -> int:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, sketch, wide) of each row of ``docs`` (doc_id, text)."""
+    """(doc_id, tag, n_shingles, digest, bands, sketch, wide) of each row of ``docs`` (doc_id, text, tag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -136,9 +136,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     halvings, bitmap = wide_sketch(shingles)
                     wide.append(np.append(bitmap.view(np.int64), halvings))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(odd, longs), pa.array(wide, longs)], ["doc_id", "n_shingles", "digest", "bands", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(odd, longs), pa.array(wide, longs)], ["doc_id", "tag", "n_shingles", "digest", "bands", "sketch", "wide"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, wide array<long>")
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, "doc_id long, tag long, n_shingles long, digest binary, bands array<long>, sketch array<long>, wide array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -220,20 +220,26 @@ def mixed_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select(*names, *wide).repartition(*names[:3]).sortWithinPartitions(*names[:3]).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row.
+def same_id_links(usable: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(src, dst): the classes of ids that stand for several different sets, each tied to the first; None if there are none."""
+    several = usable.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first <> last").select("doc_id", "first")
+    several = materialize(several, "several")
+    if several.isEmpty():
+        return None
+    pairs = usable.select("doc_id", "digest").join(several, "doc_id").filter("digest <> first").select("digest", "first").distinct()
+    number = classes.select("digest", "rep")
+    return pairs.join(number.select("digest", F.col("rep").alias("src")), "digest").join(number.select(F.col("digest").alias("first"), F.col("rep").alias("dst")), "first").select("src", "dst")
 
-    A set holds the distinct shingles of ``words`` words (A-Z lower-cased, cut at ASCII white space); with fewer words, the
-    whole sequence. Null and empty texts have no set and link with nothing; a null id links with nothing, has a null
-    component and is kept; rows that share an id are one document for the links, and each gets its own row; an empty table
-    gives no rows; other columns are ignored. A pair at the threshold is missed with a probability of about
-    (1 - threshold^5)^28, which is 1.5e-5 at 0.8.
-    """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+def verdicts(docs: DataFrame, words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tag, digest, n_shingles, component_id, kept) of each row; tag: a hash of the text, digest: null without a set."""
+    text = F.col(text_col).cast("string")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     drawn = materialize(sketches(plain, words), "sketches")
     usable = drawn.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch", "wide")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch", "x.wide")
-    classes = materialize(classes, "classes")
+    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "tag", "n_shingles", "bands", "sketch", "wide")).alias("x"))
+    # the number of a class holds for this run only; the written table fixes it
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", F.col("x.doc_id").alias("least_id"), F.col("x.tag").alias("tag"), F.col("x.n_shingles").alias("n"), "x.bands", "x.sketch", "x.wide"), "classes")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     member_keys = keys.join(shared, "key")
@@ -242,9 +248,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     apart = F.aggregate(F.zip_with("sketch", "head_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     heads = members.groupBy("key").agg(F.min(F.struct("rep", "n", "sketch")).alias("h")).select("key", F.col("h.rep").alias("head"), F.col("h.n").alias("head_n"), F.col("h.sketch").alias("head_sketch"))
     first = members.join(heads, "key").filter((F.col("rep") != F.col("head")) & similar & (apart <= most_bits(threshold))).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    # texts of the classes that share a bucket with another: one shuffle of the whole table, not one per turn
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(plain.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
+    # texts of the classes that share a bucket with another, one for each: one shuffle of the whole table, not one per turn
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("least_id").alias("doc_id"), "tag")
+    texts = materialize(plain.join(wanted, ["doc_id", "tag"]).groupBy("doc_id", "tag").agg(F.first("rep").alias("id"), F.first("text").alias("text")).select("id", "text"), "texts")
     first = materialize(confirm(materialize(first, "pairs"), texts, words, threshold), "confirmed")
     labels = connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     labelled = members.drop("sketch").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
@@ -255,19 +261,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     rest = labelled.join(open_keys, "key").join(classes.select("rep", "wide", "bands"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     second = confirm(materialize(mixed_pairs(rest, threshold), "pairs"), texts, words, threshold)
-    links = first.unionByName(second)
-    component = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    by_class = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("found"))
-    out = drawn.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(by_class, "digest", "left")
+    links = first.unionByName(second).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    same = same_id_links(usable, classes)
+    component = connected_components(links if same is None else links.unionByName(same))
+    numbered = classes.select("rep", "digest", "least_id").join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = numbered.groupBy("component").agg(F.min("least_id").alias("found"))
+    by_class = numbered.join(least, "component").select("digest", "found")
+    digest = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest"))
+    out = drawn.select("doc_id", "tag", "n_shingles", digest.alias("digest")).join(by_class, "digest", "left")
     component_id = F.coalesce("found", "doc_id")
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+    return out.select("doc_id", "tag", "digest", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, one row per id; rows with a null id all stay."""
-    verdict = near_duplicates(docs, words, threshold, id_col, text_col)
-    kept = verdict.filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
-    return named.dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per input row.
+
+    A set holds the distinct shingles of ``words`` words (A-Z lower-cased, cut at ASCII white space); with fewer words, the
+    whole sequence. Null and empty texts have no set and link with nothing; a null id links with nothing, has a null
+    component and is kept; rows that share an id are one document for the links, which has the links of all its texts, and
+    each gets its own row; an empty table gives no rows; other columns are ignored. A pair at the threshold is missed with a
+    probability of about (1 - threshold^5)^28, which is 1.5e-5 at 0.8.
+    """
+    return verdicts(docs, words, threshold, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
 
+def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its component; rows with a null id all stay.
 
+    Of rows that share an id, each different set stays, in the row whose text has the least hash; texts without a set count
+    as sets by their text. Of rows that repeat id and text, one stays.
+    """
+    tag = fresh(docs, "tag")
+    verdict = verdicts(docs, words, threshold, id_col, text_col).filter("kept and doc_id is not null")
+    kept = verdict.groupBy("doc_id", F.coalesce("digest", F.col("tag").cast("string").cast("binary"))).agg(F.min("tag").alias(tag)).select(F.col("doc_id").alias(id_col), tag)
+    named = docs.filter(F.col(id_col).isNotNull()).withColumn(tag, F.xxhash64(F.col(text_col).cast("string"))).join(kept, [id_col, tag], "left_semi")
+    return named.dropDuplicates([id_col, tag]).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
