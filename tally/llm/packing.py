@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,8 @@ from tally.llm.common import materialize
 
 #: Words whose ids a worker keeps at hand, also from task to task; the memory starts anew when it is full.
 WORDS_KEPT = 800_000
+#: Offsets (of 16 bytes) that are broadcast at most; with more tasks than these, Spark joins by shuffle.
+MOST_BROADCAST = 1_000_000
 #: A space that more white space or the end follows: no border between chunks.
 AMBIGUOUS = re.compile(r" (?:\s|\Z)")
 # fixed value: how byte-level BPE cuts a text into pieces
@@ -62,6 +63,11 @@ def encoder_for(path: str) -> "ChunkEncoder":
     return _ENCODERS[path]
 
 
+def id_kind(largest: int) -> str:
+    """Ids travel as two bytes where all fit, else as four."""
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 class ChunkEncoder:
     """Ids of whole texts by a byte-level BPE file, each word with its leading space encoded once per task.
 
@@ -77,9 +83,10 @@ class ChunkEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
         self.ranked = ranked(path)
+        self.kind = id_kind(max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     @staticmethod
     def chunks(text: str) -> list[str] | None:
@@ -90,7 +97,7 @@ class ChunkEncoder:
         return [head] * bool(head) + [" " + x for x in rest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
+        """Little-endian ids of each text, of ``kind``."""
         kept = self.kept
         cut = [None if any(s in t for s in self.special) else self.chunks(t) for t in texts]
         if len(kept) > WORDS_KEPT:
@@ -98,7 +105,7 @@ class ChunkEncoder:
         new = list({c for parts in cut if parts for c in parts if c not in kept})
         if self.ranked:
             one = self.ranked.encode_ordinary
-            kept.update((c, array("H", one(c)).tobytes()) for c in new)
+            kept.update((c, np.array(one(c), dtype=self.kind).tobytes()) for c in new)
         else:
             for at in range(0, len(new), 50_000):
                 some = new[at : at + 50_000]
@@ -107,17 +114,22 @@ class ChunkEncoder:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
-    """(doc_id, part, start_in_part, n_tokens, ids): the ids of each document with ``end_id`` after them."""
+    """(doc_id, part, start_in_part, n_tokens, ids): the ids of each document with ``end_id`` after them, little-endian, of two
+    or four bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, encoder = TaskContext.get().partitionId(), 0, encoder_for(tokenizer)
-        end = np.array([end_id], dtype="<u2").tobytes()
+        kind = max(encoder.kind, id_kind(end_id))
+        end, width = np.array([end_id], dtype=kind).tobytes(), np.dtype(kind).itemsize
         for batch in batches:
             ids_col, texts = batch.column(0), batch.column(1)
             for low in range(0, batch.num_rows, 500):
                 some = [t or "" for t in texts.slice(low, 500).to_pylist()]
-                ids = [x + end for x in encoder.encode(some)]
-                counts = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
+                ids = encoder.encode(some)
+                if kind != encoder.kind:
+                    ids = [np.frombuffer(x, encoder.kind).astype(kind).tobytes() for x in ids]
+                ids = [x + end for x in ids]
+                counts = np.fromiter((len(x) // width for x in ids), np.int64, len(ids))
                 starts = at + np.cumsum(counts) - counts
                 at += int(counts.sum())
                 yield pa.RecordBatch.from_arrays(
@@ -141,7 +153,8 @@ def cut(tokens: DataFrame, window: int) -> DataFrame:
             low, high = np.maximum(seq * window, at[row]), np.minimum((seq + 1) * window, (at + n)[row])
             start, length = low - at[row], high - low
             raw = batch.column("ids").to_pylist()
-            crc = [zlib.crc32(np.frombuffer(raw[r], "<u2", int(k), 2 * int(s)).astype("<u4").tobytes()) for r, s, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
+            wide = [len(x) // k for x, k in zip(raw, n.tolist(), strict=True)]  # bytes of an id
+            crc = [zlib.crc32(np.frombuffer(raw[r], f"<u{wide[r]}", int(k), wide[r] * int(s)).astype("<u4").tobytes()) for r, s, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[row]), pa.array(seq), pa.array(low - seq * window)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
@@ -154,11 +167,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "doc
     """Pack all documents into windows of ``window`` ids; only the last window needs padding.
 
     The order is that of the input's partitions. Null and empty texts hold the end id alone; repeated ids and rows are
-    separate documents (a null id stays null); an empty table gives no rows; other columns are ignored.
+    separate documents (a null id stays null); a long text gives a piece for each window that it touches; an empty table
+    gives no rows; other columns are ignored.
     """
     tokens = materialize(tokenize(docs, tokenizer, id_col, text_col, end_id), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    # one row for each task of pass 1: tiny beside the tokens, and never more than the number of tasks
-    offsets = totals.withColumn("before", F.sum("total").over(W.orderBy("part")) - F.col("total")).select("part", "before")
+    offsets = materialize(totals.withColumn("before", F.sum("total").over(W.orderBy("part")) - F.col("total")).select("part", "before"), "offsets")
+    if offsets.count() <= MOST_BROADCAST:  # one row for each task of pass 1, so the ids stay where they are
+        offsets = F.broadcast(offsets)
     placed = tokens.join(offsets, "part").withColumn("at", F.col("before") + F.col("start_in_part"))
     return cut(placed, window)
