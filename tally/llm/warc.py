@@ -33,9 +33,11 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
-    first = rows.filter(F.col("n_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
-    other = F.col("page_id").isNotNull() & (F.col("page_id") < F.col("first"))
-    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(other, F.col("first"))).drop("first")
+    narrow = rows.filter((F.col("n_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    first = narrow.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("digest", "first")
+    # settled on ids and digests; the payloads then move by page, so that a common one is no task's alone
+    revisits = narrow.join(first, "digest").filter("page_id < first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    return rows.join(revisits, ["page_id", "digest"], "left")
 
 
 def record(page_id, url, html: bytes, digest: str, n_bytes: int, refers_to) -> bytes:
@@ -194,8 +196,9 @@ def read_archives(archives: DataFrame, folder: str, split: int = 16 << 20, paylo
 def round_trip(spark: SparkSession, pages: DataFrame, split: int = 16 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write ``pages`` as archives into the shared folder and read them back, one row per page.
 
-    Null html is an empty payload, a null url an empty one, a null id stays null (such rows are always responses); an empty
-    table gives no rows; other columns are ignored.
+    Null html is an empty payload, a null url an empty one, a null id stays null (such rows are always responses and no
+    others refer to them); a long payload is one record, held whole by the task that writes or reads it; an empty table gives
+    no rows; other columns are ignored.
     """
     folder = new_path(spark, "warc")
     archives = materialize(write_archives(plan_records(pages, id_col, url_col, html_col), folder), "archives")
