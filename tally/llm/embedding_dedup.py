@@ -31,14 +31,16 @@ def plan_tables(n: int, threshold: float, recall: float, bucket: int = 256) -> t
 
 
 def signatures(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """``classes`` (rep, copies, dim, vec) with ``keys``: one sign pattern per table."""
+    """``classes`` (rep, copies, dim, vec) with ``keys``: one sign pattern per table, as ints where the bits fit."""
+    kind, schema = (np.int32, "array<int>") if bits < 32 else (np.int64, "array<long>")
+    vec = dict(classes.dtypes)["vec"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
             flat, offsets = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(dims)])
-            keys = np.zeros((batch.num_rows, tables), np.int64)
+            keys = np.zeros((batch.num_rows, tables), kind)
             for dim in np.unique(dims):
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), tables * bits))
@@ -49,7 +51,7 @@ def signatures(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFra
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "dim", "vec")), lists], ["rep", "copies", "dim", "vec", "keys"])
 
-    return classes.select("rep", "copies", "dim", "vec").mapInArrow(run, "rep long, copies long, dim int, vec array<double>, keys array<long>")
+    return classes.select("rep", "copies", "dim", "vec").mapInArrow(run, f"rep long, copies long, dim int, vec {vec}, keys {schema}")
 
 
 def spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -72,7 +74,7 @@ def links_in_bucket(threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         table, lower, upper = int(group["table"].iloc[0]), int(group["low"].iloc[0]), int(group["high"].iloc[0])
         group = group.sort_values("rep", kind="stable").reset_index(drop=True)
-        vectors = np.vstack(group["vec"].to_numpy())
+        vectors = np.vstack(group["vec"].to_numpy()).astype(np.float64)
         vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # the squares of huge or tiny components stay finite
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         keys, own = np.vstack(group["keys"].to_numpy()), group["own"].to_numpy()
@@ -108,13 +110,14 @@ def near_duplicates(
     null id, link with nothing (null ids keep a null component and are kept). Rows that repeat an id count as vectors of
     their own with that id. An empty table gives no rows; other columns are ignored.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # cosines are in double precision either way
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vec"))
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~F.coalesce(F.exists("vec", odd), F.lit(True)) & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("vec", F.when(usable, F.col("vec")))
     classes = materialize(rows.filter("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")), "classes")
     bits, tables = plan_tables(classes.count(), threshold, recall)
-    signed = signatures(classes, bits, tables, seed)
+    signed = materialize(signatures(classes, bits, tables, seed), "signed")
     place = ["dim", "table", "key"]
     sizes = signed.select("dim", F.posexplode("keys").alias("table", "key")).groupBy(*place).agg(F.count("*").alias("size")).filter("size > 1")
     members = signed.select("rep", "copies", "dim", "vec", "keys", F.posexplode("keys").alias("table", "key")).join(sizes, place)
