@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tally.llm.common import fresh, is_held_out
 
 BUCKETS = 1 << 18
+#: The highest grade, which every document has where there are no labels.
+BEST = 2
 #: Labelled rows that the fit uses at most, one for an id: those with the least hash of their id.
 FIT_ROWS = 6_000
 WORDS_KEPT = 500_000
@@ -64,15 +66,22 @@ class Model:
         """P(grade > low + j) for each score and cut j."""
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -40, 40)))
 
+    def above(self, score: np.ndarray, grade: int) -> np.ndarray:
+        """P(grade > ``grade``): certain outside the grades of the labels."""
+        at = grade - self.low
+        if at < 0 or at >= len(self.cuts):
+            return np.full(len(score), float(at < 0))
+        return self.tails(score)[:, at]
+
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 200, rate: float = 0.3, ridge: float = 1e-5) -> Model:
     """Maximum likelihood of (grade, buckets, values), full gradients with Adam steps; cuts stay ordered by construction."""
     if not rows:
-        return Model(np.zeros(BUCKETS, np.float32), np.array([-40.0]), 0)
+        return Model(np.zeros(BUCKETS, np.float32), np.empty(0), BEST)
     grade = np.array([r[0] for r in rows])
     low, levels = int(grade.min()), int(grade.max() - grade.min())
     if not levels:  # one grade only: nothing to tell apart
-        return Model(np.zeros(BUCKETS, np.float32), np.array([-40.0]), low)
+        return Model(np.zeros(BUCKETS, np.float32), np.empty(0), low)
     grade = grade - low
     used, column = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
     value = np.concatenate([r[2] for r in rows]).astype(np.float64)
@@ -120,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", cut: int = 0, least: float = 0.5) -> DataFrame:
-    """``docs`` with expected_grade, tail_probability (of a grade above cut ``cut``) and accepted (it reaches ``least``).
+    """``docs`` with expected_grade, tail_probability (of a grade above ``cut``) and accepted (it reaches ``least``).
 
     Null and empty texts are scored as texts without tokens. Clashing column names get underscores before ours.
     """
@@ -142,7 +151,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", cut: int = 0, l
             of_tokens = sum(map(kept.__getitem__, tokens)) / len(tokens) if tokens else 0.0
             scores.append(of_tokens + sum(float(model.weights[slot]) for slot in whole_slots(tokens)))
         tails = model.tails(np.array(scores, float))
-        return pd.DataFrame({"expected": model.low + tails.sum(axis=1), "tail": tails[:, min(cut, tails.shape[1] - 1)]})
+        return pd.DataFrame({"expected": model.low + tails.sum(axis=1), "tail": model.above(np.array(scores, float), cut)})
 
     held = fresh(docs, "judged")
     out = docs.withColumn(held, judged(F.col(text_col).cast("string")))
@@ -153,16 +162,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", cut: int = 0, l
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, expected_grade, tail_probability, accepted), one row per document.
 
-    Trains on labelled documents that are not held out and scores all. Repeated rows are scored each by itself; with no
-    usable labels, or labels of one grade, every document is accepted; an empty table gives no rows.
+    Trains on labelled documents that are not held out and scores all. Null and empty texts are scored as texts without
+    tokens; repeated rows are scored each by itself; a null id is not held out. Labels of one grade give every document that
+    grade, and no usable labels the highest; an empty table gives no rows; other columns are ignored.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = score(plain, train(docs, labels, id_col, text_col))
-    return scored.select("doc_id", is_held_out("doc_id").alias("held_out"), "expected_grade", "tail_probability", "accepted")
+    return scored.select("doc_id", F.coalesce(is_held_out("doc_id"), F.lit(False)).alias("held_out"), "expected_grade", "tail_probability", "accepted")
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns."""
+    """The rows of ``docs`` that the classifier accepts, with their columns, whatever these are called; see classify()."""
     model = train(docs, labels, id_col, text_col)
     scored = score(docs, model, text_col)
     return scored.filter(F.col(fresh(docs, "accepted"))).select(*docs.columns)

@@ -76,7 +76,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
             got = np.array(rows, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + i) for i in range(len(names))), *(pa.array(got[:, i]) for i in range(5))], ["doc_id", *names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(n) for k, n in zip(keys, names, strict=True)))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")).alias(n) for k, n in zip(keys, names, strict=True)))
     return picked.mapInArrow(run, "doc_id long, " + "".join(f"{n} string, " for n in names) + "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
 
 
