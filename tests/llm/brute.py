@@ -89,6 +89,117 @@ def repeated_bytes(texts, length):
     return out
 
 
+def without_repeats(texts, length):
+    """Texts (bytes) without the bytes that repeated strings cover; cuts shrink to whole characters."""
+    count = Counter()
+    for t in texts:
+        count.update(t[i : i + length] for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        left, at = [], 0
+        while at < len(t):
+            end = at + 1
+            while end < len(t) and t[end] & 0xC0 == 0x80:
+                end += 1
+            if not gone[at:end].all():
+                left.append(t[at:end])
+            at = end
+        out.append(b"".join(left))
+    return out
+
+
+def copies(rows, exponent, seed):
+    """rows: (doc_id, source, text) -> {doc_id: rows of the mix with that id}."""
+    size = Counter()
+    for _, source, text in rows:
+        size[source or ""] += len(text or "")
+    weight = {s: n**exponent if n else 0.0 for s, n in size.items()}
+    out = Counter()
+    for i, source, _ in rows:
+        s = source or ""
+        rate = round(weight[s] / sum(weight.values()) * sum(size.values()) / size[s], 9) if size[s] else 0.0
+        u = int(hashlib.md5(f"{seed}|{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        n, p = 0, np.exp(-rate)
+        total = p
+        while rate > 0 and u >= total and n < 300:
+            n += 1
+            p *= rate / n
+            total += p
+        out[i] += n
+    return out
+
+
+def article(page):
+    """The text of a page's <article>: blocks joined by one space."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        depth, blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag not in ("b", "br"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            if tag != "b":
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.depth:
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.blocks = [""]
+    reader.feed(page or "")
+    reader.close()
+    return " ".join(" ".join(x.split()) for x in reader.blocks if x.strip())
+
+
+def quality_verdicts(rows):
+    """rows: {doc_id: (lang, source, five counts)} -> ({doc_id: kept}, ids so near a limit that rounding decides).
+
+    The limits as the docstring of quality_rules states them, from exact quartiles.
+    """
+    measures = {"symbol": (2, 1, 1), "lines": (3, 100, 1), "repeat": (4, 1, 16), "mean": (1, 1, 1)}
+    ok = {i: r for i, r in rows.items() if not (r[2] < 20 or 100 * r[6] > 30 * r[2])}
+
+    def quartiles(of, m):
+        at, per, _ = measures[m]
+        values = np.sort([r[2 + at] * per / max(r[2], 1) for r in of])
+        return np.array([values[max(0, int(np.ceil(q * len(values))) - 1)] for q in (0.25, 0.5, 0.75)])
+
+    def pulled(own, n, above):
+        return (n * own + 10 * above) / (n + 10)
+
+    kept, near = dict.fromkeys(rows, False), set()
+    for i, r in ok.items():
+        own = [x for x in ok.values() if x[:2] == r[:2]]
+        parent = [x for x in ok.values() if x[0] == r[0]]
+        fails = []
+        for m, (at, per, unit) in measures.items():
+            whole = quartiles(list(ok.values()), m)
+            up = pulled(quartiles(parent, m), len(parent), whole)
+            me = pulled(quartiles(own, m), len(own), up)
+            for sign in (1, -1) if m == "mean" else (1,):
+                fence = lambda q: sign * (q[1 + sign] - q[1]) + 3 * sign * (q[1 + sign] - q[1 - sign])  # noqa: B023, E731
+                reach = max(sorted(map(fence, (me, up, whole)))[1], 7 * sign * (me[1] - me[1 - sign]))
+                expected = max(me[1] + sign * reach, 0) / per * r[2]
+                over = sign * (r[2 + at] - expected) - 3 * unit * max(expected / unit, 1) ** 0.5
+                fails.append(over > 0)
+                if abs(over) < 0.05 * (1 + expected):
+                    near.add(i)
+        kept[i] = not any(fails)
+    return kept, near
+
+
 def near_vectors(rows, threshold=0.9):
     good = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = []

@@ -136,6 +136,37 @@ def test_html_mixed_articles():
         assert html_extract.main_text(page) == plain("One", *both, words("q"), "Two", *both)
 
 
+def test_html_ablation(monkeypatch):
+    """The densities decide: without them the whole body is taken."""
+    words = " ".join(["word"] * 60)
+    links = "".join(f"<li><a href=/{i}>topic {i}</a></li>" for i in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div><div><p>{words}</p><p>{words}</p><p>{words}</p></div></div><div><p>short words</p><ul>{links}</ul></div></body>"
+    assert html_extract.main_text(page) == " ".join([words] * 3)
+    monkeypatch.setattr(html_extract, "weigh", lambda order, body: None)
+    assert "topic 3" in html_extract.main_text(page)
+
+
+def test_html_named_containers():
+    words = " ".join(["word"] * 80)
+    for token in ("has-sidebar content", "article-header", "social-history"):
+        for tag in ("div", "section"):
+            assert html_extract.main_text(f"<body><{tag} class='{token}'><h1>Head</h1><p>{words}</p><p>{words}</p></{tag}></body>") == f"Head {words} {words}"
+    page = f"<body><article><div class=article-header><h1>Head</h1></div><p>{words}</p><section class=social-history><p>{words}</p></section><div class=share>share</div></article></body>"
+    assert html_extract.main_text(page) == f"Head {words} {words}"
+
+
+def test_html_deep_pages():
+    import time
+
+    def took(page):
+        start = time.time()
+        html_extract.main_text(page)
+        return time.time() - start
+
+    for make in (lambda n: "<div>" * n + "</x>" * n, lambda n: "<p><button>" + "<span>" * n + "<h2>x</h2>" * n, lambda n: "<article>" * n + "text"):
+        assert took(make(40_000)) < 20 * (took(make(4_000)) + 0.05)  # ten times the tags; a quadratic parser takes a hundred times as long
+
+
 def test_html_noise():
     words = " ".join(["word"] * 80)
     for attributes in ("div class='content has-sidebar'", "div class=no-comments", "div id=share-story", "div class=page-with-header", "div class=widget", "form method=post", "form><fieldset"):
@@ -149,10 +180,13 @@ def test_html_noise():
 
 
 def test_pages(spark):
-    import re
-
-    for r in html_extract.extract(spark.read.parquet(f"{DIR}/pages.parquet")).collect():
-        assert r["n_chars"] == len(r["text"]) and not re.search(r"track\(|margin:0", r["text"])
+    """Against a plain reading of these pages, whose text lies in one <article> each."""
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    twice = pages.unionByName(pages.limit(3)).withColumn("text", F.lit("clash"))
+    got = html_extract.extract(twice).collect()
+    assert len(got) == len(html) + 3 and html_extract.extract(pages.limit(0)).count() == 0
+    assert all(r["text"] == brute.article(html[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in got)
 
 
 def test_classifiers_on_held_out_rows(spark):
@@ -177,17 +211,179 @@ def test_classifier_rows(spark, monkeypatch):
     assert seen == [labels.filter(~quality_classifier.is_held_out("doc_id")).count()]
 
 
+@pytest.mark.parametrize("grade", [0, 2])
+def test_one_grade(spark, grade):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(1, 40)] + [(None, None)], "doc_id long, text string").withColumn("accepted", F.lit("clash"))
+    labels = docs.select("doc_id", F.lit(int(grade > 0)).alias("quality"), F.lit(0).alias("toxic"))
+    got = quality_classifier.classify(docs, labels).collect()
+    assert len(got) == 40 and all((r["expected_grade"], r["tail_probability"], r["accepted"]) == (grade, float(grade > 0), grade > 0) for r in got)
+    assert [r["held_out"] for r in got if r["doc_id"] is None] == [False]
+    assert quality_classifier.keep_accepted(docs, labels).columns == docs.columns
+
+
+def test_ordinal_fit_is_most_likely():
+    """Cuts and weights against a plain search of the likelihood, on one feature."""
+    draw = np.random.default_rng(1)
+    x = draw.uniform(0, 1, 600)
+    grade = (x + draw.logistic(0, 0.3, 600) > 0.3).astype(int) + (x + draw.logistic(0, 0.3, 600) > 0.8)
+    model = quality_classifier.fit([(int(g), np.array([7], np.int32), np.array([v], np.float32)) for g, v in zip(grade, x, strict=True)], steps=800)
+
+    def loss(w, first, gap):
+        edge = np.array([-np.inf, first, first + gap, np.inf])
+        mass = 1 / (1 + np.exp(w * x - edge[grade + 1])) - 1 / (1 + np.exp(w * x - edge[grade]))
+        return -np.log(mass).mean()
+
+    with np.errstate(over="ignore"):
+        ours = loss(float(model.weights[7]), model.cuts[0], model.cuts[1] - model.cuts[0])
+        best = min(loss(w, a, g) for w in np.linspace(0, 6, 31) for a in np.linspace(-2, 3, 26) for g in np.linspace(0.1, 4, 40))
+    assert ours <= best + 1e-3
+    assert model.above(np.array([0.0]), -1) == [1.0] and model.above(np.array([0.0]), 2) == [0.0]
+
+
+def test_quality_groups_of_null(spark):
+    df = spark.createDataFrame([(1, "a " * 30, None, "s"), (2, "b " * 30, "", "s"), (3, "c " * 30, "=", "s")], "doc_id long, text string, lang string, source string")
+    assert {r["key0"] for r in quality_rules.measures(df).collect()} == {"", "=", "=="}
+
+
+def test_quality_verdict_by_exact_quantiles(spark):
+    """``kept`` as exact quartiles would have it: groups below the sketches' size are held exactly."""
+    df = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = {r["doc_id"]: (r["lang"], r["source"], *brute.quality(r["text"])) for r in df.collect()}
+    want, near = brute.quality_verdicts(rows)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df).collect()}
+    assert all(got[i] == k for i, k in want.items() if i not in near) and len(near) < 0.02 * len(want)
+
+
+def test_minhash_of_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i * i % 997}" for i in range(120)) for x in "ab")
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (8, b), (3, b + " y z"), (9, ""), (9, None), (9, a), (9, a), (None, a), (None, b), (11, "q r s t u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.lit(0))
+    got = sorted((r["doc_id"] or 0, r["n_shingles"] > 0, r["component_id"] or 0) for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == sorted([(5, True, 3), (5, True, 3), (6, True, 3), (7, True, 3), (8, True, 3), (3, True, 3), (9, False, 9), (9, False, 9), (9, True, 3), (9, True, 3), (0, True, 0), (0, True, 0), (11, True, 11)])
+    kept = minhash_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(3, b + " y z"), (9, ""), (9, ""), (0, a), (0, b), (11, "q r s t u")])
+    two = minhash_dedup.keep_one(df.filter("doc_id = 5"))
+    assert sorted(r["text"] for r in two.collect()) == [a, b]
+
+
+def test_packing_of_wide_ids(spark):
+    assert packing.id_kind(65_535) == "<u2" and packing.id_kind(65_536) == "<u4"
+    from tokenizers import Tokenizer
+
+    rows = [(1, "some words here"), (1, "some words here"), (None, "x"), (3, "y " * 6000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), catalog.tokenizer_path(), end_id=70_000).collect()
+    ids = [*Tokenizer.from_file(catalog.tokenizer_path()).encode("x", add_special_tokens=False).ids, 70_000]
+    import zlib
+
+    assert [r["ids_crc32"] for r in got if r["doc_id"] is None] == [zlib.crc32(np.array(ids, "<u4").tobytes())]
+    assert sum(r["length"] for r in got if r["doc_id"] == 3) == got[-1]["doc_tokens"] or len(got) >= 5
+
+
+def test_packing_leaves_ids_in_place(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").repartition(4)
+    plan = packing.pack(df, catalog.tokenizer_path())._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_warc_pages(spark):
+    import hashlib
+
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    pages = pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 100_000).filter("page_id % 3 = 0")).withColumn("digest", F.lit("clash"))
+    rows = [(r["page_id"], (r["html"] or "").encode()) for r in pages.collect()]
+    first: dict[bytes, int] = {}
+    for i, raw in rows:
+        first[raw] = max(first.get(raw, i), i)
+    want = {i: (len(raw), hashlib.sha1(raw).hexdigest(), *(("revisit", first[raw]) if len(raw) >= 1000 and first[raw] != i else ("response", None))) for i, raw in rows}
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(spark, pages, 100_000).collect()}
+    assert got == want
+
+
+def test_toxicity_rows(spark):
+    """Awkward rows, and scores of labelled words in both directions."""
+    rude = ["blarg", "snork", "frotz"]
+    rows = [(i, " ".join(["calm"] * 20 + [f"w{i % 13}"] * 5 + ([rude[i % 3], "you"] * 6 if i % 4 == 0 else [])), "en") for i in range(1, 400)]
+    rows += [(1000, None, None), (1001, "", "en"), (1002, "blarg you " * 40_000, "en"), (1003, "calm " * 100_000, "en"), (None, "snork you frotz", "en"), (1, rows[0][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(7))
+    labels = spark.range(1, 400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, 1).otherwise(0).alias("toxic")).unionByName(spark.createDataFrame([(None, 1), (5000, None)], "doc_id long, toxic int"))
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[1002]["predicted"] == 1 and by_id[None]["predicted"] == 1 and not by_id[None]["held_out"]
+    assert by_id[1000]["score"] == by_id[1001]["score"] < 0.3 and by_id[1003]["predicted"] == 0
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in got if r["doc_id"] and r["doc_id"] < 400) >= 390
+    assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
 def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeats", "mixed", "packed"]
     assert corpus_pipeline.run(spark, DIR).count() > 0
 
 
-def test_near_duplicate_stage(spark):
-    table = spark.read.parquet(f"{DIR}/documents.parquet")
-    pairs = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
+@pytest.fixture(scope="module")
+def stage_docs(spark):
+    """The smallest table with what a stage may meet: nulls, an empty and a long text, repeated rows, a clashing column."""
+    given = spark.read.parquet(f"{DIR}/documents.parquet")
+    odd = [(90_001, None, "en", "web", 0), (90_002, "", None, None, 0), (90_003, LONG, "en", "web", len(LONG)), (90_004, BASE, "en", "books", len(BASE)), (90_004, BASE, "en", "books", len(BASE)), (None, BASE + "tail", "en", "web", len(BASE) + 4)]
+    return given.unionByName(spark.createDataFrame(odd, given.schema)).withColumn("tag", F.lit("t"))
+
+
+def test_quality_stage(spark, stage_docs):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    model = quality_classifier.train(stage_docs, labels)
+
+    def accepted(text):
+        slot, value = quality_classifier.features(text or "")
+        return 1 / (1 + np.exp(model.cuts[0] - float((model.weights[slot].astype(float) * value).sum()))) >= 0.5
+
+    want = sorted((r["doc_id"] or 0, r["text"] or "") for r in stage_docs.collect() if accepted(r["text"]))
+    got = corpus_pipeline.quality(spark, stage_docs, DIR)
+    assert got.columns == stage_docs.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == want
+    assert corpus_pipeline.quality(spark, stage_docs.limit(0), DIR).count() == 0
+
+
+def test_near_duplicate_stage(spark, stage_docs):
+    pairs = [(r["doc_id"], r["text"]) for r in stage_docs.filter("doc_id is not null").select("doc_id", "text").collect()]
     want = sorted(i for i, (_, component) in brute.near_documents(pairs, 5).items() if i == component)
-    got = dict(corpus_pipeline.near_duplicates(spark, table, DIR).select("doc_id", "text").collect())
-    assert sorted(got) == want and all(got[i] == t for i, t in pairs if i in got)
+    got = corpus_pipeline.near_duplicates(spark, stage_docs, DIR)
+    assert got.columns == stage_docs.columns
+    texts = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted(i for i, _ in texts if i is not None) == want and (None, BASE + "tail") in texts
+    assert all(dict(pairs)[i] == t for i, t in texts if i is not None)
+    assert corpus_pipeline.near_duplicates(spark, stage_docs.limit(0), DIR).count() == 0
+
+
+def test_repeats_stage(spark, stage_docs):
+    rows = [(r["doc_id"], r["text"]) for r in stage_docs.select("doc_id", "text").collect()]
+    left = brute.without_repeats([(t or "").encode() for _, t in rows], 200)
+    want = sorted((i or 0, x.decode() if t is not None else "null") for (i, t), x in zip(rows, left, strict=True))
+    got = corpus_pipeline.repeats(spark, stage_docs, DIR)
+    assert got.columns == stage_docs.columns
+    found = got.collect()
+    assert sorted((r["doc_id"] or 0, "null" if r["text"] is None else r["text"]) for r in found) == want
+    assert all(r["n_chars"] == len(r["text"] or "") for r in found)
+    assert corpus_pipeline.repeats(spark, stage_docs.limit(0), DIR).count() == 0
+
+
+def test_mixed_stage(spark, stage_docs):
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in stage_docs.collect()]
+    want = brute.copies(rows, 0.5, 20)
+    got = corpus_pipeline.mixed(spark, stage_docs, DIR)
+    assert got.columns == stage_docs.columns
+    found: dict = {}
+    for r in got.collect():
+        found[r["doc_id"]] = found.get(r["doc_id"], 0) + 1
+    assert found == {i: n for i, n in want.items() if n}
+    assert corpus_pipeline.mixed(spark, stage_docs.limit(0), DIR).count() == 0
+
+
+def test_packed_stage(spark, stage_docs):
+    from tokenizers import Tokenizer
+
+    one = stage_docs.filter("doc_id is not null and doc_id <> 90004")
+    got = [tuple(r) for r in corpus_pipeline.packed(spark, one, DIR).collect()]
+    brute.pieces_hold([(r["doc_id"], r["text"]) for r in one.collect()], got, Tokenizer.from_file(catalog.tokenizer_path()))
 
 
 def test_mixing_same_as_sql(spark):
