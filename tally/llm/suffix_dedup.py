@@ -10,7 +10,7 @@ equal windows have their anchor at the same place, so about one position in eigh
 3. The other reaches of a gram go on. A window has some of its remaining bytes before the gram and some behind it. The range
    of that number is cut into parts, and each part's next digit holds the bytes that all its windows share; parts are cut on
    until one window is left, whose groups of two or more are exactly the repeated windows. Spark does these passes for grams
-   of very many reaches, one shuffle for each; groups of at most ``GROUP`` are sorted inside a task.
+   of very many reaches; groups of at most ``GROUP`` (some 7 MB) are sorted inside a task.
 
 Grams and whole reaches are told apart by 64-bit hashes (both must agree), all later digits by their bytes.
 """
@@ -31,7 +31,7 @@ ANCHOR = 40
 #: Bytes that a task sorts through at once; longer texts go in overlapping segments.
 SEGMENT = 500_000
 #: Members of a group that a task sorts by itself; Spark passes on the larger ones.
-GROUP = 1_000
+GROUP = 20_000
 #: Parts into which one pass of Spark cuts a range of windows.
 PARTS = 4
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -277,34 +277,41 @@ def sort_groups(groups: DataFrame, length: int) -> DataFrame:
     return picked.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, SPAN)
 
 
-def cut_ranges(groups: DataFrame, length: int) -> DataFrame:
-    """One pass of Spark: each member in each part of its group's range of windows that it has windows in, with the bytes
-    that the part's windows share as ``key`` and the new ``size`` of its group; groups of one leave."""
+def cut_ranges(groups: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """One pass of Spark over groups (gram, low, high): (groups of the next pass, repeated stretches).
+
+    Each member enters each part of its group's range that it has windows in, cut down to the bytes of these windows.
+    Members that are equal there are repeated throughout, and one of them goes on. The bytes that all windows of the part
+    share are the digit (``key``) of the next groups; groups of one leave.
+    """
     width = length - ANCHOR
     step = F.ceil((F.col("high") - F.col("low") + 1) / PARTS).cast("int")
     parts = F.transform(F.sequence(F.col("low"), F.col("high"), step), lambda x: F.struct(x.alias("low"), F.least(x + step - 1, F.col("high")).alias("high")))
     behind = F.octet_length("bytes") - F.col("before") - ANCHOR
     each = groups.drop("key", "size").withColumn("part", F.explode(parts)).withColumn("low", F.col("part.low")).withColumn("high", F.col("part.high")).drop("part")
     each = each.filter(F.greatest("low", width - behind) <= F.least("high", "before"))
-    share = F.col("low") + ANCHOR + width - F.col("high")
-    keyed_by = ["gram", "low", "high", "key"]
-    each = materialize(each.withColumn("key", F.substring(F.col("bytes"), F.col("before") - F.col("low") + 1, share)), "digits")
-    counts = each.groupBy(*keyed_by).agg(F.count("*").alias("size")).filter("size > 1")
-    return materialize(each.join(counts, keyed_by), "groups")
+    before = F.least("before", "high")
+    clipped = F.substring(F.col("bytes"), F.col("before") - before + 1, before + ANCHOR + F.least(behind, width - F.col("low")))
+    each = materialize(each.select("gram", "low", "high", before.alias("before"), clipped.alias("bytes"), "n", "doc", "tag", "pos"), "digits")
+    same = ["gram", "low", "high", "before", "bytes"]
+    classes = materialize(each.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("n", "doc", "tag", "pos")).alias("x")), "classes")
+    start = F.col("pos") - F.col("before")
+    repeated = each.filter("n = 1").join(classes.filter("c > 1").select(*same), same).select("doc", "tag", start.alias("start"), (start + F.octet_length("bytes")).alias("end"))
+    key = F.substring(F.col("bytes"), F.col("before") - F.col("low") + 1, F.col("low") + ANCHOR + width - F.col("high"))
+    rest = classes.filter("low < high").select(*same, key.alias("key"), F.greatest("c", "x.n").alias("n"), "x.doc", "x.tag", "x.pos")
+    by = ["gram", "low", "high", "key"]
+    return materialize(rest.join(rest.groupBy(*by).agg(F.count("*").alias("size")).filter("size > 1"), by), "groups"), repeated
 
 
 def sort_all(reaches: DataFrame, length: int) -> DataFrame:
-    """(doc, tag, start, end) as sort_groups, for groups of any size: Spark passes on those beyond GROUP until they are small
-    or down to one window."""
+    """(doc, tag, start, end) as sort_groups, for groups of any size: Spark passes on those beyond GROUP until they are small."""
     groups = reaches.withColumn("low", F.lit(0)).withColumn("high", F.lit(length - ANCHOR)).withColumn("key", F.lit(b""))
     found = sort_groups(groups.filter(F.col("size") <= GROUP), length)
     wide = groups.filter(F.col("size") > GROUP)
     while not wide.isEmpty():
-        groups = cut_ranges(wide, length)
-        start = F.col("pos") - F.col("low")
-        found = found.unionByName(groups.filter("low = high and n = 1").select("doc", "tag", start.alias("start"), (start + length).alias("end")))
-        found = found.unionByName(sort_groups(groups.filter((F.col("low") < F.col("high")) & (F.col("size") <= GROUP)), length))
-        wide = groups.filter((F.col("low") < F.col("high")) & (F.col("size") > GROUP))
+        groups, repeated = cut_ranges(wide, length)
+        found = found.unionByName(repeated).unionByName(sort_groups(groups.filter(F.col("size") <= GROUP), length))
+        wide = groups.filter(F.col("size") > GROUP)
     return found
 
 
