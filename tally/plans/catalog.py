@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tally.functions import text
 from tally.operators import audits, checks, dashboards, history, reviews, rules
-from tally.plans import oracle, oracle_audits, oracle_more
+from tally.plans import catalog_named, oracle, oracle_audits, oracle_more, oracle_named
 from tally.sources import ledger
 
 #: The month that buildings should have reached by now.
@@ -149,8 +149,8 @@ def queries() -> dict:
         "f36_base_balances": _on(audits.base_balances, a),
         "t3_latest_versions": _on(audits.latest_versions, ledger.imports),
         "q4_text_lint": _on(reviews.lint_texts, ledger.replies),
-    }
+    } | catalog_named.queries(_on, plain)
 
 
 def oracle_sql() -> dict:
-    return oracle.SQL | oracle_more.SQL | oracle_audits.SQL
+    return oracle.SQL | oracle_more.SQL | oracle_audits.SQL | oracle_named.SQL
