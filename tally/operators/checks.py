@@ -54,9 +54,3 @@ def pair_by_code(expense: DataFrame, evidence: DataFrame, tolerance: float = 0.0
     gap = F.abs(F.col("amount") - F.col("paid_amount"))
     kind = F.when(F.col("paid_amount").isNull(), "missing_evidence").when(gap <= tolerance, "verified").otherwise("divergent_amount")
     return listed.join(paid, [*KEYS, "code"], "left").withColumn("type", kind)
-
-
-def many_to_one(expense: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Expenses without evidence that share paid date and account, two or more: one payment may stand for all."""
-    open_rows = expense.join(evidence.select(*KEYS, "code").distinct(), [*KEYS, "code"], "left_anti")
-    return open_rows.groupBy(*KEYS, "paid", "account").agg(F.count_distinct("code").alias("codes"), F.sum("amount").alias("total")).filter("codes >= 2")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tally.functions import text
 from tally.operators import audits, checks, dashboards, history, reviews, rules
-from tally.plans import catalog_named, oracle, oracle_audits, oracle_more, oracle_named
+from tally.plans import catalog_matching, catalog_named, oracle, oracle_audits, oracle_matching, oracle_more, oracle_named
 from tally.sources import ledger
 
 #: The month that buildings should have reached by now.
@@ -104,7 +104,6 @@ def queries() -> dict:
         "a18_category_rollup": _on(checks.category_rollup, e),
         "a19_month_balance": _on(checks.month_balance, a),
         "j1_pair_by_code": _on(checks.pair_by_code, e, ledger.evidence),
-        "j4_many_to_one": _on(checks.many_to_one, e, ledger.evidence),
         "d2_period_kpis": _balance(dashboards.period_kpis),
         "d4_budget_tracking": _on(dashboards.budget_tracking, ledger.issuance),
         "d6_account_buckets": _on(dashboards.account_buckets, a),
@@ -149,8 +148,8 @@ def queries() -> dict:
         "f36_base_balances": _on(audits.base_balances, a),
         "t3_latest_versions": _on(audits.latest_versions, ledger.imports),
         "q4_text_lint": _on(reviews.lint_texts, ledger.replies),
-    } | catalog_named.queries(_on, plain)
+    } | catalog_named.queries(_on, plain) | catalog_matching.queries(_on, plain)
 
 
 def oracle_sql() -> dict:
-    return oracle.SQL | oracle_more.SQL | oracle_audits.SQL | oracle_named.SQL
+    return oracle.SQL | oracle_more.SQL | oracle_audits.SQL | oracle_named.SQL | oracle_matching.SQL

@@ -10,6 +10,13 @@ from tally.sources import ledger
 KEYS = ["condo_id", "month"]
 
 
+def one_per_code(rows: DataFrame) -> DataFrame:
+    """Of the rows of a code (the given lines repeat some), the one with the least amount, date, account and name."""
+    first = [c for c in ("amount", "paid", "account", "name", "month") if c in rows.columns]
+    rest = [c for c in rows.columns if c not in first and c != "code"]
+    return rows.groupBy("code").agg(F.min(F.struct(*first, *rest)).alias("x")).select("code", "x.*")
+
+
 def pick(ord_no: Column, texts: dict[int, Column], other: Column) -> Column:
     out = other
     for k, text in texts.items():
@@ -77,7 +84,7 @@ def overlay_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def withholdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taxes withheld: entries without a receipt of their own."""
-    rows = ledger.expense(spark, sf_dir).filter("ord % 11 = 0 and amount > 0").dropDuplicates(["code"])
+    rows = one_per_code(ledger.expense(spark, sf_dir).filter("ord % 11 = 0 and amount > 0"))
     tax = F.when(F.col("ord") % 3 == 0, "INSS").when(F.col("ord") % 3 == 1, "ISS").otherwise("PIS")
     due = F.date_add(F.last_day("month"), F.when(F.col("ord") % 5 == 0, 5).otherwise(0))
     return rows.select(*KEYS, "ord", "code", "amount", tax.alias("tax"), F.lit("RECEITA FEDERAL").alias("vendor"), due.alias("due"), "paid", "account")
@@ -106,7 +113,7 @@ def fiscal_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was read from the document of an entry; buildings 0 mod 9 have none in a month at all."""
-    rows = entries(spark, sf_dir).filter("ord % 11 <> 0 and condo_id % 9 <> 0").dropDuplicates(["code"])
+    rows = one_per_code(entries(spark, sf_dir).filter("ord % 11 <> 0 and condo_id % 9 <> 0"))
     o = F.col("ord")
     money = F.translate(F.format_number(F.abs("amount"), 2), ",.", ".,")
     text = F.when(o % 17 == 0, "").when(o % 3 == 0, F.concat(F.lit("[Pagina 1]\nNOTA FISCAL "), "invoice", F.lit("\nvalor total: R$ "), money, F.lit("\nEmitente "), "name")).when(o % 3 == 1, F.concat(F.lit("[Pagina 1]\nComprovante de Pagamento\nvalor: R$ "), money, F.lit("\nEncaminhar a Nota Fiscal junto"))).otherwise(F.concat(F.lit("[Pagina 1]\nDARF Documento No. 12345 "), "condo_id", F.lit(" 678\nBeneficiario "), "name"))
