@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tally.functions.calendar import next_business_days
 from tally.functions.text import norm_text
 from tally.operators.checks import account_identity, extraction_check
-from tally.operators.rules import CENT, KEYS, disproportionate_yield, earlier, negative_streak, previous
+from tally.operators.rules import CENT, KEYS, before, disproportionate_yield, negative_streak, numbered, previous, with_history
 
 
 def yield_concentrated(account_month: DataFrame, least: float = 10000) -> DataFrame:
@@ -83,10 +83,9 @@ def vendor_stability(expense: DataFrame, least: float = 0.5) -> DataFrame:
 
 def new_vendor(expense: DataFrame, least: float = 3000, months: int = 2) -> DataFrame:
     """G1 by exact names: vendors of ``least`` or more that no history month has, given ``months`` of history."""
-    sums = expense.groupBy(*KEYS, "vendor").agg(F.sum("amount").alias("total"))
-    past = earlier(sums.select(*KEYS, "vendor"))
-    known = past.select(*KEYS, "ago").distinct().groupBy(*KEYS).agg(F.count("*").alias("months")).filter(F.col("months") >= months)
-    return sums.filter(F.col("total") >= least).join(known.select(*KEYS), KEYS, "left_semi").join(past.select(*KEYS, "vendor").distinct(), [*KEYS, "vendor"], "left_anti")
+    sums = numbered(expense.groupBy(*KEYS, "vendor").agg(F.sum("amount").alias("total")))
+    new = sums.withColumn("seen", F.count("*").over(before("condo_id", "vendor"))).filter((F.col("seen") == 0) & (F.col("total") >= least)).drop("seen", "no")
+    return new.join(with_history(expense, months), KEYS, "left_semi")
 
 
 def expense_keys(expense: DataFrame) -> DataFrame:

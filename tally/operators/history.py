@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tally.operators.rules import KEYS, earlier, negative_streak, previous
+from tally.operators.rules import KEYS, before, earlier, negative_streak, numbered, previous
 
 
 def budget_change(issuance: DataFrame, limit: float = 0.3) -> DataFrame:
@@ -34,10 +34,9 @@ def negative_balance_alert(account_month: DataFrame, least: float = 1.0) -> Data
 
 def category_switch(expense: DataFrame, mass: int = 8) -> DataFrame:
     """A vendor known from the history, but never under this category; more than ``mass`` in a month are one move."""
-    now = expense.groupBy(*KEYS, "vendor", "category").agg(F.sum("amount").alias("total"))
-    past = earlier(now.select(*KEYS, "vendor", "category"))
-    seen, vendors = past.select(*KEYS, "vendor", "category").distinct(), past.select(*KEYS, "vendor").distinct()
-    moved = now.join(vendors, [*KEYS, "vendor"], "left_semi").join(seen, [*KEYS, "vendor", "category"], "left_anti")
+    now = numbered(expense.groupBy(*KEYS, "vendor", "category").agg(F.sum("amount").alias("total")))
+    known, here = F.count("*").over(before("condo_id", "vendor")), F.count("*").over(before("condo_id", "vendor", "category"))
+    moved = now.withColumn("known", known).withColumn("here", here).filter("known > 0 and here = 0")
     counts = moved.groupBy(*KEYS).agg(F.count("*").alias("n"))
     return moved.join(counts, KEYS).select(*KEYS, "vendor", "category", "total", F.when(F.col("n") > mass, "mass").otherwise("single").alias("kind"))
 

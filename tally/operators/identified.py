@@ -11,15 +11,10 @@ from pyspark.sql import functions as F
 
 from tally.functions import identity
 from tally.functions.text import account_key, installment, invoice_no, norm_text
-from tally.operators.rules import CENT, HISTORY, KEYS, earlier, previous
+from tally.operators.rules import CENT, HISTORY, KEYS, before, earlier, previous
 from tally.sources.ledger import month_no
 
 
-def before(*keys: str, months: int = HISTORY) -> W:
-    """The rows of the same keys in the ``months`` months before; needs a column ``no``."""
-    return W.partitionBy(*keys).orderBy("no").rangeBetween(-months, -1)
-
-
 def middle_of_cents(sorted_cents: Column) -> Column:
     """The median of an ascending list of cents, in money."""
     n = F.size(sorted_cents)

@@ -27,6 +27,23 @@ def earlier(df: DataFrame, months: int = HISTORY) -> DataFrame:
     return df.withColumn("ago", F.explode(F.sequence(F.lit(1), F.lit(months)))).withColumn("month", F.expr("add_months(month, ago)"))
 
 
+def before(*keys: str, months: int = HISTORY):
+    """The rows of the same keys in the ``months`` months before, by a column ``no``: one shuffle on the keys, no copies."""
+    from pyspark.sql import Window as W
+
+    return W.partitionBy(*keys).orderBy("no").rangeBetween(-months, -1)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn("no", F.year("month") * 12 + F.month("month"))
+
+
+def with_history(df: DataFrame, least: int = 1) -> DataFrame:
+    """(condo_id, month) with ``least`` months or more among the six before."""
+    months = numbered(df.select(*KEYS).distinct())
+    return months.withColumn("n", F.count("*").over(before("condo_id"))).filter(F.col("n") >= least).select(*KEYS)
+
+
 def negative_income(income: DataFrame) -> DataFrame:
     """Negative income by description without digits."""
     described = F.trim(F.regexp_replace(norm_text(F.col("description")), " *[0-9]+ *", " "))
@@ -47,9 +64,9 @@ def category_variation(expense: DataFrame, limit: float = 1.0, least: float = 10
 
 def repeated_invoice(expense: DataFrame) -> DataFrame:
     """The same vendor and invoice in the history months; installments are exempt."""
-    rows = expense.filter("inst_n is null").groupBy(*KEYS, "vendor", "invoice").agg(F.sum("amount").alias("total"))
-    before = earlier(rows.select(*KEYS, "vendor", "invoice", F.col("total").alias("earlier_total"))).groupBy(*KEYS, "vendor", "invoice").agg(F.count("*").alias("earlier_months"), F.sum("earlier_total").alias("earlier_total"))
-    return rows.join(before, [*KEYS, "vendor", "invoice"])
+    rows = numbered(expense.filter("inst_n is null").groupBy(*KEYS, "vendor", "invoice").agg(F.sum("amount").alias("total")))
+    past = before("condo_id", "vendor", "invoice")
+    return rows.withColumn("earlier_months", F.count("*").over(past)).withColumn("earlier_total", F.sum("total").over(past)).filter("earlier_months > 0").drop("no")
 
 
 def collection_rate(issuance: DataFrame, least: float = 0.9, most: float = 1.0) -> DataFrame:
@@ -99,10 +116,9 @@ def installments_same_month(expense: DataFrame) -> DataFrame:
 
 def new_category(expense: DataFrame) -> DataFrame:
     """Subcategories that no history month has; months without any history are left out."""
-    now = expense.groupBy(*KEYS, "subcategory").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
-    past = earlier(now.select(*KEYS, "subcategory")).select(*KEYS, "subcategory").distinct()
-    known = past.select(*KEYS).distinct()
-    return now.join(past, [*KEYS, "subcategory"], "left_anti").join(known, KEYS, "left_semi")
+    now = numbered(expense.groupBy(*KEYS, "subcategory").agg(F.sum("amount").alias("total"), F.count("*").alias("n")))
+    new = now.withColumn("seen", F.count("*").over(before("condo_id", "subcategory"))).filter("seen = 0").drop("seen", "no")
+    return new.join(with_history(expense), KEYS, "left_semi")
 
 
 def late_payment(expense: DataFrame) -> DataFrame:
@@ -115,10 +131,14 @@ def late_payment(expense: DataFrame) -> DataFrame:
 
 def missing_recurrent(expense: DataFrame, months: int = 3, least: float = 500) -> DataFrame:
     """Vendors present in each of the last ``months`` months and absent now, median of the months' sums at least ``least``."""
-    sums = expense.groupBy(*KEYS, "vendor").agg(F.sum("amount").alias("total"))
-    past = earlier(sums, months).groupBy(*KEYS, "vendor").agg(F.count("*").alias("n"), F.median(F.col("total").cast("double")).alias("usual")).filter((F.col("n") == months) & (F.col("usual") >= least))
-    there = expense.select(*KEYS).distinct()
-    return past.join(there, KEYS, "left_semi").join(sums, [*KEYS, "vendor"], "left_anti").select(*KEYS, "vendor", F.round("usual", 2).alias("usual"))
+    from pyspark.sql import Window as W
+
+    sums = numbered(expense.groupBy(*KEYS, "vendor").agg(F.sum("amount").alias("total")))
+    by_vendor = W.partitionBy("condo_id", "vendor").orderBy("no")
+    last = sums.withColumn("totals", F.array_sort(F.collect_list(F.col("total").cast("double")).over(by_vendor.rangeBetween(1 - months, 0)))).withColumn("after", F.lead("no").over(by_vendor))
+    middle = (F.get("totals", F.lit((months - 1) // 2)) + F.get("totals", F.lit(months // 2))) / 2
+    gone = last.filter((F.size("totals") == months) & (F.coalesce("after", F.lit(0)) != F.col("no") + 1)).withColumn("usual", middle).filter(F.col("usual") >= least)
+    return previous(gone.select(*KEYS, "vendor", F.round("usual", 2).alias("usual"))).join(expense.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
 def round_amount(expense: DataFrame, least: float = 2000, multiple: int = 100) -> DataFrame:

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from tally.functions import text
 from tally.operators import audits, checks, dashboards, history, reviews, rules
-from tally.plans import catalog_matching, catalog_named, oracle, oracle_audits, oracle_matching, oracle_more, oracle_named
+from tally.plans import catalog_matching, catalog_named, catalog_review, oracle, oracle_audits, oracle_matching, oracle_more, oracle_named, oracle_review
 from tally.sources import ledger
+from tally.sources.stored import stored
 
 #: The month that buildings should have reached by now.
 EXPECTED = "1998-11-01"
 
 
+expense, income, account_month = stored(ledger.expense), stored(ledger.income), stored(ledger.account_month)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Decimals to doubles and first-of-month dates to text, so that results compare across engines."""
     out = {c: F.col(c).cast("double") for c, kind in df.dtypes if kind.startswith("decimal")}
@@ -28,12 +32,12 @@ def _on(operator, *tables):
 
 
 def _balance(operator):
-    return lambda spark, sf_dir: plain(operator(checks.month_balance(ledger.account_month(spark, sf_dir))))
+    return lambda spark, sf_dir: plain(operator(checks.month_balance(account_month(spark, sf_dir))))
 
 
 def text_functions(spark, sf_dir):
     """F1, F2, F4, F5, F6, F7 over the expense entries."""
-    rows = ledger.expense(spark, sf_dir)
+    rows = expense(spark, sf_dir)
     d = F.col("description")
     part = text.installment(d)
     return plain(rows.select("code", text.norm_text(d).alias("norm"), text.invoice_no(d).alias("invoice_no"), part["n"].alias("n"), part["total"].alias("total"), text.base_description(d).alias("base"), text.format_brl(F.col("amount")).alias("brl")).distinct())
@@ -41,44 +45,44 @@ def text_functions(spark, sf_dir):
 
 def parse_round_trip(spark, sf_dir):
     """amounts written in the Brazilian format and read back, summed per building."""
-    rows = ledger.expense(spark, sf_dir).select("condo_id", text.parse_brl(text.format_brl(F.col("amount"))).alias("amount"))
+    rows = expense(spark, sf_dir).select("condo_id", text.parse_brl(text.format_brl(F.col("amount"))).alias("amount"))
     return plain(rows.groupBy("condo_id").agg(F.sum("amount").alias("total"), F.count("amount").alias("n")))
 
 
 def flagship(spark, sf_dir):
     """Findings of the main rules in one set."""
-    expense, account = ledger.expense(spark, sf_dir), ledger.account_month(spark, sf_dir)
+    entries, account = expense(spark, sf_dir), account_month(spark, sf_dir)
     parts = [
-        rules.finding(rules.negative_income(ledger.income(spark, sf_dir)), "negative_income", "R1", F.col("description"), F.col("total")),
-        rules.finding(rules.category_variation(expense), "category_variation", "R4", F.col("category"), F.col("total")),
+        rules.finding(rules.negative_income(income(spark, sf_dir)), "negative_income", "R1", F.col("description"), F.col("total")),
+        rules.finding(rules.category_variation(entries), "category_variation", "R4", F.col("category"), F.col("total")),
         rules.finding(rules.negative_streak(account), "negative_balance", "R7", F.col("account"), F.col("closing")),
         rules.finding(rules.balance_continuity(account), "balance_continuity", "R9", F.col("account"), F.col("gap")),
-        rules.finding(checks.duplicate_codes(expense), "duplicate", "A7", F.col("code"), F.col("amount")),
+        rules.finding(checks.duplicate_codes(entries), "duplicate", "A7", F.col("code"), F.col("amount")),
     ]
     return plain(rules.all_findings(parts))
 
 
 def reviewed(spark, sf_dir):
     """Findings on income, continuity and duplicates with their waivers."""
-    found = rules.finding(rules.negative_income(ledger.income(spark, sf_dir)), "negative_income", "R1", F.col("description"), F.col("total"))
-    found = found.unionByName(rules.finding(rules.balance_continuity(ledger.account_month(spark, sf_dir)), "balance_continuity", "R9", F.col("account"), F.col("gap")))
-    found = found.unionByName(rules.finding(checks.duplicate_codes(ledger.expense(spark, sf_dir)), "duplicate", "A7", F.col("code"), F.col("amount")))
+    found = rules.finding(rules.negative_income(income(spark, sf_dir)), "negative_income", "R1", F.col("description"), F.col("total"))
+    found = found.unionByName(rules.finding(rules.balance_continuity(account_month(spark, sf_dir)), "balance_continuity", "R9", F.col("account"), F.col("gap")))
+    found = found.unionByName(rules.finding(checks.duplicate_codes(expense(spark, sf_dir)), "duplicate", "A7", F.col("code"), F.col("amount")))
     return reviews.apply_waivers(found, ledger.waivers(found))
 
 
 def month_card(spark, sf_dir):
     """D3 over the month's balance and its ranked categories."""
-    return plain(reviews.month_card(checks.month_balance(ledger.account_month(spark, sf_dir)), checks.category_rollup(ledger.expense(spark, sf_dir))))
+    return plain(reviews.month_card(checks.month_balance(account_month(spark, sf_dir)), checks.category_rollup(expense(spark, sf_dir))))
 
 
 def building_status(spark, sf_dir):
     """D11 for November 1998."""
-    snapshot = dashboards.snapshot_latest(checks.month_balance(ledger.account_month(spark, sf_dir)))
+    snapshot = dashboards.snapshot_latest(checks.month_balance(account_month(spark, sf_dir)))
     return plain(reviews.building_status(snapshot, dashboards.last_import(ledger.imports(spark, sf_dir)), EXPECTED))
 
 
 def queries() -> dict:
-    e, i, a = ledger.expense, ledger.income, ledger.account_month
+    e, i, a = expense, income, account_month
     return {
         "text_functions": text_functions,
         "f3_parse_brl": parse_round_trip,
@@ -148,8 +152,8 @@ def queries() -> dict:
         "f36_base_balances": _on(audits.base_balances, a),
         "t3_latest_versions": _on(audits.latest_versions, ledger.imports),
         "q4_text_lint": _on(reviews.lint_texts, ledger.replies),
-    } | catalog_named.queries(_on, plain) | catalog_matching.queries(_on, plain)
+    } | catalog_named.queries(_on, plain) | catalog_matching.queries(_on, plain) | catalog_review.queries(_on, plain)
 
 
 def oracle_sql() -> dict:
-    return oracle.SQL | oracle_more.SQL | oracle_audits.SQL | oracle_named.SQL | oracle_matching.SQL
+    return oracle.SQL | oracle_more.SQL | oracle_audits.SQL | oracle_named.SQL | oracle_matching.SQL | oracle_review.SQL

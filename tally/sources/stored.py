@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 #: (application, folder of the tables, table) -> path; entries of other applications are never read.
@@ -36,7 +37,13 @@ def stored(table: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
             path = f"{shared_dir(spark)}/ledger-{table.__name__}-{uuid.uuid4().hex}"
             table(spark, sf_dir).write.option("compression", "zstd").parquet(path)
             _WRITTEN[key] = path
-        return spark.read.parquet(_WRITTEN[key])
+        try:
+            return spark.read.parquet(_WRITTEN[key])
+        except AnalysisException as gone:
+            if "PATH_NOT_FOUND" not in str(gone):
+                raise
+            del _WRITTEN[key]  # the shared folder was cleaned meanwhile
+            return read(spark, sf_dir)
 
     read.__name__, read.__doc__ = table.__name__, table.__doc__
     return read

@@ -1,14 +1,84 @@
-"""Import status from a stream of events."""
+"""Import status, versions and re-validation from streams of files."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tally.operators.dashboards import last_import
 
+KEYS = ["condo_id", "month"]
+
+
+def latest_status(imports: DataFrame, late: str = "31 days") -> DataFrame:
+    """T2, T3 over a stream or a table of imports: an event counts once within ``late``, and the newest one of a building wins even
+    when an older one arrives after it. As a stream, its state is one row for each building and the ids seen within ``late``."""
+    rows = imports.withWatermark("ts", late)
+    rows = rows.dropDuplicatesWithinWatermark(["event_id"]) if imports.isStreaming else rows.dropDuplicates(["event_id"])
+    return last_import(rows)
+
+
+def status_stream(spark: SparkSession, folder: str, schema, out: str, checkpoint: str) -> StreamingQuery:
+    """The newest import per building over Parquet files (columns of ``imports``) that arrive in ``folder``; each batch's changes
+    go to a folder ``batch=N`` of ``out``, written whole again if a batch is repeated."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    changes = latest_status(spark.readStream.schema(schema).parquet(folder))
+    return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_versioned(rows: DataFrame, folder: str, stamp: int | None = None) -> None:
+    """The rows of each building and month as a new version, one above the highest there; earlier versions stay.
+
+    With ``stamp`` that number is the version, so that a repeated write of the same batch replaces itself.
+    """
+    spark = rows.sparkSession
+    if stamp is not None:
+        numbered = rows.withColumn("version", F.lit(stamp))
+    else:
+        try:
+            there = spark.read.parquet(folder).groupBy(*KEYS).agg(F.max("version").alias("last"))
+            numbered = rows.join(there, KEYS, "left").withColumn("version", F.coalesce("last", F.lit(0)) + 1).drop("last")
+        except Exception as missing:  # the first version: no folder yet
+            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+                raise
+            numbered = rows.withColumn("version", F.lit(1))
+    keyed = numbered.withColumn("m", F.date_format("month", "yyyy-MM"))
+    mode = "append" if stamp is None else "overwrite"
+    keyed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("version", "m").parquet(folder)
+
+
+def read_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the highest version of each building and month."""
+    rows = spark.read.parquet(folder).drop("m")
+    newest = rows.groupBy(*KEYS).agg(F.max("version").alias("version"))
+    return rows.join(newest, [*KEYS, "version"], "left_semi")
+
+
+def affected(changed: DataFrame, months: int = 6) -> DataFrame:
+    """The (condo_id, month) that a changed statement touches: itself and the months that have it in their history."""
+    return changed.select(*KEYS).distinct().withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(months)))).select("condo_id", F.expr("add_months(month, ahead)").alias("month")).distinct()
+
+
+def revalidation_stream(spark: SparkSession, folder: str, schema, ledger: Callable[[SparkSession], DataFrame], rule: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """For statement rows that arrive in ``folder``, ``rule`` over the buildings they name, written as a new version for the months
+    that they touch and that the ledger has."""
+
+    def run(changed: DataFrame, batch: int) -> None:
+        rows = ledger(spark)
+        keys = affected(changed).join(rows.select(*KEYS).distinct(), KEYS, "left_semi")
+        found = rule(rows.join(keys.select("condo_id").distinct(), "condo_id", "left_semi"))
+        write_versioned(found.join(keys, KEYS, "left_semi"), out, batch + 1)
+
+    return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-def status_stream(spark: SparkSession, folder: str, schema, name: str, checkpoint: str) -> StreamingQuery:
-    """The newest import per building over Parquet files (columns of ``imports``) that arrive in ``folder``."""
-    rows: DataFrame = spark.readStream.schema(schema).parquet(folder)
-    return last_import(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_findings(findings: DataFrame, folder: str) -> None:
+    """Findings as JSON by month, and their counts by type as CSV."""
+    findings.withColumn("m", F.date_format("month", "yyyy-MM")).write.mode("overwrite").partitionBy("m").json(f"{folder}/findings")
+    findings.groupBy("type").agg(F.count("*").alias("n")).write.mode("overwrite").option("header", True).csv(f"{folder}/summary")

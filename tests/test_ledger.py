@@ -7,8 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tally.functions import calendar, text
-from tally.operators import audits, checks, rules
+from tally.functions import calendar, documents, identity, text
+from tally.operators import audits, checks, identified, matching, review_layer, rules
 from tally.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -22,7 +22,7 @@ def rows(frame):
     return list(frame.columns), sorted(map(str, frame.astype(object).where(frame.notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["r1_negative_income", "r4_category_variation", "r7_negative_streak", "r9_balance_continuity", "a18_category_rollup", "j1_pair_by_code", "d4_budget_tracking", "t2_last_import", "u1_all_findings", "r16_category_switch", "p4_reviewed_findings", "r20_late_business_days", "j15_kth_pairing", "u2_union_by_priority"])
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{DIR}/*.parquet"):
@@ -71,3 +71,73 @@ def test_latest_versions(spark):
     got = audits.latest_versions(df)
     assert sorted((r["condo_id"], str(r["month"]), r["version"], r["event_id"], r["status"]) for r in got.collect()) == [(1, "2024-01-01", 3, 4, "success"), (1, "2024-02-01", 1, 1, "error"), (2, "None", 1, 9, "error")]
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_identity_on_literals(spark):
+    rows = [("FUNDO DE RESERVA", "Fundo de Reserva Aplic."), ("CAIXA", "CAIXA GERAL"), ("ORDINARIA", "EXTRAORDINARIA")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r[0] for r in df.select(identity.same_account(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+    pairs = [("MANUTENÇÕES EVENTUAIS", "MANUTENCOES EVENTUAIS E AQUISICOES", True), ("CONSUMO", "CONSUMO DE GAS", True), ("CONSUM", "CONSUMO", False), ("LUZ", "LUZ E AGUA", False)]
+    df = spark.createDataFrame(pairs, "a string, b string, same boolean")
+    assert [r[0] for r in df.select(identity.same_category(F.col("a"), F.col("b"))).collect()] == [p[2] for p in pairs]
+    df = spark.createDataFrame([("JJS SOLUCOES", "JS SOLUCOES", True), ("ABC", "ABD", False), ("", "", False)], "a string, b string, near boolean")
+    assert [r[0] for r in df.select(identity.near_name(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+    rows = [(None, "Manut - USECORP LTDA - NF 18763", "USECORP"), ("ENEL SA REF JUL", "x", "ENEL"), (None, "NF 12", "NF 12"), ("TK ELEVADORES BRASIL LTDA", None, "TK ELEVADORES")]
+    df = spark.createDataFrame(rows, "v string, d string, key string")
+    assert [r[0] for r in df.select(identity.vendor_key2(F.col("v"), F.col("d"))).collect()] == [r[2] for r in rows]
+    rows = [("Taxa JUL/26", "2026-07-01"), ("Ref 07/2026", "2026-07-01"), ("ref. ago.2025", "2025-08-01"), ("13/2026", None)]
+    df = spark.createDataFrame(rows, "d string, m string")
+    assert [str(r[0]) for r in df.select(identity.competence(F.col("d"))).collect()] == [str(r[1]) for r in rows]
+    rows = [("TRANSF.P/CTA APLIC", None, "internal_transfer"), ("TAR PIX", "x", "bank_fee"), ("CONTA DE ENERGIA TARIFA", None, None), ("IOF", None, "bank_charge"), ("ISENCAO - RECIBO: 4", None, "quota_waiver")]
+    df = spark.createDataFrame(rows, "d string, c string, r string")
+    assert [r[0] for r in df.select(identity.exempt_reason(F.col("d"), F.col("c"))).collect()] == [r[2] for r in rows]
+    same = spark.createDataFrame([(["INSTALACAO", "PORTAO"], ["MANUTENCAO", "PORTAO"]), (["ELEVADORES"], ["ELEVADOR"]), (["POSTAGENS"], ["TARIFAS"]), ([], ["X"])], "a array<string>, b array<string>")
+    assert [r[0] for r in same.select(identity.same_service(F.col("a"), F.col("b"))).collect()] == [False, True, False, True]
+
+
+def test_documents_on_literals(spark):
+    rows = [("valor 1.573,55", 573.55, False), ("R$ 1.573,55", 1573.55, True), ("pago 1573.55", 1573.55, True), ("R$ 368,1 ", 368.10, True), ("R$ 15,00", 5.0, False), (None, 1.0, False)]
+    df = spark.createDataFrame(rows, "t string, a double, shown boolean").withColumn("a", F.col("a").cast("decimal(18,2)"))
+    assert [r[0] for r in df.select(documents.amount_in_text(F.col("t"), F.col("a"))).collect()] == [r[2] for r in rows]
+    rows = [("NF-e nao disponivel", False), ("Encaminhar a Nota Fiscal junto", False), ("DANFE 12", True)]
+    df = spark.createDataFrame(rows, "t string, i boolean")
+    assert [r[0] for r in df.select(documents.has_invoice_marker(F.col("t"))).collect()] == [r[1] for r in rows]
+    df = spark.createDataFrame([("NOTA FISCAL No 001.378", "1378", True), ("Comprovante de Pagamento 1378", "1378", False), ("NF. 1378 taxa", "1378", False), ("nota 21378", "1378", False)], "t string, n string, found boolean")
+    assert [r[0] for r in df.select(documents.invoice_in_page(F.col("t"), F.col("n"))).collect()] == [True, False, False, False]
+    one = spark.createDataFrame([("identificação no extrato: D1213 D1217 valor total: R$ 1.000,10",)], "t string").select(documents.listed_codes(F.col("t")), documents.total_paid(F.col("t")).cast("double")).first()
+    assert (one[0], one[1]) == (["1213", "1217"], 1000.1)
+
+
+def entry_rows(spark, rows):
+    df = spark.createDataFrame(rows, "month string, ord long, amount double, vendor string, description string, category string")
+    df = df.select(F.lit(1).alias("condo_id"), F.to_date("month").alias("month"), (F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int")).alias("no"), "ord", F.col("ord").cast("string").alias("code"), F.col("amount").cast("decimal(18,2)").alias("amount"), F.lit(1).cast("long").alias("invoice"), F.lit(None).cast("int").alias("inst_n"), F.to_date("month").alias("due"), "vendor", "description", "category", F.lit("ORDINARIA").alias("account"))
+    return identified.with_identity(df)
+
+
+def test_renamed_names_raise_no_alarm_and_new_ones_do(spark):
+    past = [(f"2024-0{m}-01", m, 5000.0, "JJS SOLUCOES LTDA", "limpeza", "MANUTENCOES") for m in (1, 2, 3)] + [(f"2024-0{m}-01", 10 + m, 900.0, "ZELADOR OK", "servico", "PORTARIA GERAL") for m in (1, 2, 3)]
+    now = [("2024-04-01", 20, 5100.0, "JS SOLUCOES ME", "limpeza", "MANUTENCOES EVENTUAIS"), ("2024-04-01", 21, 7000.0, "NOVATO OBRAS", "pintura", "OBRAS NOVAS"), ("2024-04-01", 22, 8000.0, "FULANO", "SALARIO", "FOLHA"), ("2024-04-01", 23, 300.0, "INSS", "INSS RETENCAO", "X")]
+    df = entry_rows(spark, past + now)
+    assert [r["code"] for r in identified.new_vendors(df).collect()] == ["21"]
+    assert [r["key"] for r in identified.missing_vendors(df).collect()] == ["ZELADOR OK"]
+    assert sorted(r["category"] for r in identified.new_category_of_renamed(df).collect()) == ["FOLHA", "OBRAS NOVAS", "X"]
+    assert [r["key"] for r in identified.switched_category(df).collect()] == []
+    moved = entry_rows(spark, past + [("2024-04-01", 30, 900.0, "ZELADOR OK", "servico", "OUTRA COISA")])
+    assert [r["category"] for r in identified.switched_category(moved).collect()] == ["OUTRA COISA"]
+
+
+def test_reconciliation_on_literals(spark):
+    keys = "condo_id int, month string, "
+    w = spark.createDataFrame([(1, "m", "a", 10.0, "d", "x"), (1, "m", "b", 5.0, "d", "x"), (1, "m", "c", 7.0, "e", "x")], keys + "code string, amount double, paid string, account string")
+    p = spark.createDataFrame([(1, "m", "P1", "d", "x", 15.0), (1, "m", "P2", "d", "x", 15.0), (1, "m", "P3", "e", "x", 7.0)], keys + "payment string, paid string, account string, total double")
+    assert [(r["payment"], r["expenses"], r["total"]) for r in matching.many_to_one(w, p).collect()] == [("P1", 2, 15.0)]
+    assert sorted(r["payment"] for r in matching.orphan_payments(p, w).collect()) == ["P2", "P3"]
+    t = spark.createDataFrame([(1, "m", "T1", 15.0, ["a", "b"]), (1, "m", "T2", 22.0, ["a", "z"])], keys + "payment string, total double, listed array<string>")
+    assert sorted((r["code"], r["payment"]) for r in matching.consolidated_by_list(t, w).collect()) == [("a", "T1"), ("b", "T1")]
+
+
+def test_a_sound_review_has_no_faults(spark):
+    found = spark.createDataFrame([(1, "m", "t", "s")], "condo_id int, month string, type string, subject string")
+    good = found.withColumns({"severity": F.lit("high"), "proposed": F.lit("high"), "reason": F.lit(None).cast("string"), "confidence": F.lit(0.5), "body": F.lit("x")})
+    assert review_layer.invalid_reviews(found, good).count() == 0
+    assert [r["fault"] for r in review_layer.invalid_reviews(found, good.withColumn("severity", F.lit("low"))).collect()] == ["severity", "no_reason"]
