@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tally.functions import calendar, documents, identity, text
-from tally.operators import audits, checks, identified, matching, review_layer, rules
+from tally.operators import audits, checks, evidence, identified, matching, review_layer, rules
 from tally.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -141,3 +141,34 @@ def test_a_sound_review_has_no_faults(spark):
     good = found.withColumns({"severity": F.lit("high"), "proposed": F.lit("high"), "reason": F.lit(None).cast("string"), "confidence": F.lit(0.5), "body": F.lit("x")})
     assert review_layer.invalid_reviews(found, good).count() == 0
     assert [r["fault"] for r in review_layer.invalid_reviews(found, good.withColumn("severity", F.lit("low"))).collect()] == ["severity", "no_reason"]
+
+
+def test_attachment_states_on_literals(spark):
+    bill, paid, extract = "Leitura atual 10, consumo kWh", "Comprovante de Pagamento de 10/01", "EXTRATO do mes de janeiro"
+    rows = [
+        ("null", 1, None), ("short", 1, "[Pagina 1]\nabc"), ("paid", 1, f"[Pagina 1]\n{paid}"), ("two", 1, f"[Página 1]\n{paid}\n[Página 2]\n{bill}"),
+        ("parts", 1, paid), ("parts", 2, bill), ("unread", 1, f"01/02 {paid}"), ("blank_first", 1, f"[Pagina 1]\n\n[Pagina 2]\n{bill}"), ("extract", 1, extract), ("date", 1, f"{extract} 01/02/2024"),
+        ("value", 1, "lido: 1.234,50"), ("other", 1, "lido: 1.234,51"), ("long", 1, "valor total da conta do banco " * 11), ("noise", 1, "qwe rty " * 60),
+    ]
+    df = spark.createDataFrame([(1, "2024-01", c, p, t) for c, p, t in rows], "condo_id int, month string, code string, part int, raw_text string").withColumn("amount", F.lit(1234.5))
+    got = {r["code"]: r["state"] for r in evidence.attachment_states(df).collect()}
+    unknown = dict.fromkeys(("null", "short", "unread", "blank_first", "other", "noise"), "unknown")
+    assert got == unknown | dict.fromkeys(("paid", "extract", "date", "value"), "payment_only") | dict.fromkeys(("two", "parts", "long"), "bill")
+    assert evidence.attachment_states(df.limit(0)).count() == 0
+
+
+def test_descriptions_and_utilities_on_literals(spark):
+    rows = [("06/07/2026 DA ELETROPAULO 18680192 101,27 0013", "DA ELETROPAULO 18680192", True), ("123456 06/07/2026 GÁS - jan 1,00 2,00", "GÁS - jan", False), ("GÁS - jan", "GÁS - jan", True), ("Planeta NETO", "Planeta NETO", False), ("", "", False), (None, None, False)]
+    df = spark.createDataFrame([(d,) for d, _, _ in rows], "d string")
+    got = df.select(evidence.clean_description(F.col("d")), evidence.is_utility(F.col("d"), F.lit(None).cast("string"))).collect()
+    assert [tuple(r) for r in got] == [(c, u) for _, c, u in rows]
+
+
+def test_links_and_lost_signs_on_literals(spark):
+    found = spark.createDataFrame([(1, "2024-01", "unverifiable"), (1, "2024-01", "duplicate"), (2, "2024-01", "unverifiable"), (3, "2024-01", "unverifiable")], "condo_id int, month string, type string")
+    papers = spark.createDataFrame([(1, "2024-01", "http://a"), (1, "2024-01", "HTTPS://b"), (2, "2024-01", "http://a"), (2, "2024-01", None)], "condo_id int, month string, raw_text string")
+    assert sorted((r["condo_id"], r["type"]) for r in evidence.without_link_noise(found, papers).collect()) == [(1, "duplicate"), (2, "unverifiable"), (3, "unverifiable")]
+    kinds = "condo_id int, month string, ord int, code string, amount double, description string"
+    negative = spark.createDataFrame([(1, "2024-01", 1, "a", -5.0, "Estorno, água"), (1, "2024-01", 2, "b", -6.0, "Estorno"), (1, "2024-01", 3, "c", -7.0, "--")], kinds)
+    seen = spark.createDataFrame([(1, "2024-01", 9, "", 5.0, "x ESTORNO ÁGUA y"), (1, "2024-01", 1, "", -6.0, "estorno"), (1, "2024-01", 2, "", 6.0, "estorno"), (1, "2024-01", 3, "", 7.0, "--")], kinds)
+    assert [(r["code"], r["shown"]) for r in evidence.lost_signs(negative, seen).collect()] == [("a", 5.0)]
