@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tally.functions.text import norm_text
+
 # fixed values: patterns of documents
 PAYMENT_PAGE = r"(?i)Comprovante\s+de\s+(?:Pagamento|Transfer|Opera[cç]|Dep[oó]sito|Agendamento|Liquida)|Dados\s+do\s+(?:Lan[cç]amento|Pagamento)|Comprovante\s+PIX|Pagamento\s+realizado|Conta\s+de\s+d[eé]bito|Data\s+d[ao]\s+(?:pagamento|transfer)"
 INVOICE_MARKER = r"(?i)NOTA\s+FISCAL|NOTA\s+FATURA|NFS-?E|DANF[A-Z]?|NF-?E\b|CHAVE\s+DE\s+ACESSO|Documento\s+Auxiliar|NOTA\s+DE\s+REEMBOLSO|VALOR\s+TOTAL\s+DOS\s+SERVI|TOMADOR\s+D[EO]\s+SERVI|PRESTADOR\s+D[EO]\s+SERVI"
@@ -14,6 +16,11 @@ SLIP_IDS = [r"(?i)Recibo\s*Declara.{0,4}:?\s*([0-9]{5,})", r"(?i)N[uú]mero\s+do
 TOTALS = [r"(?i)valor\s+total:?\s*R?\$?\s*([0-9.]+,[0-9]{2})", r"(?i)valor\s+do\s+pagamento:?\s*R?\$?\s*([0-9.]+,[0-9]{2})", r"(?i)\bvalor:?\s*R\$\s*([0-9.]+,[0-9]{2})"]
 CODES = r"(?i)identifica[çc][ãa]o\s+(?:no\s+extrato|do\s+comprovante)\s*:?\s*((?:D[0-9]{3,6}\b[^0-9D\n]{0,30}){1,15})"
 
+RECEIPT = r"\[RECIBO OCR pag\. [0-9]+\]\n"
+RECEIPT_ID = r"(?i)Identifica\S*\s+no\s+extrato\s+(.+)"
+RECEIPT_AUTH = r"(?i)autentica\S*\s*:?\s*([A-Za-z0-9]{12,})"
+COVER = r"(?s)Destina-se a:[^\n]*\n(.*?)\n\s*Valor Emitido"
+
 
 def first_of(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns))
@@ -70,6 +77,20 @@ def record_key(page: Column, code: Column) -> Column:
     return F.concat(F.lit("pag"), page, F.when(code.isNotNull(), F.concat(F.lit("_cod"), code)).otherwise(""))
 
 
+def receipt_signature(text: Column) -> Column:
+    """struct(ident, auth) of a receipt that was read from its image, either of them null where it isn't told; null without any."""
+    body = F.when(text.rlike(RECEIPT), F.element_at(F.split(text, RECEIPT, 2), 2))
+    ident = F.upper(F.trim(F.regexp_replace(first_of(body, [RECEIPT_ID]), r"\s+", " ")))
+    auth = F.upper(first_of(body, [RECEIPT_AUTH]))
+    return F.when(ident.isNotNull() | auth.isNotNull(), F.struct(ident.alias("ident"), auth.alias("auth")))
+
+
+def cover_complement(text: Column) -> Column:
+    """what a cover says between purpose and amount, without amounts; empty without such a part."""
+    part = F.coalesce(F.regexp_extract(text, COVER, 1), F.lit(""))
+    return norm_text(F.regexp_replace(part, r"(?<![0-9.,])[0-9.]+,[0-9]{2}(?![0-9])", " "))
+
+
 def pages_of(rows: DataFrame, text: str = "raw_text") -> DataFrame:
     """One row for each "[Pagina N]" part of ``text``: page and page_text."""
     parts = F.slice(F.split(F.col(text), r"\[P[aá]gina "), 2, 100_000)

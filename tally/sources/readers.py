@@ -61,6 +61,49 @@ def section_lines(lines: DataFrame) -> DataFrame:
     return sums.select("condo_id", "month", F.col("header").alias("section"), "items", "declared", (F.abs(F.col("items") - F.col("declared")) <= 0.02).alias("closes"))
 
 
+def block_rows(cells: DataFrame, title: str = "DESPESAS") -> DataFrame:
+    """Rows of a sheet's blocks with ``title`` in theirs, with the account and sub-account that are open there.
+
+    "Condomínio:" starts a block; its title is the first text of the three rows that follow, up to "Período". A text without an amount opens
+    an account or, inside one, a sub-account; "TOTAL DA CONTA" closes the innermost. A sheet is one file's.
+    """
+    sheet = W.partitionBy("condo_id", "month").orderBy("row")
+    text = F.trim(F.coalesce("text", F.lit("")))
+    mark = F.lower(text).startswith("condomínio:")
+    after = F.coalesce(*(F.nullif(F.lead(text, k).over(sheet), F.lit("")) for k in (1, 2, 3)))
+    rows = cells.withColumn("text", text).withColumn("mark", mark).withColumn("own", F.when(mark, F.trim(F.split(after, r"\s+Per[ií]odo\b")[0])))
+    rows = rows.withColumn("block", F.sum(F.col("mark").cast("int")).over(sheet.rowsBetween(W.unboundedPreceding, 0))).withColumn("title", F.last("own", True).over(sheet))
+    # the title's own row is no node
+    titled = (F.col("own").isNull()) & (F.lag("seen", 1, 0).over(W.partitionBy("condo_id", "month", "block").orderBy("row")) == 1)
+    inside = W.partitionBy("condo_id", "month", "block").orderBy("row")
+    rows = rows.withColumn("seen", F.max(((F.col("text") != "") & ~F.col("mark")).cast("int")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.filter(F.upper("title").contains(title)).withColumn("titled", titled).filter("titled and text <> ''")
+    total, opens = F.col("text").startswith("TOTAL DA CONTA "), F.col("amount").isNull()
+    depth = F.coalesce(F.sum(F.when(opens, 1).when(total, -1).otherwise(0)).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("depth", depth)
+    at = lambda d: F.last(F.when(opens & (F.col("depth") == d), F.col("text")), True).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("account", at(0)).withColumn("sub", F.when(F.col("depth") >= 2, at(1))).filter(~opens)
+    return rows.select("condo_id", "month", "block", "row", "account", "sub", total.alias("is_total"), F.col("text").alias("description"), "amount")
+
+
+def block_entries(cells: DataFrame) -> DataFrame:
+    """The entries of a sheet under their account and sub-account."""
+    return block_rows(cells).filter("not is_total").drop("is_total", "row")
+
+
+def block_totals(cells: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """Declared totals of accounts (``sub`` null) and sub-accounts against the sum of their entries."""
+    rows = block_rows(cells)
+    key = ["condo_id", "month", "block", "account", "sub"]
+    declared = rows.filter("is_total").groupBy(*key).agg(F.sum("amount").alias("declared"))
+    entries = rows.filter("not is_total")
+    whole = entries.withColumn("sub", F.lit(None).cast("string"))
+    items = entries.filter("sub is not null").unionByName(whole).groupBy(*key).agg(F.sum("amount").alias("items"))
+    same = [declared[c].eqNullSafe(items[c]) for c in key]
+    joined = declared.join(items, [*same], "left").select(*(declared[c] for c in key), F.coalesce("items", F.lit(0).cast("decimal(28,2)")).alias("items"), "declared")
+    return joined.withColumn("closes", F.abs(F.col("items") - F.col("declared")) <= tolerance)
+
+
 def drop_repeated_blocks(rows: DataFrame) -> DataFrame:
     """Statements whose block is there several times over: how many equal copies; null where the blocks differ."""
     blocks = rows.groupBy("condo_id", "month", "block").agg(F.sum(F.xxhash64("line", "text").cast("decimal(38,0)")).alias("hash"), F.count("*").alias("lines"))
