@@ -54,6 +54,7 @@ SQL = {
     "j11_invoice_elsewhere": _with([*DOCS, f"li AS (SELECT DISTINCT condo_id, month, code, {_BARE.format(NF)} AS number, list_filter(regexp_extract_all({NORM.format('description')}, '[A-Z]{{3,}}'), lambda w: NOT list_contains({_list(GENERIC)}, w)) AS words FROM keyed WHERE {NF} <> '')", f"nums AS (SELECT DISTINCT condo_id, month, code AS holder, {NORM.format('page_text')} AS said, {_BARE.format('n')} AS number FROM (SELECT *, unnest(list_concat(regexp_extract_all(page_text, '[0-9]+'), regexp_extract_all(page_text, '[0-9]+[.\\s][0-9]{{3}}\\b'))) AS n FROM pages WHERE {INV} AND NOT {PAY}))"], f"SELECT DISTINCT condo_id, {M}, code, number FROM li JOIN nums USING (condo_id, month, number) WHERE holder <> code AND (len(words) = 0 OR len(list_filter(words, lambda w: contains(said, w))) > 0)"),
     "j13_content_match": _with([*N, _PAID], f"SELECT condo_id, {M}, code, CAST(-b.back AS BIGINT) AS \"group\", CAST(b.points AS BIGINT) AS points FROM e LEFT JOIN best USING (code)"),
     "j15_ledger_entries": _with([_EXPENSE, _COARSE, f"e AS (SELECT condo_id, month, code, amount, category, paid, amount > 0 AS debit, {_NUMBERED.format('amount > 0')} FROM x WHERE ord % 13 <> 0)", f"l AS (SELECT condo_id, month, code, -amount AS amount, account, paid, ord, amount > 0 AS debit, {_NUMBERED.format('amount > 0')} FROM x WHERE ord % 7 <> 0)", "first AS (SELECT condo_id, month, min(account) AS fa FROM l WHERE debit GROUP BY ALL)"], f"SELECT condo_id, {M}, e.code, CAST(e.amount AS DOUBLE) AS amount, category, coalesce(account, fa) AS account, CASE WHEN account IS NULL THEN 'first_account' ELSE 'ledger' END AS source FROM e LEFT JOIN (SELECT condo_id AS lc, paid AS lp, abs(amount) AS la, debit AS ld, i AS li, account FROM l) ON lc = condo_id AND lp = paid AND la = abs(amount) AND ld = debit AND li = i LEFT JOIN first USING (condo_id, month) UNION ALL SELECT condo_id, {M}, 'L' || code, CAST(abs(amount) AS DOUBLE), CASE WHEN ord % 5 = 0 THEN '{TRANSFER}' ELSE '{UNSORTED}' END, account, 'left_over' FROM l WHERE debit AND NOT EXISTS (SELECT 1 FROM e WHERE e.condo_id = l.condo_id AND e.paid = l.paid AND e.amount = -l.amount AND e.debit AND e.i = l.i)"),
+    "j22_resolved_evidence": _with(N, f"SELECT condo_id, {M}, code, CASE ord % 10 WHEN 1 THEN 'weak' WHEN 4 THEN 'read' WHEN 5 THEN 'read' WHEN 6 THEN 'empty' WHEN 7 THEN 'read' ELSE 'confirmed' END AS state, CASE WHEN ord % 10 <> 6 THEN CAST(1 AS BIGINT) END AS page, CAST(CASE ord % 10 WHEN 4 THEN amount + 30 WHEN 5 THEN amount + 10 WHEN 6 THEN NULL WHEN 7 THEN amount + 5 ELSE amount END AS DOUBLE) AS amount FROM o WHERE amount > 0"),
     "a29_account_scope": _with([_EXPENSE], f"SELECT condo_id, {M}, category, CAST(sum(amount) AS DOUBLE) AS total FROM (SELECT condo_id, month, amount, CASE WHEN condo_id % 5 = 1 AND account = 'FUNDO DE RESERVA' THEN 'Reserva' WHEN condo_id % 5 = 1 AND account = 'FUNDO DE OBRAS' THEN account WHEN condo_id % 5 = 2 AND account = 'FUNDO DE OBRAS' THEN 'Obras' ELSE category END AS category FROM expense WHERE NOT (condo_id % 5 = 0 AND account = 'FUNDO DE OBRAS') AND NOT (condo_id % 5 = 2 AND account = 'FUNDO DE RESERVA')) AS k GROUP BY condo_id, k.month, category"),
     "a22_summary_totals": _with([_EXPENSE, _INCOME, _ACCOUNT, _BALANCE, _ISSUANCE, INDICATOR, _SUMMARY], f"SELECT condo_id, {M}, {_d('budget', 'collected', 'spent', 'opening', 'delinquent')}, categories, CAST(final AS DOUBLE) AS balance, coalesce(array_to_string(list(strftime(su.month, '%Y-%m') || '=' || final) OVER (PARTITION BY condo_id ORDER BY no RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING), ';'), '') AS history FROM su"),
     "p8_adjusted_questions": _with([*N, _ITEMS], f"SELECT condo_id, {M}, id, kind, state, CASE WHEN state = 'open' AND trim(asked) <> '' AND NOT contains(lower(asked), 'assembleia') AND fund > 0 THEN asked || CASE WHEN fund > 1 THEN '{FUND_MANY}' ELSE '{FUND_ONE}' END ELSE asked END AS question FROM (SELECT i.*, fund, {_ASKED} AS asked FROM i JOIN f USING (condo_id, month, id))"),

@@ -68,3 +68,33 @@ def test_receipt_keys(spark):
     df = spark.createDataFrame([(text,), ("[RECIBO OCR pag. 3]\nx",), ("Destina-se a: y\n10 Gás 1.000,00\nB\n Valor Emitido",), (None,)], "t string")
     got = [(r["s"] and (r["s"]["ident"], r["s"]["auth"]), r["c"]) for r in df.select(documents.receipt_signature(F.col("t")).alias("s"), documents.cover_complement(F.col("t")).alias("c")).collect()]
     assert got == [(("DÉBITO 12", "ABCDEF1234567"), ""), (None, ""), (None, "10 GAS B"), (None, "")]
+
+
+def test_evidence_of_an_amount(spark):
+    pad = " do fornecedor em conta corrente da agência do centro da cidade, com a descrição dos itens"
+    paid = "Comprovante de Pagamento" + pad
+    expected = frame(spark, [(c, "100.00") for c in "abcdefgh"], "code string, amount money")
+    pages = [
+        ("a", 1, "item 100,00" + pad, None), ("a", 2, paid + " 100,00", None), ("b", 1, "item 100,00" + pad, None), ("b", 2, paid, "90.00"), ("c", 1, "item 100,00" + pad, None), ("c", 2, paid + " (CONSOLIDADO)", "90.00"),
+        ("d", 1, paid, "60.00"), ("d", 2, paid, "15.00"), ("d", 3, paid, "40.00"), ("e", 1, "100,00", "100.00"), ("f", 1, pad + " 130,00 e 1.600,00", "32.00"), ("g", 1, pad, "60.00"), ("g", 2, pad, "60.00"), ("g", 3, pad, "40.00"),
+    ]
+    pages = frame(spark, [*pages, ("z", 1, None, None)], "code string, page int, text string, page_amount money")
+    read = lambda final: {r["code"]: (r["state"], r["page"], None if r["amount"] is None else float(r["amount"])) for r in assignment.resolved_evidence(expected, pages, final=final).collect()}
+    first = read(False)
+    assert first == {
+        "a": ("confirmed", 2, 100.0), "b": ("weak", 1, 100.0), "c": ("confirmed", 1, 100.0), "d": ("confirmed", 1, 100.0),
+        "e": ("empty", None, None), "f": ("read", 1, 130.0), "g": ("confirmed", 1, 100.0), "h": ("empty", None, None),
+    }
+    assert read(True) == first | {"b": ("read", 2, 90.0)}
+
+
+def test_questions_and_displayed_values(spark):
+    items = frame(spark, [("1", "new_vendor", "open", "c", "Quem é e onde está a nota fiscal?"), ("2", "new_vendor", "open", "c", "Quem é e onde está a nota fiscal?"), ("3", "new_category", "open", "Nova", "?"), ("4", "late_payment", "informative", "c", "Por quê?"), ("5", "late_payment", "open", "c", "")], "id string, kind string, state string, category string, question string")
+    cited = frame(spark, [("1", "5.00", 1, "Fundo de Reserva"), ("2", "5.00", 1, "A"), ("2", "6.00", 1, "A"), ("4", "5.00", 1, "FUNDO RESERVA"), ("5", "5.00", 1, "FUNDO RESERVA")], "id string, amount money, page int, account string")
+    listed = frame(spark, [("x", "5.00", 2, 1), ("y", "-5.00", 1, 2), ("z", "6.00", 3, 3)], "code string, amount money, page int, ord int")
+    known = spark.createDataFrame([(1, "Água")], "condo_id int, category string")
+    got = {r["id"]: r["question"] for r in assignment.adjusted_questions(items, cited, listed, frame(spark, [("y",), ("z",)], "code string"), frame(spark, [("z",)], "code string"), known).collect()}
+    assert got["1"] == "Quem é?" + assignment.FUND_ONE and got["2"] == "Quem é e onde está a nota fiscal?" and got["3"].startswith('A subconta "Nova"') and got["4"] == "Por quê?" and got["5"] == ""
+    findings = frame(spark, [("a", "t", "open", "5.00", "6.00"), ("b", "t", "open", "5.00", None), ("c", "t", "informative", "5.00", None)], "code string, type string, state string, expected money, found money")
+    checks = frame(spark, [("a", "5.00", "1.00", 1), ("a", "5.00", "2.00", 2), ("b", "-5.00", "1.00", 1)], "code string, listed money, shown money, place int")
+    assert sorted((r["code"], float(r["value"])) for r in assignment.displayed_values(findings, checks).collect()) == [("a", 2.0), ("b", 5.0)]
