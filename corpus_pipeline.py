@@ -40,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mixed", mixed), ("packed", packed)]
 
-#: Learnt weights and tokenizers are beyond SQL; a test holds near_duplicates against a plain version, the others not yet.
+#: Learnt weights and tokenizers are beyond SQL; tests hold each stage against a plain version on its own input.
 ORACLE_SQL = None
 
 
