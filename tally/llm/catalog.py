@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 from tally.llm import (
     embedding_dedup,
     html_extract,
     minhash_dedup,
     mixing,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     suffix_dedup,
@@ -66,6 +69,22 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def planted_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op11's documents: every tenth document (by the checksum of its id) goes round from some word on."""
+    if doc_id is None or not words:
+        return words
+    g, tenth = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if tenth:
+        return words
+    a = g % len(words)
+    p = 1 + (len(words) - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(len(words) - a)]
+
+
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), prepare=planted_words))
+
+
 def queries() -> dict:
     own = (
         op1_toxicity,
@@ -78,6 +97,7 @@ def queries() -> dict:
         op8_mixing,
         op9_html_extract,
         op10_packing,
+        op11_periodic_runs,
     )
     return {f.__name__: f for f in own}
 
@@ -105,5 +125,47 @@ SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(n)) AS INTEGER) AS
 """
 
 
+OP11_SQL = r"""
+WITH hashed AS (
+  SELECT doc_id, text,
+    xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+      lambda crc, b: xor(xor(crc, b) >> 1, CASE WHEN xor(crc, b) % 2 = 1 THEN 3988292384 ELSE 0 END)
+    ), 4294967295) AS h
+  FROM documents
+), split AS (
+  SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM hashed
+), tail AS (
+  SELECT *, len(ws) AS n, CASE WHEN len(ws) > 0 THEN g % len(ws) END AS a FROM split
+), step AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM tail),
+numbered AS (
+  SELECT doc_id, n, h, a, p, ws, unnest(range(n)) AS i FROM step WHERE n > 0
+), words AS (
+  SELECT doc_id, n, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM numbered
+), same AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i
+  WHERE y.i - x.i <= x.n // 4
+), islands AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same
+), stretches AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT * FROM stretches r WHERE NOT EXISTS (
+    SELECT 1 FROM stretches o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.len >= r.s + r.len)
+), per_doc AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    first(s ORDER BY len DESC, s, q) AS start, first(len ORDER BY len DESC, s, q) AS length, first(q ORDER BY len DESC, s, q) AS period
+  FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN per_doc USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op8_mixing": OP8_SQL}
+    return {"op8_mixing": OP8_SQL, "op11_periodic_runs": OP11_SQL}

@@ -237,3 +237,19 @@ def pieces_hold(rows, pieces, tokenizer, window=2048):
         assert at <= window
     total = sum(p[2] for p in pieces)
     assert len(by_seq) == -(-total // window)
+
+
+def periodic_runs(words):
+    """[(start, length, period)] of a list of words, by the definition."""
+    out = []
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            own = words[i : j + q]
+            if len(own) >= max(6, 4 * q) and not any(own[r:] == own[:-r] for r in range(1, q)):
+                out.append((i, len(own), q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
