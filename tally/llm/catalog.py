@@ -7,6 +7,7 @@ import zlib
 from tally.llm import (
     embedding_dedup,
     html_extract,
+    lexical_search,
     minhash_dedup,
     mixing,
     packing,
@@ -85,6 +86,10 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), prepare=planted_words))
 
 
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     own = (
         op1_toxicity,
@@ -98,6 +103,7 @@ def queries() -> dict:
         op9_html_extract,
         op10_packing,
         op11_periodic_runs,
+        op12_lexical_search,
     )
     return {f.__name__: f for f in own}
 
@@ -167,5 +173,35 @@ FROM documents d LEFT JOIN per_doc USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+OP12_SQL = r"""
+WITH doc_terms AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents WHERE text IS NOT NULL
+), held AS (SELECT row, doc_id, ts, len(ts) AS n FROM doc_terms WHERE len(ts) > 0),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM held),
+item_terms AS (
+  SELECT item_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+), asked AS (SELECT item_id, t, count(*) AS repeats FROM item_terms GROUP BY ALL),
+exploded AS (SELECT row, unnest(ts) AS t FROM held),
+postings AS (SELECT row, t, count(*) AS tf FROM exploded SEMI JOIN asked USING (t) GROUP BY ALL),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM postings GROUP BY t), corpus
+), impacts AS (
+  SELECT p.t, h.doc_id, h.row, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS impact
+  FROM postings p JOIN held h USING (row) JOIN weights USING (t), corpus
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(repeats * impact) AS BIGINT) AS score FROM asked JOIN impacts USING (t) GROUP BY item_id, row, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op8_mixing": OP8_SQL, "op11_periodic_runs": OP11_SQL}
+    return {"op8_mixing": OP8_SQL, "op11_periodic_runs": OP11_SQL, "op12_lexical_search": OP12_SQL}

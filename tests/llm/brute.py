@@ -253,3 +253,46 @@ def periodic_runs(words):
                 out.append((i, len(own), q))
             i = j + 1
     return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def ranked(docs, items, k=10):
+    """{(item, rank): (doc_id, score)} of rows (id, text), by the formula."""
+    found = [(i, Counter(t)) for i, t in ((i, terms(text)) for i, text in docs) if t]
+    n_docs, n_terms = len(found), sum(sum(c.values()) for _, c in found)
+    df = Counter(t for _, c in found for t in c)
+    asked = defaultdict(Counter)
+    for i, text in items:
+        asked[i].update(terms(text))
+    out = {}
+    for item, own in asked.items():
+        scores = []
+        for i, c in found:
+            m = 25 + 75 * sum(c.values()) * n_docs // n_terms
+            weight = lambda t: int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df[t] + 1))))
+            score = sum(r * weight(t) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, r in own.items() if t in c)
+            if score > 0:
+                scores.append((-score, i is None, i or 0, i))
+        for rank, (score, _, _, i) in enumerate(sorted(scores)[:k], 1):
+            out[item, rank] = (i, -score)
+    return out
+
+
+def nearest(rows, queries, k=10):
+    """{(query, rank): (vec_id, distance)} of rows (id, vector) with distinct ids."""
+    good = [(i, [float(x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for q, x in good:
+        if q in queries:
+            near = []
+            for i, y in good:
+                if i != q and len(x) == len(y):
+                    total = 0.0
+                    for a, b in zip(x, y, strict=True):
+                        total += (a - b) * (a - b)
+                    near.append((total**0.5, i))
+            out |= {(q, rank): (i, d) for rank, (d, i) in enumerate(sorted(near)[:k], 1)}
+    return out

@@ -4,8 +4,9 @@ import hashlib
 
 import duckdb
 import numpy as np
+import pytest
 
-from tally.llm import catalog, periodic_runs
+from tally.llm import catalog, lexical_search, periodic_runs
 from tests.llm import brute
 
 DIR = "/root/testdata/sf0.001"
@@ -67,3 +68,37 @@ def test_runs_of_awkward_documents(spark):
 
 def test_runs_same_as_sql(spark):
     same_as_sql(spark, "op11_periodic_runs", ["documents"], ["doc_id"])
+
+
+@pytest.mark.parametrize(("pairs", "cells"), [(lexical_search.PAIRS, lexical_search.CELLS), (40, 640)])  # one group and block, or many
+def test_lexical_search(spark, monkeypatch, pairs, cells):
+    monkeypatch.setattr(lexical_search, "PAIRS", pairs)
+    monkeypatch.setattr(lexical_search, "CELLS", cells)
+    draw = np.random.default_rng(12)
+    word = lambda: f"W{min(draw.zipf(1.3), 400)}"
+    docs = [(i, " ".join(word() for _ in range(draw.integers(1, 80)))) for i in range(300)]
+    docs += [(400, None), (401, ""), (402, "!? --"), (None, "rare W1 w2"), (403, "rare W1 w2"), (404, "rare W1 w2"), (404, "rare W1 w2"), (405, "w1 " * 20_000 + "rare"), (406, "\u00c9t\u00e9 x-Y_z")]
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(12)]
+    items += [(20, None), (21, ""), (22, "nowhere"), (23, "rare rare W1"), (24, "w1"), (25, "\u00c9T\u00c9 \u00c9t\u00e9 y"), (None, "w2 w3"), (3, "w5 rare")]
+    left = spark.createDataFrame([(i, t, 5, 1.0) for i, t in docs], "doc_id long, text string, n int, score double").repartition(3)
+    right = spark.createDataFrame([(i, t, "r") for i, t in items], "item_id long, text string, rank string").repartition(2)
+    got = {(r["item_id"], r["rank"]): (r["doc_id"], r["score"]) for r in lexical_search.search(left, right).collect()}
+    assert got == brute.ranked(docs, items) and (22, 1) not in got and got[25, 1][0] == 406
+    assert lexical_search.search(left.limit(0), right).count() == 0 == lexical_search.search(left, right.limit(0)).count()
+
+
+def test_best_positions_stop_early():
+    draw = np.random.default_rng(5)
+    owner, term = np.repeat(np.arange(5000), 3), np.tile(np.arange(3), 5000)
+    impact = draw.integers(1, 1000, (5000, 3))
+    impact[:20] += 5000  # twenty documents far ahead in every list
+    block = lexical_search.Block(owner, term, impact.ravel(), 5000, 3)
+    docs, scores = block.best(np.arange(3), np.array([3, 2, 1]), 10, np.zeros(0, np.int64))
+    want = np.sort(impact @ [3, 2, 1])[-10:]
+    assert sorted(scores.tolist())[-10:] == want.tolist() and block.read < 200
+    flat = lexical_search.Block(owner, term, np.full(15_000, 7), 5000, 3)  # all alike: a stop below the k-th would lose ties
+    assert len(flat.best(np.arange(3), np.ones(3, np.int64), 10, np.zeros(0, np.int64))[0]) == 5000
+
+
+def test_lexical_search_same_as_sql(spark):
+    same_as_sql(spark, "op12_lexical_search", ["documents", "benchmark"], ["item_id", "rank"])
