@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 from tally.llm import (
+    collision_search,
     embedding_dedup,
     html_extract,
     lexical_search,
@@ -90,6 +91,10 @@ def op12_lexical_search(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collision_search(spark, sf_dir):
+    return collision_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     own = (
         op1_toxicity,
@@ -104,6 +109,7 @@ def queries() -> dict:
         op10_packing,
         op11_periodic_runs,
         op12_lexical_search,
+        op13_collision_search,
     )
     return {f.__name__: f for f in own}
 
@@ -203,5 +209,19 @@ SELECT * FROM ranked WHERE rank <= 10
 """
 
 
+OP13_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_prepend(0.0::DOUBLE, [(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(q.e, v.e)]), lambda a, b: a + b)) AS score
+  FROM vectors q JOIN vectors v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op8_mixing": OP8_SQL, "op11_periodic_runs": OP11_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op8_mixing": OP8_SQL, "op11_periodic_runs": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_collision_search": OP13_SQL}

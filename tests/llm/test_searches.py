@@ -5,8 +5,9 @@ import hashlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tally.llm import catalog, lexical_search, periodic_runs
+from tally.llm import catalog, collision_search, lexical_search, periodic_runs
 from tests.llm import brute
 
 DIR = "/root/testdata/sf0.001"
@@ -102,3 +103,45 @@ def test_best_positions_stop_early():
 
 def test_lexical_search_same_as_sql(spark):
     same_as_sql(spark, "op12_lexical_search", ["documents", "benchmark"], ["item_id", "rank"])
+
+
+def found(df):
+    return {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize(("shard", "queries", "together"), [(collision_search.SHARD, collision_search.QUERIES, collision_search.TOGETHER), (40, 3, 2)])  # one shard, or many
+def test_collision_search(spark, monkeypatch, shard, queries, together):
+    for name, value in (("SHARD", shard), ("QUERIES", queries), ("TOGETHER", together)):
+        monkeypatch.setattr(collision_search, name, value)
+    draw = np.random.default_rng(13)
+    centres = draw.standard_normal((8, 12)) * 4
+    rows = [(i, (centres[i % 8] + draw.standard_normal(12)).tolist()) for i in range(1, 400)]
+    rows += [(400 + i, rows[0][1]) for i in range(30)]  # copies: ties of distance 0
+    rows += [(500, None), (510, [0.0] * 12), (520, [float("nan")] * 12), (530, []), (540, [1.0, 2.0]), (541, [2.0, 1.0]), (550, [None] * 12), (None, rows[0][1]), (560, [1e200] * 12), (570, [1e-200] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("r")).withColumn("rank", F.lit(1)).repartition(3)
+    got = found(collision_search.search(df, every=10))
+    want = brute.nearest(rows, {i for i, _ in rows if i is not None and i % 10 == 0})
+    assert got == want and got[540, 1][0] == 541 and (540, 2) not in got and [got[400, r][0] for r in range(1, 4)] == [1, 401, 402]
+    assert collision_search.search(df.limit(0)).count() == 0
+    twice = found(collision_search.search(df.filter("vec_id = 10").unionByName(df.filter("vec_id = 10"))))
+    assert twice == {}  # 10 is no multiple of 100
+    assert found(collision_search.search(df.filter("vec_id = 540").unionByName(df.filter("vec_id = 540")), every=10)) == {(540, 1): (540, 0.0)}
+
+
+def test_collision_search_recall_and_work():
+    draw = np.random.default_rng(7)
+    vectors = np.repeat(draw.standard_normal((40, 32)) * 10, 100, axis=0) + draw.standard_normal((4000, 32))
+    m, least = collision_search.plan(1e-5)
+    shard = collision_search.Shard(vectors, np.arange(4000), np.arange(4000), m, least, 13)
+    asked = np.arange(0, 4000, 100)
+    best = shard.nearest(vectors[asked], asked, 10, np.full(40, np.inf))
+    right = 0
+    for q, (places, _) in zip(asked, best, strict=True):
+        far = collision_search.distances(vectors, vectors[q])
+        far[q] = np.inf
+        right += len(set(places) & set(np.argsort(far)[:10]))
+    assert right >= 0.99 * 400 and shard.verified < 0.05 * 40 * 4000  # of 40 clusters a query verifies little more than its own
+
+
+def test_collision_search_same_as_sql(spark):
+    same_as_sql(spark, "op13_collision_search", ["embeddings"], ["query_id", "rank"])
