@@ -347,8 +347,11 @@ def compressed(rows: DataFrame) -> DataFrame:
     return rows.select("id", "doc", "tag", "text").mapInArrow(run, "id long, doc long, tag long, z binary")
 
 
-def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
-    """(doc, tag, spans): for the ``rows`` of keyed() that hold repeated windows, the stretches that these cover, unmerged."""
+def repeated_spans(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """(doc, tag, spans): for the ``rows`` of keyed() that hold repeated windows, the stretches that these cover, unmerged.
+
+    ``texts`` are the rows compressed, read from a written table, so that no task runs two Python workers.
+    """
     found = materialize(find_anchors(rows, length), "anchors")
     grams = found.groupBy("gram").agg(F.sum(F.size("pos")).alias("c")).filter("c > 1").select("gram")
     hot = materialize(found.join(grams, "gram"), "hot")
@@ -357,7 +360,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     around = F.transform("pos", lambda p: F.struct((p - F.col("before")).alias("start"), (p + F.col("after")).alias("end")))
     whole = hot.join(classes.filter("n > 1").select("gram", "reach"), ["gram", "reach"]).select("doc", "tag", around.alias("spans"))
     sizes = classes.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1")
-    reaches = materialize(fetch(compressed(rows), classes.join(sizes, "gram")), "bytes")
+    reaches = materialize(fetch(texts, classes.join(sizes, "gram")), "bytes")
     parts = sort_all(reaches, length).select("doc", "tag", F.array(F.struct("start", "end")).alias("spans"))
     return whole.unionByName(parts).groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -414,7 +417,8 @@ def dedup_digest(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     stays null; an empty table gives no rows; other columns are ignored.
     """
     rows = keyed(docs, id_col, text_col)
-    joined = compressed(rows).join(repeated_spans(rows, length), ["doc", "tag"], "left").select("id", "z", "spans")
+    texts = materialize(compressed(rows), "texts")
+    joined = texts.join(repeated_spans(rows, texts, length), ["doc", "tag"], "left").select("id", "z", "spans")
     return joined.mapInArrow(_apply("long long long string", ["n_bytes", "n_removed", "n_spans", "kept_sha256"], digest_row), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", "doc_id")
 
 
@@ -425,7 +429,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """
     rows = keyed(docs, id_col, text_col)
     doc, tag, found = (fresh(docs, x) for x in ("doc", "tag", "spans"))
-    spans = repeated_spans(rows, length).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(found))
+    spans = repeated_spans(rows, materialize(compressed(rows), "texts"), length).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(found))
     named = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(tag, F.xxhash64(F.col(text_col).cast("string")))
     joined = named.join(spans, [doc, tag], "left")
 
