@@ -120,16 +120,23 @@ def natures(words: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda t: t.rlike(NATURE)), lambda t: F.substring(t, 1, 5))))
 
 
-def same_service(a: Column, b: Column) -> Column:
-    """over two word lists: kinds of work meet where both have some, and a third of the other stems are shared."""
-    na, nb = natures(a), natures(b)
-    stems = lambda x: F.array_distinct(F.transform(F.filter(x, lambda t: ~t.rlike(NATURE)), lambda t: F.substring(t, 1, 6)))
-    ra, rb = stems(a), stems(b)
+def stems(words: Column) -> Column:
+    """the first six letters of the words that name no kind of work."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda t: ~t.rlike(NATURE)), lambda t: F.substring(t, 1, 6))))
+
+
+def same_work(na: Column, ra: Column, nb: Column, rb: Column) -> Column:
+    """F17 over natures and stems: kinds of work meet where both have some, and a third of the stems are shared where both have some."""
     apart = (F.size(na) > 0) & (F.size(nb) > 0) & ~F.arrays_overlap(na, nb)
     shared = F.size(F.array_intersect(ra, rb)) / F.greatest(F.size(F.array_union(ra, rb)), F.lit(1))
     return ~apart & ((F.size(ra) == 0) | (F.size(rb) == 0) | (shared >= 0.34))
 
 
+def same_service(a: Column, b: Column) -> Column:
+    """F17 over two word lists."""
+    return same_work(natures(a), stems(a), natures(b), stems(b))
+
+
 def exempt_reason(description: Column, category: Column) -> Column:
     """why an entry needs no receipt, null if it does."""
     both, text = plain_upper(F.concat_ws(" ", description, category)), plain_upper(description)

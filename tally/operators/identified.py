@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tally.functions import identity
-from tally.functions.text import account_key, installment, invoice_no, norm_text
+from tally.functions.text import installment, invoice_no, norm_text
+from tally.operators import likeness
 from tally.operators.rules import CENT, HISTORY, KEYS, before, earlier, previous
 from tally.sources.ledger import month_no
 
@@ -97,56 +98,61 @@ def continuity_of_renamed(account_month: DataFrame, tolerance: float = 0.02) ->
 
 
 def streak_of_renamed(account_month: DataFrame, months: int = 3) -> DataFrame:
-    """R7 with F13: months below zero in a row, up to HISTORY + 1; names are followed by the key's first eight letters, which two
-    names that F13 takes for one account share."""
-    rows = account_month.withColumn("no", month_no(F.col("month"))).withColumn("stem", F.substring(account_key(F.col("account")), 1, 8))
-    below = rows.filter(F.col("closing") < -CENT)
-    run = below.withColumn("run", F.col("no") - F.row_number().over(W.partitionBy("condo_id", "stem").orderBy("no")))
-    streak = F.least(F.row_number().over(W.partitionBy("condo_id", "stem", "run").orderBy("no")), F.lit(HISTORY + 1))
-    return run.withColumn("streak", streak).filter(F.col("streak") >= months).select(*KEYS, "account", "closing", "streak")
-
-
-def category_stem(category: Column) -> Column:
-    """Two names that F14 takes for one category share the first eight letters."""
-    return F.substring(norm_text(category), 1, 8)
+    """R7 with F13: an account below zero in this and the statements before, up to HISTORY months back; a statement that has no
+    such account (the first by name) or has it above zero ends the row, a month without any statement doesn't."""
+    rows = account_month.withColumn("no", month_no(F.col("month")))
+    statements = rows.select("condo_id", "no").distinct().withColumn("at", F.row_number().over(W.partitionBy("condo_id").orderBy("no")))
+    rows = rows.join(statements, ["condo_id", "no"])
+    same = likeness.same_by_start(rows, ["condo_id"], "account", "account")
+    other = rows.select("condo_id", "no", "at", F.col("account").alias("other"), F.col("closing").alias("other_closing"))
+    found = same.join(other, ["condo_id", "other"]).groupBy("condo_id", "account", "no", "at").agg(F.min_by("other_closing", "other").alias("past"))
+    ahead = found.filter(F.col("past") < -CENT).select("condo_id", "account", F.col("no").alias("past_no"), "at", F.explode(F.sequence(F.lit(1), F.lit(HISTORY))).alias("ago")).withColumn("at", F.col("at") + F.col("ago"))
+    below = rows.filter((F.col("closing") < -CENT) & ~F.upper("account").startswith("CONSOLIDADO"))
+    past = below.join(ahead, ["condo_id", "account", "at"]).filter(F.col("past_no") >= F.col("no") - HISTORY).groupBy(*KEYS, "account").agg(F.collect_set("ago").alias("agos"))
+    run = F.array_min(F.array_append(F.array_except(F.sequence(F.lit(1), F.lit(HISTORY)), F.coalesce("agos", F.array().cast("array<int>"))), F.lit(HISTORY + 1)))
+    return below.join(past, [*KEYS, "account"], "left").withColumn("streak", run).filter(F.col("streak") >= months).select(*KEYS, "account", "closing", "streak")
 
 
 def switched_category(entries: DataFrame, mass: int = 8) -> DataFrame:
     """R16 with F10 and F14: a vendor known from the history, never under a category that F14 takes for this one; withholdings
     are left out; more than ``mass`` in a month are one reclassification."""
-    rows = entries.filter("not is_withholding and key <> ''")
-    now = rows.groupBy(*KEYS, "no", "key", "category").agg(F.sum("amount").alias("total"))
-    known = F.array_distinct(F.collect_list("category").over(before("condo_id", "key")))
-    marked = now.withColumn("past", known).filter(F.size("past") > 0)
-    moved = marked.filter(~F.exists("past", lambda c: identity.same_category(F.col("category"), c)))
+    now = likeness.written(entries.filter("not is_withholding and key <> ''").groupBy(*KEYS, "no", "key", "category").agg(F.sum("amount").alias("total")), "switches")
+    same = likeness.same_by_start(now, ["condo_id"], "category", "category")
+    seen = now.select("condo_id", "no", "key", F.col("category").alias("other")).join(same, ["condo_id", "other"])
+    kept = likeness.known_before(now, seen, ["condo_id", "key", "category"])
+    known = now.select("condo_id", "no", "key").distinct().withColumn("n", F.count("*").over(before("condo_id", "key"))).filter("n > 0").drop("n")
+    moved = now.join(known, ["condo_id", "no", "key"], "left_semi").join(kept, ["condo_id", "no", "key", "category"], "left_anti")
     n = moved.groupBy(*KEYS).agg(F.count("*").alias("n"))
     return moved.join(n, KEYS).select(*KEYS, "key", "category", "total", F.when(F.col("n") > mass, "mass").otherwise("single").alias("kind"))
 
 
 def new_category_of_renamed(entries: DataFrame, mass: int = 8) -> DataFrame:
     """R17 with F14: a category that no history month has under this or a longer or shorter name; transfers are left out."""
-    now = entries.filter(~norm_text(F.col("category")).startswith("TRANSFERENCIA")).groupBy(*KEYS, "no", "category").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
-    stemmed = now.withColumn("stem", category_stem(F.col("category"))).withColumn("past", F.array_distinct(F.collect_list("category").over(before("condo_id", "stem"))))
-    history = entries.select("condo_id", "month", "no").distinct().withColumn("months", F.count("*").over(before("condo_id"))).filter("months > 0").select(*KEYS)
-    new = stemmed.filter(~F.exists("past", lambda c: identity.same_category(F.col("category"), c))).join(history, KEYS, "left_semi")
+    now = entries.groupBy(*KEYS, "no", "category").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
+    now = likeness.written(now.withColumn("moves", norm_text(F.col("category")).startswith("TRANSFERENCIA")), "categories")
+    same = likeness.same_by_start(now.filter("not moves"), ["condo_id"], "category", "category")
+    seen = now.filter("not moves").select("condo_id", "no", F.col("category").alias("other")).join(same, ["condo_id", "other"])
+    asked = now.filter("not moves")
+    history = now.select("condo_id", "no").distinct().withColumn("months", F.count("*").over(before("condo_id"))).filter("months > 0").drop("months")
+    new = asked.join(likeness.known_before(asked, seen, ["condo_id", "category"]), ["condo_id", "no", "category"], "left_anti").join(history, ["condo_id", "no"], "left_semi")
     many = new.groupBy(*KEYS).agg(F.count("*").alias("many"))
     return new.join(many, KEYS).select(*KEYS, "category", "total", "n", F.when(F.col("many") > mass, "reorganised").otherwise("new").alias("kind"))
 
 
 def keyed(entries: DataFrame) -> DataFrame:
-    """Valid entries with their vendor key: neither transfers nor withholdings."""
-    return entries.filter("not is_structural")
+    """Valid entries with their vendor key: above zero, neither transfers nor withholdings."""
+    return entries.filter((F.col("amount") > CENT) & ~F.col("is_structural"))
 
 
 def with_identity(entries: DataFrame) -> DataFrame:
-    """Entries with what the rules ask of each: vendor key (F10), telling words (F16), natures (F17), whether it is structural, a
+    """Entries with what the rules ask of each: vendor key (F10), telling words (F16), what was paid for (F17), whether it is structural, a
     withholding, eventual or payroll (F19); written once, so that these long expressions run once."""
     v, d = F.col("vendor"), F.col("description")
     return entries.select(
-        "*", identity.vendor_key2(v, d).alias("key"), identity.presence_words(v, d).alias("words"), F.array_join(identity.natures(identity.terms(d)), " ").alias("service"),
+        "*", identity.vendor_key2(v, d).alias("key"), identity.presence_words(v, d).alias("words"),
         identity.structural(F.col("category"), d).alias("is_structural"), identity.is_kind(d, "withholding").alias("is_withholding"), identity.is_kind(d, "eventual").alias("is_eventual"), identity.is_kind(d, "payroll").alias("is_payroll"),
         installment(d).isNotNull().alias("has_installment"), invoice_no(d).alias("invoice_text"), norm_text(d).alias("norm_description"),
-    )
+    ).withColumn("object", F.array_except(identity.terms(d), F.split("key", " ")))
 
 
 def stable_months(entries: DataFrame, least: float = 0.5) -> DataFrame:
@@ -160,61 +166,63 @@ def stable_months(entries: DataFrame, least: float = 0.5) -> DataFrame:
     return months.join(share.select("condo_id", F.col("no").alias("last"), "share"), ["condo_id", "last"]).filter(F.col("share") >= least).select(*KEYS, "share")
 
 
-def blocks_of(words: Column, pairs: bool) -> Column:
-    """Every word (or sorted pair of words) of a list."""
-    words = F.array_sort(F.array_distinct(words))
-    if not pairs:
-        return words
-    return F.flatten(F.transform(words, lambda a, i: F.transform(F.filter(words, lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
-
-
 def present_by_words(wanted: DataFrame, entries: DataFrame, here: bool) -> DataFrame:
     """F16: the (condo_id, month, code, key) of ``wanted`` whose telling words, at least half of them, stand in one entry of the history
-    months (or of the month itself with ``here``). Whole words count; blocks of one or two words meet by equality."""
-    asked = wanted.filter(F.size("words") > 0)
-    block = F.when(F.size("words") <= 2, F.transform("words", lambda w: F.concat(F.lit("1 "), w))).otherwise(F.transform(blocks_of(F.col("words"), True), lambda w: F.concat(F.lit("2 "), w)))
-    asked = asked.select(*KEYS, "code", "key", F.explode(block).alias("block"))
-    vocabulary = asked.select("condo_id", F.explode(F.split(F.expr("substring(block, 3)"), " ")).alias("word")).distinct()
-    text = F.split(norm_text(F.concat_ws(" ", "description", "vendor")), " ")
-    lists = entries.select(*KEYS, F.array_sort(F.array_distinct(F.filter(text, lambda t: ~t.rlike("^[0-9]*$")))).alias("words")).distinct()
-    found = lists.withColumn("id", F.xxhash64("words")).select(*KEYS, "id", F.explode("words").alias("word")).join(vocabulary, ["condo_id", "word"])
-    short = found.groupBy(*KEYS, "id").agg(F.collect_set("word").alias("words"))
-    single = short.select(*KEYS, F.explode(F.transform("words", lambda w: F.concat(F.lit("1 "), w))).alias("block"))
-    double = short.select(*KEYS, F.explode(F.transform(blocks_of(F.col("words"), True), lambda w: F.concat(F.lit("2 "), w))).alias("block"))
-    there = single.unionByName(double).distinct()
-    there = there if here else earlier(there).select(*KEYS, "block").distinct()
-    return asked.join(there, [*KEYS, "block"], "left_semi").select(*KEYS, "code", "key").distinct()
-
-
-def near_by_letters(wanted: DataFrame, keys: DataFrame) -> DataFrame:
-    """the (condo_id, month, key) of ``wanted`` to which another key of ``keys`` in that month is near; candidates share their
-    first or last four letters."""
-    ends = lambda c: F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(c, 1, 4)), F.concat(F.lit(">"), F.expr(f"right({c}, 4)"))))).alias("block")
-    asked = wanted.select(*KEYS, "key").distinct().select(*KEYS, "key", ends("key"))
-    others = keys.select(*KEYS, F.col("key").alias("other")).distinct().select(*KEYS, "other", ends("other"))
-    return asked.join(others, [*KEYS, "block"]).filter(identity.near_name(F.col("key"), F.col("other"))).select(*KEYS, "key").distinct()
+    months (or of the month itself with ``here``), be it as parts of words.
+
+    Of one or two words any suffices; of three any pair. A pair is looked for in the texts of its rarer word.
+    """
+    words = F.array_sort("words")
+    pair = lambda i, j: F.struct(words[i].alias("one"), words[j].alias("two"))
+    block = F.when(F.size("words") <= 2, F.transform("words", lambda w: F.struct(w.alias("one"), F.lit("").alias("two")))).otherwise(F.array(pair(0, 1), pair(0, 2), pair(1, 2)))
+    asked = wanted.filter(F.size("words") > 0).select(*KEYS, month_no(F.col("month")).alias("no"), "code", "key", F.inline(block))
+    asked = likeness.written(asked, "asked")
+    plain = F.array_join(F.filter(F.split(norm_text(F.concat_ws(" ", "description", "vendor")), " "), lambda t: t.rlike("[A-Z]")), " ")
+    texts = likeness.written(entries.select("condo_id", "no", plain.alias("text")).distinct(), "texts")
+    vocabulary = asked.select("condo_id", F.explode(F.array("one", "two")).alias("word")).filter("word <> ''")
+    inside = likeness.written(likeness.words_within(vocabulary, texts.select("condo_id", "text").distinct(), ["condo_id"]), "inside")
+    size = inside.groupBy("condo_id", "word").agg(F.count("*").alias("size"))
+    pairs = asked.filter("two <> ''").select("condo_id", "one", "two").distinct()
+    pairs = pairs.join(size.select("condo_id", F.col("word").alias("one"), F.col("size").alias("n1")), ["condo_id", "one"]).join(size.select("condo_id", F.col("word").alias("two"), F.col("size").alias("n2")), ["condo_id", "two"])
+    pairs = pairs.withColumn("word", F.when(F.col("n1") <= F.col("n2"), F.col("one")).otherwise(F.col("two"))).withColumn("other", F.when(F.col("n1") <= F.col("n2"), F.col("two")).otherwise(F.col("one")))
+    double = pairs.join(inside, ["condo_id", "word"]).filter(F.contains("text", "other")).select("condo_id", "one", "two", "text")
+    single = asked.filter("two = ''").select("condo_id", F.col("one").alias("word")).distinct().join(inside, ["condo_id", "word"]).select("condo_id", F.col("word").alias("one"), F.lit("").alias("two"), "text")
+    there = single.unionByName(double).join(texts, ["condo_id", "text"]).select("condo_id", "one", "two", "no").distinct()
+    known = there if here else likeness.known_before(asked, there, ["condo_id", "one", "two"])
+    return asked.join(known, ["condo_id", "no", "one", "two"], "left_semi").select(*KEYS, "code", "key").distinct()
+
+
+def new_among(wanted: DataFrame, entries: DataFrame, months: int) -> DataFrame:
+    """G1's test: the entries of ``wanted`` whose vendor the history lacks, by key (F10), near name (F15) and words (F16)."""
+    keys = keyed(entries).select("condo_id", "no", "key").distinct()
+    enough = keys.select("condo_id", "no").distinct().withColumn("n", F.count("*").over(before("condo_id"))).filter(F.col("n") >= months).drop("n")
+    wanted = wanted.join(enough, ["condo_id", "no"], "left_semi")
+    near = likeness.near_names(wanted, keys, ["condo_id"], "key")
+    seen = keys.withColumnRenamed("key", "other").join(near, ["condo_id", "other"]).select("condo_id", "no", "key").unionByName(keys)
+    wanted = likeness.written(wanted.join(likeness.known_before(wanted, seen, ["condo_id", "key"]), ["condo_id", "no", "key"], "left_anti"), "wanted")
+    return wanted.join(present_by_words(wanted, entries, False), [*KEYS, "code", "key"], "left_anti")
+
+
+def of_new_vendor(entries: DataFrame, least: float) -> DataFrame:
+    """Entries that G1 asks about: of ``least`` or more, neither vacations and the like nor payroll."""
+    return keyed(entries).filter((F.col("amount") >= least) & ~F.col("is_eventual") & ~F.col("is_payroll"))
 
 
 def new_vendors(entries: DataFrame, least: float = 3000, months: int = 2) -> DataFrame:
-    """G1: entries of ``least`` or more of vendors that the history lacks, by key (F10), near name (F15) and words (F16); vacations,
-    payroll and the like are left out."""
-    rows = keyed(entries)
-    keys = rows.select(*KEYS, "no", "key").distinct()
-    seen = keys.withColumn("seen", F.count("*").over(before("condo_id", "key"))).filter("seen = 0").select(*KEYS, "key")
-    enough = keys.select("condo_id", "month", "no").distinct().withColumn("n", F.count("*").over(before("condo_id"))).filter(F.col("n") >= months).select(*KEYS)
-    wanted = rows.filter((F.col("amount") >= least) & ~F.col("is_eventual") & ~F.col("is_payroll")).join(seen, [*KEYS, "key"], "left_semi").join(enough, KEYS, "left_semi")
-    near = near_by_letters(wanted, earlier(keys.select(*KEYS, "key")).select(*KEYS, "key").distinct())
-    wanted = wanted.join(near, [*KEYS, "key"], "left_anti")
-    return wanted.join(present_by_words(wanted, entries, False), [*KEYS, "code", "key"], "left_anti").select(*KEYS, "ord", "code", "key", "amount")
-
-
-def round_amounts(entries: DataFrame, least: float = 2000, multiple: int = 100) -> DataFrame:
-    """Round amounts that no history month has, without installment, invoice number, and not among the new vendors."""
-    cents = (F.col("amount") * 100).cast("long")
+    """G1: entries of ``least`` or more of vendors that the history lacks; vacations, payroll and the like are left out."""
+    return new_among(of_new_vendor(entries, least), entries, months).select(*KEYS, "ord", "code", "key", "amount")
+
+
+def round_amounts(entries: DataFrame, least: float = 2000, multiple: int = 100, new_least: float = 3000, months: int = 2) -> DataFrame:
+    """Round amounts that no history month has, without installment, invoice number, and not among the new vendors; only
+    where there is history."""
     rows = keyed(entries)
-    amounts = rows.select("condo_id", "no", "month", "amount").distinct().withColumn("seen", F.count("*").over(before("condo_id", "amount"))).filter("seen = 0").select(*KEYS, "amount")
-    wanted = rows.filter((F.col("amount") >= least) & (F.pmod(cents, F.lit(multiple * 100)) == 0) & ~F.col("has_installment") & F.col("invoice_text").isNull())
-    return wanted.join(amounts, [*KEYS, "amount"], "left_semi").join(new_vendors(entries).select(*KEYS, "code"), [*KEYS, "code"], "left_anti").select(*KEYS, "ord", "code", "amount")
+    amounts = rows.select("condo_id", "no", "amount").distinct().withColumn("seen", F.count("*").over(before("condo_id", "amount"))).filter("seen = 0").select("condo_id", "no", "amount")
+    history = entries.select("condo_id", "no").distinct().withColumn("n", F.count("*").over(before("condo_id"))).filter("n > 0").drop("n")
+    wanted = rows.filter((F.col("amount") >= least) & (F.pmod(cents(F.col("amount")), F.lit(multiple * 100)) == 0) & ~F.col("has_installment") & F.col("invoice_text").isNull())
+    wanted = likeness.written(wanted.join(amounts, ["condo_id", "no", "amount"], "left_semi").join(history, ["condo_id", "no"], "left_semi"), "round")
+    new = new_among(of_new_vendor(wanted, new_least), entries, months).select(*KEYS, "code").distinct()
+    return wanted.join(new, [*KEYS, "code"], "left_anti").select(*KEYS, "ord", "code", "amount")
 
 
 def missing_vendors(entries: DataFrame, months: int = 3, least: float = 500) -> DataFrame:
@@ -228,9 +236,12 @@ def missing_vendors(entries: DataFrame, months: int = 3, least: float = 500) ->
     frame = by_key.rangeBetween(1 - months, 0)
     last = sums.withColumn("n", F.count("*").over(frame)).withColumn("all", F.array_sort(F.flatten(F.collect_list("amounts").over(frame)))).withColumn("after", F.lead("no").over(by_key))
     open_now = last.filter((F.col("n") == months) & (F.coalesce(F.col("after"), F.lit(0)) != F.col("no") + 1) & (F.col("ended") == 0)).withColumn("usual", middle_of_cents(F.col("all"))).filter(F.col("usual") >= least)
-    wanted = previous(open_now.select(*KEYS, "key", "usual", "sample.code", "sample.words")).join(entries.select(*KEYS).distinct(), KEYS, "left_semi")
-    near = near_by_letters(wanted, rows.select(*KEYS, "key").distinct())
-    wanted = wanted.join(near, [*KEYS, "key"], "left_anti")
+    wanted = previous(open_now.select(*KEYS, (F.col("no") + 1).alias("no"), "key", "usual", "sample.code", "sample.words")).join(entries.select(*KEYS).distinct(), KEYS, "left_semi")
+    wanted = likeness.written(wanted, "missing")
+    keys = rows.select("condo_id", "no", "key").distinct()
+    near = likeness.near_names(wanted, keys, ["condo_id"], "key")
+    here = keys.withColumnRenamed("key", "other").join(near, ["condo_id", "other"]).select("condo_id", "no", "key").distinct()
+    wanted = wanted.join(here, ["condo_id", "no", "key"], "left_anti")
     return wanted.join(present_by_words(wanted, entries, True), [*KEYS, "code", "key"], "left_anti").select(*KEYS, "key", "code", "usual")
 
 
@@ -244,18 +255,58 @@ def missing_expected(entries: DataFrame, pattern: str, months: int = 3, least: f
     return previous(gone.select(*KEYS, "usual")).join(entries.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
+def alike_works(objects: DataFrame) -> DataFrame:
+    """(condo_id, key, a, b): F17 over the distinct ``works`` (natures, stems) of a vendor key, both ways round, each with itself.
+
+    Two works without a stem in common are alike only if one has no stem at all; these few are joined by the key.
+    """
+    a, b = (objects.select("condo_id", "key", F.col("work").alias(x)) for x in ("a", "b"))
+    stem = lambda rows, x: rows.select("*", F.explode(f"{x}.stems").alias("stem"))
+    bare = a.filter(F.size("a.stems") == 0).join(b, ["condo_id", "key"])
+    pairs = stem(a, "a").join(stem(b, "b"), ["condo_id", "key", "stem"]).drop("stem").unionByName(bare).unionByName(bare.select("condo_id", "key", F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.filter(identity.same_work(F.col("a.natures"), F.col("a.stems"), F.col("b.natures"), F.col("b.stems"))).distinct()
+
+
+def work_groups(entries: DataFrame, alike: DataFrame) -> DataFrame:
+    """G5's groups: the entries (condo_id, month, key, work, ord) of a vendor in a month joined by chains of works that F17 takes for
+    one; ``group`` is the least ord of the chain, ``lead`` the work of that entry."""
+    keys = [*KEYS, "key"]
+    nodes = likeness.written(entries.groupBy(*keys, "work").agg(F.min("ord").alias("node")), "works")
+    one, two = nodes.select(*keys, F.col("work").alias("a"), F.col("node").alias("from")), nodes.select(*keys, F.col("work").alias("b"), F.col("node").alias("to"))
+    edges = one.join(alike, ["condo_id", "key", "a"]).join(two, [*keys, "b"]).filter(F.col("from") < F.col("to")).select(*keys, F.col("from").alias("a"), F.col("to").alias("b"))
+    grouped = nodes.join(likeness.components(edges, keys), [*keys, "node"], "left").withColumn("group", F.coalesce("component", "node"))
+    leads = nodes.select(*keys, F.col("node").alias("group"), F.col("work").alias("lead"))
+    return grouped.join(leads, [*keys, "group"]).select(*keys, "work", "group", "lead")
+
+
 def atypical_amounts(entries: DataFrame, factor: float = 2.5, variable: float = 1.1, least: float = 1000) -> DataFrame:
-    """A vendor's entries of one kind of work (F17's natures) against the median of their sums in the history months, two at
-    least; utilities have the lower factor. ``accumulated``: two competences or more (F12), amounts within 15 % of their mean."""
-    rows = keyed(entries).filter(F.col("inst_n").isNull() & ~F.col("is_eventual")).withColumn("competence", identity.competence(F.col("description")))
+    """A vendor's entries of one chain of works against the median of what the works like its first entry's cost in the
+    history months, two at least; utilities have the lower factor.
+
+    ``kind``: accumulated (two entries or more of alike amounts and two competences), earlier (two competences before this
+    month), above, or uncompared (accumulated without two months to compare, two competences before this month).
+    """
+    rows = keyed(entries).withColumn("work", F.struct(identity.natures(F.col("object")).alias("natures"), identity.stems(F.col("object")).alias("stems")))
+    rows = likeness.written(rows.select(*KEYS, "no", "ord", "key", "work", "amount", "description", "vendor", "inst_n", "is_eventual"), "valid")
+    alike = likeness.written(alike_works(rows.select("condo_id", "key", "work").distinct()), "alike")
+    now = rows.filter(F.col("inst_n").isNull() & ~F.col("is_eventual")).withColumn("competence", identity.competence(F.col("description")))
+    groups = likeness.written(work_groups(now, alike), "groups")
     amount = F.col("amount").cast("double")
     utility = identity.is_kind(F.concat_ws(" ", "description", "vendor"), "variable_utility")
-    sums = rows.groupBy("condo_id", "month", "no", "key", "service").agg(cents(F.sum("amount")).alias("total"), F.count("*").alias("n"), F.bool_or(utility).alias("variable"), F.count_distinct("competence").alias("competences"), (F.max(amount) - F.min(amount) <= 0.15 * F.avg(amount)).alias("alike"))
-    past = F.array_sort(F.collect_list(F.when(F.col("total") > 1, F.col("total"))).over(before("condo_id", "key", "service")))
-    marked = sums.withColumn("past", past).filter(F.size("past") >= 2).withColumn("usual", middle_of_cents(F.col("past"))).withColumn("total", F.col("total") / 100)
+    sums = now.join(groups, [*KEYS, "key", "work"]).groupBy(*KEYS, "no", "key", "group", "lead").agg(
+        cents(F.sum("amount")).alias("total"), F.count("*").alias("n"), F.bool_or(utility).alias("variable"), F.count_distinct("competence").alias("competences"),
+        F.count_distinct(F.when(F.col("competence") < F.col("month"), F.col("competence"))).alias("earlier"), (F.max(amount) - F.min(amount) <= 0.15 * F.avg(amount)).alias("alike"),
+    )
+    monthly = rows.groupBy("condo_id", "no", "key", F.col("work").alias("b")).agg(cents(F.sum("amount")).alias("cost"))
+    costs = groups.select("condo_id", "key", F.col("lead").alias("a")).distinct().join(alike, ["condo_id", "key", "a"]).join(monthly, ["condo_id", "key", "b"])
+    costs = costs.groupBy("condo_id", "no", "key", F.col("a").alias("lead")).agg(F.sum("cost").alias("cost"))
+    past = costs.withColumn("past", F.array_sort(F.collect_list(F.when(F.col("cost") > 1, F.col("cost"))).over(before("condo_id", "key", "lead")))).drop("cost")
+    marked = sums.join(past, ["condo_id", "no", "key", "lead"]).withColumn("total", F.col("total") / 100).withColumn("usual", F.when(F.size("past") >= 2, middle_of_cents(F.col("past"))))
     limit = F.when(F.col("variable"), variable).otherwise(factor)
-    found = marked.filter((F.col("usual") > CENT) & (F.col("total") >= limit * F.col("usual")) & (F.col("total") - F.col("usual") >= least))
-    return found.select(*KEYS, "key", "service", "total", "usual", "variable", ((F.col("n") >= 2) & (F.col("competences") >= 2) & F.col("alike")).alias("accumulated"))
+    above = (F.col("usual") > CENT) & (F.col("total") >= limit * F.col("usual")) & (F.col("total") - F.col("usual") >= least)
+    many = (F.col("n") >= 2) & (F.col("competences") >= 2) & F.col("alike")
+    kind = F.when(above & many, "accumulated").when(above & (F.col("earlier") >= 2), "earlier").when(above, "above").when(F.col("usual").isNull() & many & (F.col("earlier") >= 2), "uncompared")
+    return marked.withColumn("kind", kind).filter("kind is not null").select(*KEYS, "key", F.col("group").alias("ord"), "total", "n", "usual", "variable", "kind")
 
 
 def reversals(entries: DataFrame, least: float = 500) -> DataFrame:

@@ -16,7 +16,13 @@ def entries(spark, sf_dir):
     return op.with_identity(named.entries(spark, sf_dir))
 
 
-accounts = stored(named.accounts)
+@stored
+def works(spark, sf_dir):
+    """Workshops' entries with their identity."""
+    return op.with_identity(named.works(spark, sf_dir))
+
+
+accounts, split_accounts = stored(named.accounts), stored(named.split_accounts)
 
 
 def identity_functions(spark, sf_dir):
@@ -42,7 +48,7 @@ def queries(on, plain) -> dict:
         "r13_unlocated_yield": on(op.unlocated_yield, s, ledger.account_month),
         "r14_unidentified": on(op.unidentified, e),
         "r9_renamed_accounts": on(op.continuity_of_renamed, a),
-        "r7_renamed_accounts": on(op.streak_of_renamed, a),
+        "r7_renamed_accounts": on(op.streak_of_renamed, split_accounts),
         "r16_renamed_categories": on(op.switched_category, e),
         "r17_renamed_categories": on(op.new_category_of_renamed, e),
         "r19_new_category": on(op.new_category_six_months, e),
@@ -51,7 +57,7 @@ def queries(on, plain) -> dict:
         "g2_round_amounts": on(op.round_amounts, e),
         "g3_missing_vendors": on(op.missing_vendors, e),
         "g4_missing_expected": lambda spark, sf_dir: plain(op.missing_expected(e(spark, sf_dir), "^SALARIO")),
-        "g5_atypical_amounts": on(op.atypical_amounts, e),
+        "g5_atypical_amounts": on(op.atypical_amounts, works),
         "g7_reversals": on(op.reversals, e),
         "g8_duplicates_with_invoice": on(op.duplicates_with_invoice, e),
         "g10_deficit_without_transfers": on(op.deficit_without_transfers, a, e, i),
