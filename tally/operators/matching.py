@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tally.functions import documents, identity
+from tally.operators import likeness
+from tally.operators.identified import cents
 from tally.operators.rules import KEYS
 
 TOL = 0.01
@@ -145,19 +149,45 @@ def slip_groups(slips: DataFrame, pool: DataFrame, tolerance: float = 0.02) -> D
     return keyed.select(*KEYS, "auth_id", "n", "sum", "document_amount", state.alias("state"))
 
 
-def subset_sums(items: DataFrame, targets: DataFrame, most: int = 10) -> DataFrame:
-    """Per key, the smallest number of its items (of at most ``most``, the largest first) whose cents sum to the target.
+def half_sums(items: DataFrame, keys: list[str], most: int) -> list[DataFrame]:
+    """For sizes 0 to ``most`` all subsets of a key's numbered items: (keys, members, sum, first, last), members ascending."""
+    none = items.select(*keys).distinct().select(*keys, F.array().cast("array<int>").alias("members"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(0).alias("last"))
+    out = [none]
+    for _ in range(most):
+        grown = out[-1].join(items.select(*keys, "at", "cents"), keys).filter(F.col("at") > F.col("last"))
+        out.append(grown.select(*keys, F.array_append("members", F.col("at")).alias("members"), (F.col("sum") + F.col("cents")).alias("sum"), F.coalesce("first", "at").alias("first"), F.col("at").alias("last")))
+    return out
+
+
+def subset_sums(items: DataFrame, targets: DataFrame, max_n: int = 4, off: int = 1, keys: tuple[str, ...] = (*KEYS, "account")) -> DataFrame:
+    """Per key, the smallest subset of its items (ord, code, amount), of at most ``max_n``, that sums to the target within ``off`` cents.
 
-    Sums of subsets grow item by item as a map of the set of sums reached with so many items; at most 2^most of them.
+    Of equal sizes the first counts, items ordered by ord and code. A subset is its lower half and its upper half, which meet
+    by equality of what the one lacks and the other sums to; sizes are tried in pairs, for the targets still open. All items
+    count: ``max_n`` bounds the subset, so a key of n items has about n to the (max_n / 2) half sums, which Spark shuffles by key
+    and sum. (keys, target, items, used, codes), ``used`` null where no subset fits.
     """
-    order = W.partitionBy(*KEYS, "account").orderBy(F.desc("amount"), "code")
-    # the cap is the operator's own: more than ``most`` items are no bounded question
-    chosen = items.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).groupBy(*KEYS, "account").agg(F.collect_list((F.col("amount") * 100).cast("long")).alias("cents"))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n")))
-    grow = lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.struct((s["sum"] + x).alias("sum"), (s["n"] + 1).alias("n"))))
-    reached = F.aggregate("cents", start, grow)
-    hits = F.array_min(F.transform(F.filter(reached, lambda s: (s["n"] > 0) & (s["sum"] == (F.col("target") * 100).cast("long"))), lambda s: s["n"]))
-    return targets.join(chosen, [*KEYS, "account"]).select(*KEYS, "account", "target", F.size("cents").alias("items"), hits.alias("used"))
+    keys = list(keys)
+    order = W.partitionBy(*keys).orderBy("ord", "code")
+    listed = likeness.written(items.select(*keys, "code", cents(F.col("amount")).alias("cents"), F.row_number().over(order).alias("at")), "items")
+    wanted = likeness.written(targets.select(*keys, "target", cents(F.col("target")).alias("want")).distinct(), "targets")
+    found, left = None, wanted
+    for half in range(1, max_n // 2 + max_n % 2 + 1):
+        sums = half_sums(listed.join(left.select(*keys).distinct(), keys, "left_semi"), keys, half)
+        lower = left.withColumn("sought", F.explode(F.sequence(F.col("want") - off, F.col("want") + off))).join(sums[half].drop("first"), keys)
+        lower = lower.withColumn("rest", F.col("sought") - F.col("sum")).drop("sum")
+        upper = [sums[half - 1]] + ([sums[half]] if 2 * half <= max_n else [])
+        upper = reduce(DataFrame.unionByName, upper).select(*keys, F.col("members").alias("others"), F.col("sum").alias("rest"), "first")
+        met = lower.join(upper, [*keys, "rest"]).filter(F.coalesce(F.col("first") > F.col("last"), F.lit(True))).withColumn("members", F.concat("members", "others"))
+        best = likeness.written(met.groupBy(*keys, "target").agg(F.min(F.struct(F.size("members").alias("used"), "members")).alias("best")).select(*keys, "target", "best.used", "best.members"), "subsets")
+        found = best if found is None else found.unionByName(best)
+        left = likeness.written(left.join(best, [*keys, "target"], "left_anti"), "open")
+        if left.isEmpty():
+            break
+    sizes = listed.groupBy(*keys).agg(F.count("*").alias("items"))
+    codes = found.select(*keys, "target", F.explode("members").alias("at")).join(listed, [*keys, "at"]).groupBy(*keys, "target").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]), ",").alias("codes"))
+    rows = wanted.join(sizes, keys, "left").join(found.drop("members"), [*keys, "target"], "left").join(codes, [*keys, "target"], "left")
+    return rows.select(*keys, "target", F.coalesce("items", F.lit(0)).alias("items"), "used", "codes")
 
 
 def merged_balance(first: DataFrame, second: DataFrame) -> DataFrame:

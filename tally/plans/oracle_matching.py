@@ -66,7 +66,7 @@ SQL = {
     "a4_category_vs_balance": _with([*E, "b AS (SELECT condo_id, month, category, sum(amount) AS declared, coalesce(sum(amount) FILTER (ord % 111 <> 0), 0) AS evidence FROM expense GROUP BY ALL)"], f"SELECT condo_id, {M}, category, {_d('declared', 'evidence')}, CAST(evidence - declared AS DOUBLE) AS gap FROM b WHERE abs(evidence - declared) > 0.02"),
     "a9_repeated_documents": _with([*K], f"SELECT condo_id, {M}, key, document, amount, n, CAST(0.8 AS DOUBLE) AS confidence FROM (SELECT condo_id, month, key, coalesce(nullif({NF}, ''), CAST(due AS VARCHAR)) AS document, CAST(amount AS DOUBLE) AS amount, count(*) AS n FROM keyed WHERE amount > 0 GROUP BY ALL HAVING count(*) >= 2)"),
     "a11_slip_groups": _with([*E, "x AS (SELECT * FROM expense WHERE ord % 13 = 1)", "tot AS (SELECT condo_id, month, account, sum(amount) AS document_amount, coalesce(sum(amount) FILTER (ord % 11 = 0), 0) AS spare FROM x GROUP BY ALL)", "g AS (SELECT condo_id, month, account, count(*) AS n, sum(amount) AS s FROM x WHERE ord % 11 <> 0 GROUP BY ALL HAVING count(*) >= 2)"], f"SELECT condo_id, {M}, condo_id || '-' || strftime(month, '%Y-%m') || '-' || account AS auth_id, n, CAST(s AS DOUBLE) AS sum, {_d('document_amount')}, CASE WHEN abs(document_amount - s) <= 0.02 THEN 'closes' WHEN abs(document_amount - s - spare) <= 0.02 THEN 'closes_with_unread' ELSE 'open' END AS state FROM (SELECT * FROM g JOIN tot USING (condo_id, month, account))"),
-    "a17_subset_sums": _with([*E, _W, "it AS (SELECT condo_id, month, account, list(CAST(amount * 100 AS BIGINT) ORDER BY amount DESC, code)[1:10] AS cents, list_sort(list(amount), 'DESC') AS a FROM w GROUP BY ALL)", "tg AS (SELECT *, a[1] + a[2] + CASE WHEN condo_id % 3 = 0 THEN 0.01 ELSE 0 END AS target FROM it WHERE len(a) >= 2)", "m AS (SELECT condo_id, month, account, mask, (SELECT sum(CASE WHEN (mask >> (k - 1)) & 1 = 1 THEN cents[k] ELSE 0 END) FROM range(1, len(cents) + 1) AS r(k)) AS s, bit_count(mask) AS n, CAST(target * 100 AS BIGINT) AS want FROM tg, range(1, 1024) AS q(mask) WHERE mask < (1 << len(cents)))", "u AS (SELECT condo_id, month, account, min(n) AS used FROM m WHERE s = want GROUP BY ALL)"], f"SELECT condo_id, {M}, account, {_d('target')}, CAST(len(cents) AS BIGINT) AS items, CAST(used AS BIGINT) AS used FROM (SELECT * FROM tg LEFT JOIN u USING (condo_id, month, account))"),
+    "a17_subset_sums": _with([*E, "it AS (SELECT condo_id, date_trunc('quarter', month) AS month, account, code, CAST(amount * 100 AS BIGINT) AS cents, amount, row_number() OVER (PARTITION BY condo_id, date_trunc('quarter', month), account ORDER BY ord, code) AS pos FROM expense WHERE ord % 3 = 0)", "g AS (SELECT condo_id, month, account, count(*) AS items, list_sort(list(amount)) AS a FROM it GROUP BY ALL)", "tg AS (SELECT *, CASE (condo_id + month(month)) % 4 WHEN 0 THEN a[1] + a[2] + a[3] WHEN 1 THEN a[1] + a[-1] WHEN 2 THEN a[2] + a[3] + a[4] + a[5] ELSE a[1] + a[3] + 0.05 END + CASE WHEN condo_id % 3 = 0 THEN 0.01 ELSE 0 END AS target, CAST(target * 100 AS BIGINT) AS want FROM g WHERE items >= 5)", "pr AS (SELECT x.condo_id, x.month, x.account, [x.pos, y.pos] AS m, x.cents + y.cents AS s FROM it x JOIN it y ON x.condo_id = y.condo_id AND x.month = y.month AND x.account = y.account AND x.pos < y.pos)", "lo AS (SELECT condo_id, month, account, [pos] AS m, cents AS s FROM it UNION ALL SELECT * FROM pr)", "hi AS (SELECT DISTINCT condo_id, month, account, []::BIGINT[] AS m, 0 AS s FROM it UNION ALL SELECT * FROM lo)", "so AS (SELECT condo_id, month, account, want + unnest([-1, 0, 1]) AS sought FROM tg)", "hit AS (SELECT l.condo_id, l.month, l.account, list_concat(l.m, h.m) AS m FROM so JOIN lo l USING (condo_id, month, account) JOIN hi h ON h.condo_id = l.condo_id AND h.month = l.month AND h.account = l.account AND h.s = so.sought - l.s WHERE len(h.m) = 0 OR h.m[1] > l.m[-1])", "best AS (SELECT condo_id, month, account, min({'n': len(m), 'm': m}) AS b FROM hit GROUP BY ALL)", "codes AS (SELECT condo_id, month, account, string_agg(code, ',' ORDER BY pos) AS codes FROM (SELECT condo_id, month, account, unnest(b.m) AS pos FROM best) JOIN it USING (condo_id, month, account, pos) GROUP BY ALL)"], f"SELECT condo_id, {M}, account, {_d('target')}, items, CAST(b.n AS BIGINT) AS used, codes FROM tg LEFT JOIN best USING (condo_id, month, account) LEFT JOIN codes USING (condo_id, month, account)"),
     "a20_merged_balance": _with([*A, _ISSUANCE, "b AS (SELECT condo_id, month, sum(opening) AS opening, sum(credits) AS credits, sum(debits) AS debits FROM account GROUP BY ALL)", "i AS (SELECT condo_id, month, sum(CASE WHEN kind = 'quota' AND condo_id % 10 <> 0 THEN amount ELSE 0 END) AS delinquent FROM income GROUP BY ALL)", "r AS (SELECT condo_id, month, CASE WHEN condo_id % 2 = 0 AND opening + 10 <> 0 THEN opening + 10 ELSE opening END AS opening, credits, debits, coalesce(delinquent, 0) AS delinquent FROM b LEFT JOIN i USING (condo_id, month))"], f"SELECT condo_id, {M}, {_d('opening')}, CAST(opening + credits - debits AS DOUBLE) AS closing, {_d('delinquent')} FROM r"),
     "a23_net_debits": _with([*A, RENAMED, *K[1:], "mo AS (SELECT condo_id, month, account, sum(amount) AS moved FROM named WHERE description LIKE 'TRANSF%' GROUP BY ALL)"], f"SELECT condo_id, {M}, account, CAST(debits - coalesce(moved, 0) AS DOUBLE) AS net_debits, {_d('yield_amt')} FROM (SELECT * FROM renamed LEFT JOIN mo USING (condo_id, month, account))"),
     "a24_income_source": _with([*A, "de AS (SELECT condo_id, month, account, sum(amount) AS detail, sum(amount) FILTER (amount > 0) AS positive FROM income GROUP BY ALL)"], f"SELECT condo_id, {M}, account, {_d('credits')}, CASE WHEN abs(detail - credits) <= 0.011 THEN 'detail' WHEN abs(positive - credits) <= 0.011 THEN 'positive' ELSE 'position' END AS source FROM (SELECT * FROM account LEFT JOIN de USING (condo_id, month, account))"),

@@ -1,12 +1,13 @@
 """Likeness joins against comparing every name with every other, and the rules that use them."""
 
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tally.functions import identity
-from tally.operators import identified, likeness
+from tally.operators import identified, likeness, matching
 from tests.test_ledger import entry_rows
 
 
@@ -121,3 +122,29 @@ def test_competences_paid_at_once(spark):
     assert [tuple(r)[3:] for r in fresh.collect()] == [(10, 3000.0, 3, None, False, "uncompared")]
     uneven = now[:2] + [("2024-03-01", 12, 3000.0, "OFICINA SUL", months[2], "C")]
     assert [r["kind"] for r in identified.atypical_amounts(entry_rows(spark, past + uneven)).collect()] == ["earlier"]
+
+
+def brute_subset(items, target, max_n):
+    for n in range(1, max_n + 1):
+        for chosen in itertools.combinations(items, n):
+            if abs(sum(x for _, x in chosen) - target) <= 1:
+                return n, ",".join(c for c, _ in chosen)
+    return None, None
+
+
+def test_subset_sums(spark):
+    draw = random.Random(7)
+    keys, groups, targets = "condo_id int, month string, account string, ", {}, {}
+    for g in range(8):  # forty items; targets of the smallest, of all sizes, and of none
+        groups[g] = [(f"{g}-{i:02}", draw.randrange(1000, 90_000_00)) for i in range(40)]
+        chosen = sorted(groups[g], key=lambda x: x[1])[: 1 + g % 6] if g < 6 else [("x", 7)] if g == 6 else draw.sample(groups[g], 4)
+        targets[g] = sum(x for _, x in chosen) + (g % 2)
+    groups[8], targets[8] = [(f"8-{i:02}", 10_000 - 100 * i) for i in range(11)], 9_000  # the eleventh largest
+    groups[9], targets[9] = [("9-00", 500), ("9-01", 500), ("9-02", 500), ("9-03", -200)], 800
+    targets[10] = 5
+    items = [(g, "m", "a", i, c, cents / 100) for g, own in groups.items() for i, (c, cents) in enumerate(own)]
+    left = spark.createDataFrame(items, keys + "ord int, code string, amount double").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    right = spark.createDataFrame([(g, "m", "a", t / 100) for g, t in targets.items()], keys + "target double").withColumn("target", F.col("target").cast("decimal(18,2)"))
+    for max_n in (1, 4, 5):
+        got = {r["condo_id"]: (r["items"], r["used"], r["codes"]) for r in matching.subset_sums(left, right, max_n).collect()}
+        assert got == {g: (len(groups.get(g, [])), *brute_subset(groups.get(g, []), t, max_n)) for g, t in targets.items()}
