@@ -52,29 +52,43 @@ def same_by_start(names: DataFrame, keys: list[str], name: str, kind: str) -> Da
     return one.unionByName(two).distinct()
 
 
-def tolerance(n: str) -> str:
-    """How many edits F15 allows between names, the longer of which has ``n`` letters: 12 %."""
-    return f"cast(({n}) * 3 div 25 as int)"
+#: F15's share of edits: 12 % of the longer name, as a fraction, and how far apart the lengths may be.
+NEAR, APART = (3, 25), 2
 
 
-# A name of l letters in d + 1 pieces: piece i begins after l i / (d + 1) letters. At d edits one piece stays whole, and stands
-# in the other name where the edits before and behind it can have moved it.
-_PIECES = f"""array_distinct(flatten(transform(array_distinct(array({tolerance('n')}, {tolerance('n + 1')}, {tolerance('n + 2')})), d -> transform(sequence(0, d),
-  i -> concat_ws('|', n, d, i, substring(plain, cast(n * i div (d + 1) as int) + 1, cast(n * (i + 1) div (d + 1) - n * i div (d + 1) as int)))))))"""
-_PLACES = f"""array_distinct(flatten(transform(filter(sequence(n - 2, n + 2), l -> l > 0 and abs(n - l) <= {tolerance('greatest(n, l)')}), l -> flatten(transform(sequence(0, {tolerance('greatest(n, l)')}),
-  i -> transform(filter(sequence(-2 - {tolerance('greatest(n, l)')}, 2 + {tolerance('greatest(n, l)')}), s -> abs(s) <= i and abs(s - (n - l)) <= {tolerance('greatest(n, l)')} - i),
-    s -> concat_ws('|', l, {tolerance('greatest(n, l)')}, i, substring(plain, cast(l * i div ({tolerance('greatest(n, l)')} + 1) as int) + s + 1, cast(l * (i + 1) div ({tolerance('greatest(n, l)')} + 1) - l * i div ({tolerance('greatest(n, l)')} + 1) as int)))))))))"""
+def tolerance(n: str, share: tuple[int, int]) -> str:
+    """How many edits the share allows between names, the longer of which has ``n`` letters."""
+    return f"cast(({n}) * {share[0]} div {share[1]} as int)"
 
 
-def near_names(wanted: DataFrame, names: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, name, other): which names of ``names`` F15 takes for one of ``wanted``, equal ones too.
+def _pieces(share: tuple[int, int]) -> str:
+    """A name of n letters in one piece more than the edits ``d`` that any longer name allows: piece i begins after n i / (d + 1) letters."""
+    most = f"cast({share[1]} * n div ({share[1]} - {share[0]}) as int)"  # no name is farther away than the tolerance of this length
+    cut = "concat_ws('|', n, d, i, substring(plain, cast(n * i div (d + 1) as int) + 1, cast(n * (i + 1) div (d + 1) - n * i div (d + 1) as int)))"
+    return f"flatten(transform(sequence({tolerance('n', share)}, {tolerance(most, share)}), d -> transform(sequence(0, d), i -> {cut})))"
+
+
+def _places(share: tuple[int, int], apart: int | None) -> str:
+    """Where such a piece of a name of l letters can stand in this one of n: at d edits one piece stays whole, moved by no more than
+    the edits before it (i) and behind it (d - i) explain."""
+    d = tolerance("greatest(n, l)", share)
+    lengths = f"filter(sequence(greatest(1, n - {apart}), n + {apart}), l -> abs(n - l) <= {d})" if apart is not None else f"filter(sequence(1, 2 * n), l -> abs(n - l) <= {d})"
+    cut = "concat_ws('|', x.l, x.d, i, substring(plain, cast(x.l * i div (x.d + 1) as int) + s + 1, cast(x.l * (i + 1) div (x.d + 1) - x.l * i div (x.d + 1) as int)))"
+    moves = f"transform(filter(sequence(-i, i), s -> abs(s - (n - x.l)) <= x.d - i), s -> {cut})"
+    return f"array_distinct(flatten(transform(transform({lengths}, l -> named_struct('l', l, 'd', {d})), x -> flatten(transform(sequence(0, x.d), i -> {moves})))))"
+
+
+def near_names(wanted: DataFrame, names: DataFrame, keys: list[str], name: str, share: tuple[int, int] = NEAR, apart: int | None = APART) -> DataFrame:
+    """(keys, name, other): which names of ``names`` F15 takes for one of ``wanted``, equal ones too; or all within another share.
 
     The names of ``names`` are cut into one piece more than the edits allowed; a name within them has one piece unchanged.
     """
     sized = lambda df: df.select(*keys, F.col(name).alias("plain")).filter("plain <> ''").distinct().withColumn("n", F.length("plain"))
-    pieces = sized(names).select(*keys, F.col("plain").alias("other"), F.explode(F.expr(_PIECES)).alias("piece"))
-    places = sized(wanted).select(*keys, F.col("plain").alias(name), F.explode(F.expr(_PLACES)).alias("piece"))
-    return places.join(pieces, [*keys, "piece"]).filter(identity.near_name(F.col(name), F.col("other"))).select(*keys, name, "other").distinct()
+    pieces = sized(names).select(*keys, F.col("plain").alias("other"), F.explode(F.expr(_pieces(share))).alias("piece"))
+    places = sized(wanted).select(*keys, F.col("plain").alias(name), F.explode(F.expr(_places(share, apart))).alias("piece"))
+    found = places.join(pieces, [*keys, "piece"]).select(*keys, name, "other").distinct()
+    edits, longer = F.levenshtein(name, "other"), F.greatest(F.length(name), F.length("other"))
+    return found.filter(edits * share[1] <= longer * share[0]) if apart is None else found.filter(identity.near_name(F.col(name), F.col("other"), 1 - share[0] / share[1]))
 
 
 def words_within(wanted: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tally.functions import documents, identity
+from tally.functions.text import account_key, norm_text
 from tally.operators import likeness
 from tally.operators.identified import cents
 from tally.operators.rules import KEYS
@@ -238,17 +239,46 @@ def signs_reconciled(report: DataFrame, extracted: DataFrame, tolerance: float =
     return rows.select(*KEYS, "account", F.when(state == "sign", F.col("read")).otherwise(F.col("reported")).alias("amount"), state.alias("state"))
 
 
+# fixed values: words that two account names may differ in
+ACCOUNT_STOP = "DE DA DO E P S A O C COM PARA".split()
+LIKE, MARGIN = 0.82, 0.05
+
+
+def resolved_names(now: DataFrame, known: DataFrame) -> DataFrame:
+    """For each ``name`` of a building's month the one of ``known`` that it stands for, and by which level: 1 equal, 2 equal letters
+    and digits (the first by name), 3 the only one that begins with it or that it begins with (six letters or more), 4 the only
+    one whose words hold its words or the other way round, 5 the likest (edits, as F15), 0.82 or more and 0.05 ahead of the next.
+    A name that no level settles stays as it is, without a level.
+    """
+    key = lambda c: account_key(F.col(c))
+    rows = likeness.written(now.select(*KEYS, "name").distinct().select(*KEYS, "name", norm_text(F.col("name")).alias("norm"), key("name").alias("key")), "names")
+    others = likeness.written(known.select(*KEYS, "known").distinct().select(*KEYS, "known", norm_text(F.col("known")).alias("norm"), key("known").alias("key")), "known")
+    first = lambda level, on: rows.select(*KEYS, "name", on).join(others.select(*KEYS, "known", on), [*KEYS, on]).select(*KEYS, "name", "known", F.lit(level).alias("level"), F.lit(1.0).alias("like"))
+    # the shorter of two keys is one of the longer's beginnings
+    starts = lambda df, c: df.filter("length(key) >= 6").select(*KEYS, c, F.explode(F.transform(F.sequence(F.lit(6), F.length("key")), lambda i: F.substring(F.col("key"), F.lit(1), i))).alias("key"))
+    begins = rows.filter("length(key) >= 6").select(*KEYS, "name", "key").join(starts(others, "known"), [*KEYS, "key"]).unionByName(starts(rows, "name").join(others.select(*KEYS, "known", "key"), [*KEYS, "key"]))
+    third = begins.select(*KEYS, "name", "known").distinct().withColumn("level", F.lit(3)).withColumn("like", F.lit(1.0))
+    words = lambda df, c: df.select(*KEYS, c, F.array_distinct(F.filter(F.split("norm", " "), lambda t: (t != "") & ~t.isin(*ACCOUNT_STOP))).alias(f"{c}_words")).filter(F.size(f"{c}_words") > 0)
+    mine, theirs = words(rows, "name"), words(others, "known")
+    shared = mine.withColumn("word", F.explode("name_words")).join(theirs.withColumn("word", F.explode("known_words")), [*KEYS, "word"])
+    sizes = shared.groupBy(*KEYS, "name", "known").agg(F.count("*").alias("both"), F.max(F.size("name_words")).alias("n"), F.max(F.size("known_words")).alias("m"))
+    fourth = sizes.filter(F.col("both") == F.least("n", "m")).select(*KEYS, "name", "known", F.lit(4).alias("level"), F.lit(1.0).alias("like"))
+    # whoever matters as best or second best is at most 0.23 away
+    near = likeness.near_names(rows.select(*KEYS, "norm"), others.select(*KEYS, "norm"), KEYS, "norm", (23, 100), None)
+    like = 1 - F.levenshtein("norm", "other") / F.greatest(F.length("norm"), F.length("other"))
+    fifth = near.withColumn("like", like).join(rows, [*KEYS, "norm"]).join(others.select(*KEYS, "known", F.col("norm").alias("other")), [*KEYS, "other"]).select(*KEYS, "name", "known", F.lit(5).alias("level"), "like")
+    every = first(1, "norm").unionByName(first(2, "key")).unionByName(third).unionByName(fourth).unionByName(fifth)
+    # per level: how many, the first by name, and the two likest
+    tops = every.groupBy(*KEYS, "name", "level").agg(F.count("*").alias("n"), F.min("known").alias("least"), F.max(F.struct("like", "known")).alias("best"), F.slice(F.sort_array(F.collect_list("like"), asc=False), 1, 2).alias("likes"))
+    ahead = (F.size("likes") == 1) | (F.get("likes", F.lit(0)) - F.get("likes", F.lit(1)) >= MARGIN)
+    fits = F.when(F.col("level") <= 2, True).when(F.col("level") <= 4, F.col("n") == 1).otherwise((F.col("best.like") >= LIKE) & ahead)
+    chosen = tops.filter(fits).groupBy(*KEYS, "name").agg(F.min(F.struct("level", F.when(F.col("level") == 5, F.col("best.known")).otherwise(F.col("least")).alias("known"))).alias("x"))
+    return rows.join(chosen, [*KEYS, "name"], "left").select(*KEYS, "name", F.coalesce("x.known", "name").alias("canonical"), "x.level")
+
+
 def canonical_names(now: DataFrame, past: DataFrame) -> DataFrame:
-    """A name as the month before wrote it: the same, the same but for accents and case, or the only one that begins with
-    it or that it begins with; else as it is."""
-    known = past.select("condo_id", F.add_months("month", 1).alias("month"), F.col("name").alias("known"))
-    rows = now.join(known, KEYS, "left")
-    key = lambda c: F.regexp_replace(F.upper(F.col(c)), "[^A-Z0-9]", "")
-    begins = (F.least(F.length(key("name")), F.length(key("known"))) >= 6) & (F.startswith(key("name"), key("known")) | F.startswith(key("known"), key("name")))
-    level = F.when(F.col("name") == F.col("known"), 1).when(key("name") == key("known"), 2).when(begins, 3)
-    best = rows.withColumn("level", level).groupBy(*KEYS, "name").agg(F.min("level").alias("least"), F.collect_set(F.when(F.col("level").isNotNull(), F.struct("level", "known"))).alias("found"))
-    at = F.filter("found", lambda x: x["level"] == F.col("least"))
-    return best.select(*KEYS, "name", F.when(F.size(at) == 1, F.get(at, F.lit(0))["known"]).otherwise(F.col("name")).alias("canonical"), F.when(F.size(at) == 1, F.col("least")).alias("level"))
+    """A name as the month before wrote it."""
+    return resolved_names(now, past.select("condo_id", F.add_months("month", 1).alias("month"), F.col("name").alias("known")))
 
 
 def paired_by_value(credits: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -259,12 +289,29 @@ def paired_by_value(credits: DataFrame, receipts: DataFrame) -> DataFrame:
     return joined.select(*by, "ord", "receipt", F.when(F.col("receipt").isNull(), "position_only").otherwise("paired").alias("state"))
 
 
-def inferred_transfers(residuals: DataFrame) -> DataFrame:
-    """What an account's entries leave unexplained equals the unexplained credit of exactly one other account."""
-    out = residuals.filter("debit_rest > 0.011").select(*KEYS, F.col("account").alias("from_account"), F.col("debit_rest").alias("amount"))
-    into = residuals.filter("credit_rest > 0.011").select(*KEYS, F.col("account").alias("to_account"), F.col("credit_rest").alias("amount"))
-    pairs = out.join(into, [*KEYS, "amount"]).filter("from_account <> to_account")
-    return pairs.groupBy(*KEYS, "from_account", "amount").agg(F.count("*").alias("n"), F.min("to_account").alias("to_account")).filter("n = 1").drop("n")
+def inferred_transfers(residuals: DataFrame, tolerance: int = 1) -> DataFrame:
+    """What a sender's entries leave unexplained equals, to the cent, the unexplained credit of exactly one other account, else the
+    sum of exactly one pair: (from_account, to_account, amount, kind, description, net_debits), a row for each receiver.
+
+    The rows are income lines of the receivers; ``net_debits`` are the sender's debits without the transfer. A credit that
+    several senders would take goes to the first of them by name, and the others stay unexplained.
+    """
+    out = residuals.filter("debit_rest > 0.011").select(*KEYS, F.col("account").alias("from_account"), "debits", F.col("debit_rest").alias("sent"), cents(F.col("debit_rest")).alias("rest"))
+    into = likeness.written(residuals.filter("credit_rest > 0.011").select(*KEYS, "account", F.col("credit_rest").alias("amount"), cents(F.col("credit_rest")).alias("cents")), "credits")
+    sought = out.withColumn("sought", F.explode(F.sequence(F.col("rest") - tolerance, F.col("rest") + tolerance)))
+    line = F.struct("account", "amount")
+    singles = sought.join(into.withColumnRenamed("cents", "sought"), [*KEYS, "sought"]).filter("account <> from_account").withColumn("to", F.array(line))
+    one, two = into.select(*KEYS, line.alias("one"), F.col("cents").alias("c1")), into.select(*KEYS, line.alias("two"), F.col("cents").alias("c2"))
+    # a building's month has a few accounts; the pairs meet the senders by their sum
+    pairs = one.join(two, KEYS).filter("one.account < two.account").withColumn("sought", F.col("c1") + F.col("c2"))
+    doubles = sought.join(pairs, [*KEYS, "sought"]).filter("one.account <> from_account and two.account <> from_account").withColumn("to", F.array("one", "two"))
+    each = [x.select(*KEYS, "from_account", "debits", "sent", F.lit(kind).alias("kind"), "to") for kind, x in (("single", singles), ("pair", doubles))]
+    sure = each[0].unionByName(each[1]).groupBy(*KEYS, "from_account", "debits", "sent", "kind").agg(F.count("*").alias("n"), F.first("to").alias("to")).filter("n = 1")
+    best = sure.groupBy(*KEYS, "from_account", "debits", "sent").agg(F.max_by(F.struct("kind", "to"), "kind").alias("x")).select(*KEYS, "from_account", "debits", "sent", "x.kind", "x.to")
+    legs = best.select(*KEYS, "from_account", "debits", "sent", "kind", F.size("to").alias("legs"), F.inline("to"))
+    held = legs.withColumn("turn", F.min("from_account").over(W.partitionBy(*KEYS, "account"))).filter("turn = from_account")
+    whole = held.withColumn("left", F.count("*").over(W.partitionBy(*KEYS, "from_account"))).filter("left = legs")
+    return whole.select(*KEYS, "from_account", F.col("account").alias("to_account"), "amount", "kind", F.concat(F.lit("transferência recebida de "), "from_account").alias("description"), (F.col("debits") - F.col("sent")).alias("net_debits"))
 
 
 def reclassified_vendors(entries: DataFrame) -> DataFrame:

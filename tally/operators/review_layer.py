@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tally.functions.text import format_brl
+from tally.functions.text import account_key, format_brl
+from tally.operators.matching import subset_sums
 from tally.operators.rules import KEYS
 
 ID = [*KEYS, "type", "subject"]
@@ -115,13 +116,43 @@ def untraced_facts(findings: DataFrame, expense: DataFrame, account_month: DataF
     return findings.withColumn("value", F.abs("amount").cast("decimal(18,2)")).join(numbers.withColumn("value", F.col("value").cast("decimal(18,2)")), [*KEYS, "value"], "left_anti").select(*ID, "amount")
 
 
+#: Letters and digits of a description that a fact is traced by, at least and at most, and the length of a text's segments.
+LEAST_PREFIX, PREFIX, SEGMENT = 8, 25, 512
+
+
+def text_segments(lines: DataFrame) -> DataFrame:
+    """(condo_id, month, segment): the letters and digits of a month's lines (ord, line) in one row, cut into overlapping segments, so
+    that a description that goes over the end of a line is found."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", account_key(F.col("line")).alias("key"))))
+    whole = lines.groupBy(*KEYS).agg(F.array_join(F.transform(ordered, lambda x: x["key"]), "").alias("text"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(SEGMENT))
+    return whole.select(*KEYS, F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(SEGMENT + PREFIX - 1)))).alias("segment"))
+
+
+def untraced_descriptions(cited: DataFrame, lines: DataFrame) -> DataFrame:
+    """Q3: the items (code, description) of findings whose description's beginning (its first 25 characters, eight letters or digits at
+    least) stands nowhere in the month's text.
+
+    A beginning is looked for only where its first eight characters stand.
+    """
+    wanted = cited.withColumn("prefix", account_key(F.substring("description", 1, PREFIX))).filter(F.length("prefix") >= LEAST_PREFIX)
+    asked = wanted.select(*KEYS, "prefix", F.substring("prefix", 1, LEAST_PREFIX).alias("gram")).distinct()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("segment") - LEAST_PREFIX + 1), lambda i: F.substring(F.col("segment"), i, F.lit(LEAST_PREFIX))))
+    there = text_segments(lines).filter(F.length("segment") >= LEAST_PREFIX).select(*KEYS, "segment", F.explode(grams).alias("gram"))
+    traced = asked.join(there, [*KEYS, "gram"]).filter(F.contains("segment", "prefix")).select(*KEYS, "prefix").distinct()
+    return wanted.join(traced, [*KEYS, "prefix"], "left_anti").select(*KEYS, "code", "description")
+
+
 def report_closure(account_month: DataFrame, expense: DataFrame, tolerance: float = 0.011) -> DataFrame:
-    """Q5: reports whose accounts don't close or whose categories don't sum to the debits."""
+    """Q5: reports whose accounts don't close, or whose categories sum neither to the debits nor to those of some of the accounts (A17,
+    six at most, within two cents)."""
     gap = F.col("opening") + F.col("credits") - F.col("debits") - F.col("closing")
     accounts = account_month.groupBy(*KEYS).agg(F.count_if(F.abs(gap) > tolerance).alias("open_accounts"), F.sum("debits").alias("debits"))
     categories = expense.groupBy(*KEYS).agg(F.sum("amount").alias("categories"))
-    rows = accounts.join(categories, KEYS, "left").withColumn("categories_close", F.coalesce(F.abs(F.col("categories") - F.col("debits")) <= 0.02, F.lit(False)))
-    return rows.filter("open_accounts > 0 or not categories_close").select(*KEYS, "open_accounts", "categories_close")
+    debits = account_month.filter(F.abs("debits") > 0.005).select(*KEYS, F.col("account").alias("ord"), F.col("account").alias("code"), F.col("debits").alias("amount"))
+    some = subset_sums(debits, categories.select(*KEYS, F.col("categories").alias("target")), 6, 2, tuple(KEYS)).select(*KEYS, F.col("used").alias("accounts_in_total"))
+    rows = accounts.join(categories, KEYS, "left").join(some, KEYS, "left").withColumn("categories_close", F.coalesce(F.abs(F.col("categories") - F.col("debits")) <= 0.02, F.lit(False)))
+    return rows.filter("open_accounts > 0 or not categories_close").select(*KEYS, "open_accounts", "categories_close", "accounts_in_total")
 
 
 def missing_reports(statements: DataFrame, reports: DataFrame) -> DataFrame:

@@ -90,15 +90,6 @@ def receipts(spark, sf_dir):
     return credits(spark, sf_dir).filter("ord % 4 <> 0")
 
 
-def residuals(spark, sf_dir):
-    """What entries and income lines leave unexplained: made equal between two accounts in some months, between three in others."""
-    no = F.col("condo_id") + month_no(F.col("month"))
-    rows = ledger.account_month(spark, sf_dir)
-    out = F.when((F.col("account") == "ORDINARIA") & (no % 2 == 0), 100 + no % 50).otherwise(0)
-    into = F.when((F.col("account") == "FUNDO DE RESERVA") & (no % 3 != 0), 100 + no % 50).when((F.col("account") == "FUNDO DE OBRAS") & (no % 5 == 0), 100 + no % 50).otherwise(0)
-    return rows.select(*KEYS, "account", out.cast("decimal(18,2)").alias("debit_rest"), into.cast("decimal(18,2)").alias("credit_rest"))
-
-
 def queries(on, plain) -> dict:
     w, t, d, at, a = withholdings, named.tax_payments, named.day_payments, attachments, ledger.account_month
     return {
@@ -115,7 +106,6 @@ def queries(on, plain) -> dict:
         "j17_signs_reconciled": on(op.signs_reconciled, reported, extracted),
         "j19_reclassified_vendors": on(op.reclassified_vendors, entries),
         "j23_paired_by_value": on(op.paired_by_value, credits, receipts),
-        "j24_inferred_transfers": on(op.inferred_transfers, residuals),
         "f24_document_facts": on(op.document_facts, at),
         "a2_sum_vs_declared": on(op.sum_vs_declared, ledger.expense, declared),
         "a4_category_vs_balance": on(op.category_vs_balance, category_evidence, balance_categories),

@@ -56,11 +56,9 @@ SQL = {
     "j8_listing_vs_attachment": _with([*DOCS, ONCE, "r AS (SELECT * FROM one LEFT JOIN papers USING (condo_id, month, code) WHERE EXISTS (SELECT 1 FROM papers m WHERE m.condo_id = one.condo_id AND m.month = one.month))"], f"SELECT *, CAST(CASE type WHEN 'slip_larger_than_withholding' THEN 0.5 WHEN 'divergent_amount' THEN 0.9 ELSE 1.0 END AS DOUBLE) AS confidence FROM (SELECT condo_id, {M}, code, {_d('amount', 'read_amount')}, {KINDS_J8} AS type FROM r)"),
     "j10_invoice_missing": _with([*DOCS, f"li AS (SELECT condo_id, month, code, {NF} AS number, min(amount) AS amount FROM keyed WHERE {NF} <> '' AND NOT {kind('description', 'withholding')} GROUP BY ALL)", f"bare AS (SELECT * FROM li JOIN (SELECT condo_id, month, code FROM pages GROUP BY ALL HAVING NOT bool_or({INV})) USING (condo_id, month, code))", f"nums AS (SELECT condo_id, month, code AS holder, unnest(regexp_extract_all(page_text, '[0-9]{{2,}}')) AS number FROM pages WHERE {INV} AND NOT {PAY})"], f"SELECT condo_id, {M}, code, number, {_d('amount')} FROM bare b WHERE NOT EXISTS (SELECT 1 FROM nums n WHERE n.condo_id = b.condo_id AND n.month = b.month AND n.number = b.number AND n.holder <> b.code)"),
     "j14_pages_shared": _with([*DOCS, "once AS (SELECT condo_id, month, code, min({'ord': ord, 'amount': amount, 'held': " + kind("description", "withholding") + "}) AS x FROM keyed GROUP BY ALL)", f"r AS (SELECT condo_id, month, code, x.amount AS amount, CASE WHEN x.held AND is_slip THEN 'withholding_slip' WHEN {_shown('raw_text', 'x.amount')} THEN 'amount_visible' END AS how FROM once JOIN papers USING (condo_id, month, code))"], f"SELECT condo_id, {M}, code, {_d('amount')}, how FROM r WHERE how IS NOT NULL"),
-    "j16_canonical_names": _with([*A, RENAMED, "r AS (SELECT n.condo_id, n.month, n.account AS name, p.account AS known, CASE WHEN n.account = p.account THEN 1 WHEN starts_with(replace(n.account, ' ', ''), replace(p.account, ' ', '')) OR starts_with(replace(p.account, ' ', ''), replace(n.account, ' ', '')) THEN 3 END AS level FROM renamed n LEFT JOIN renamed p ON p.condo_id = n.condo_id AND p.month + INTERVAL 1 MONTH = n.month)", "b AS (SELECT condo_id, month, name, min(level) AS level FROM r GROUP BY ALL)", "f AS (SELECT b.condo_id, b.month, b.name, b.level, count(DISTINCT known) AS n, min(known) AS known FROM b LEFT JOIN r ON r.condo_id = b.condo_id AND r.month = b.month AND r.name = b.name AND r.level = b.level GROUP BY ALL)"], f"SELECT condo_id, {M}, name, CASE WHEN n = 1 THEN known ELSE name END AS canonical, CASE WHEN n = 1 THEN CAST(level AS BIGINT) END AS level FROM f"),
     "j17_signs_reconciled": _with([*A, f"r AS (SELECT *, CASE WHEN {NO} % 6 = 0 THEN abs(closing) WHEN {NO} % 7 = 0 THEN closing + 1 ELSE closing END AS reported FROM (SELECT *, year(month) * 12 + month(month) AS no FROM (SELECT * EXCLUDE (no) FROM (SELECT *, 0 AS no FROM account))))", "s AS (SELECT *, CASE WHEN abs(reported - closing) <= 0.02 THEN 'equal' WHEN abs(abs(reported) - abs(closing)) <= 0.02 THEN 'sign' ELSE 'different' END AS state FROM r)"], f"SELECT condo_id, {M}, account, CAST(CASE WHEN state = 'sign' THEN closing ELSE reported END AS DOUBLE) AS amount, state FROM s"),
     "j19_reclassified_vendors": _with([*K, "now AS (SELECT condo_id, month, key, category, sum(amount) AS total FROM keyed WHERE key <> '' GROUP BY ALL)", "past AS (SELECT condo_id, CAST(month + INTERVAL 1 MONTH AS DATE) AS month, key, category FROM now)"], f"SELECT condo_id, {M}, key, category, {_d('total')}, past_category FROM (SELECT n.condo_id, n.month, n.key, n.category, n.total, max_by(p.category, row(length(p.category), p.category)) AS past_category FROM now n JOIN past p ON p.condo_id = n.condo_id AND p.month = n.month AND p.key = n.key WHERE NOT EXISTS (SELECT 1 FROM past h WHERE h.condo_id = n.condo_id AND h.month = n.month AND h.category = n.category) GROUP BY ALL)"),
     "j23_paired_by_value": _with([_INCOME, "c AS (SELECT *, row_number() OVER (PARTITION BY condo_id, month, account, amount ORDER BY ord) AS i FROM income)", "r AS (SELECT *, row_number() OVER (PARTITION BY condo_id, month, account, amount ORDER BY ord) AS i FROM income WHERE ord % 4 <> 0)"], f"SELECT c.condo_id, strftime(c.month, '%Y-%m') AS month, c.account, CAST(c.amount AS DOUBLE) AS amount, c.ord, r.ord AS receipt, CASE WHEN r.ord IS NULL THEN 'position_only' ELSE 'paired' END AS state FROM c LEFT JOIN r USING (condo_id, month, account, amount, i)"),
-    "j24_inferred_transfers": _with([*A, "z AS (SELECT condo_id, month, account, condo_id + year(month) * 12 + month(month) AS k FROM account)", "r AS (SELECT condo_id, month, account, CASE WHEN account = 'ORDINARIA' AND k % 2 = 0 THEN 100 + k % 50 ELSE 0 END AS o, CASE WHEN account = 'FUNDO DE RESERVA' AND k % 3 <> 0 THEN 100 + k % 50 WHEN account = 'FUNDO DE OBRAS' AND k % 5 = 0 THEN 100 + k % 50 ELSE 0 END AS i FROM z)"], f"SELECT condo_id, {M}, from_account, to_account, amount FROM (SELECT a.condo_id, a.month, a.account AS from_account, CAST(a.o AS DOUBLE) AS amount, min(b.account) AS to_account FROM r a JOIN r b ON b.condo_id = a.condo_id AND b.month = a.month AND b.i = a.o AND b.account <> a.account WHERE a.o > 0 GROUP BY ALL HAVING count(*) = 1)"),
     "f24_document_facts": _with(DOCS, f"SELECT condo_id, {M}, code, 'pag1_cod' || code AS record, coalesce({_shown('page_text', 'read_amount')}, false) AS shows_amount, {INV} AS invoice, {PAY} AS payment, {SLIP} AS slip, CASE WHEN page_text LIKE 'DARF%' THEN '12345' || condo_id || '678' END AS slip_id, TRY_CAST(replace(replace(nullif(coalesce(nullif(regexp_extract(page_text, '(?i)valor\\s+total:?\\s*R?\\$?\\s*([0-9.]+,[0-9]{{2}})', 1), ''), regexp_extract(page_text, '(?i)\\bvalor:?\\s*R\\$\\s*([0-9.]+,[0-9]{{2}})', 1)), ''), '.', ''), ',', '.') AS DOUBLE) AS total FROM pages"),
     "a2_sum_vs_declared": _with([*A, "de AS (SELECT condo_id, month, account, debits + CASE WHEN (condo_id + year(month) * 12 + month(month)) % 8 = 0 THEN 0.05 ELSE 0 END AS declared FROM account)", "s AS (SELECT condo_id, month, account, sum(amount) AS entries FROM expense GROUP BY ALL)", "r AS (SELECT condo_id, month, account, coalesce(entries, 0) AS entries, declared FROM de LEFT JOIN s USING (condo_id, month, account))"], f"SELECT condo_id, {M}, account, {_d('entries', 'declared')}, CAST(entries - declared AS DOUBLE) AS gap FROM r WHERE abs(entries - declared) > 0.02"),
     "a4_category_vs_balance": _with([*E, "b AS (SELECT condo_id, month, category, sum(amount) AS declared, coalesce(sum(amount) FILTER (ord % 111 <> 0), 0) AS evidence FROM expense GROUP BY ALL)"], f"SELECT condo_id, {M}, category, {_d('declared', 'evidence')}, CAST(evidence - declared AS DOUBLE) AS gap FROM b WHERE abs(evidence - declared) > 0.02"),

@@ -31,7 +31,7 @@ SQL = {
     "k5_fronted": _with(F, f"{MI}, rule, {_d('amount')}, row_number() OVER (PARTITION BY condo_id, f.month ORDER BY CASE WHEN type = 'duplicate' THEN 0 ELSE 1 END, rule, subject, f.amount) AS place FROM f"),
     "q1_source_vs_published": _with([*B, f"p AS (SELECT condo_id, month, opening AS b_opening, credits AS b_credits, debits AS b_debits, closing + CASE WHEN ({KK}) % 5 = 0 THEN 2 ELSE 0 END AS b_closing, CASE WHEN ({KK}) % 6 = 0 THEN 0 WHEN ({KK}) % 4 = 0 THEN yield_amt + 5 ELSE yield_amt END AS b_yield FROM balance WHERE ({KK}) % 14 <> 0)", "r AS (SELECT b.condo_id, unnest([b.opening, b.credits, b.debits, b.closing, b.yield_amt]) AS x, unnest([b_opening, b_credits, b_debits, b_closing, b_yield]) AS y, unnest([true, true, true, true, false]) AS critical FROM balance b LEFT JOIN p USING (condo_id, month))", "s AS (SELECT condo_id, CASE WHEN y IS NULL THEN 'missing' WHEN NOT critical AND y = 0 THEN 'skip' WHEN abs(x - y) <= 1 THEN 'ok' WHEN critical THEN 'diff' ELSE 'warn' END AS state FROM r)"], "SELECT condo_id, " + ", ".join(f"count(*) FILTER (state = '{x}') AS {x}" for x in ("ok", "warn", "diff", "skip", "missing")) + " FROM s GROUP BY ROLLUP (condo_id)"),
     "q3_untraced_facts": _with([*F, "v AS (SELECT condo_id, month, CAST(abs(amount) AS DECIMAL(18,2)) AS value FROM expense UNION SELECT condo_id, month, CAST(abs(unnest([opening, closing, credits, debits])) AS DECIMAL(18,2)) FROM account)"], f"{MI}, {_d('amount')} FROM f WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.condo_id = f.condo_id AND v.month = f.month AND v.value = abs(f.amount))"),
-    "q5_report_closure": _with([*A, "a AS (SELECT condo_id, month, count(*) FILTER (abs(opening + credits - debits - closing) > 0.011) AS open_accounts, sum(debits) AS debits FROM account GROUP BY ALL)", "c AS (SELECT condo_id, month, sum(amount) AS categories FROM expense GROUP BY ALL)", "r AS (SELECT condo_id, month, open_accounts, coalesce(abs(categories - debits) <= 0.02, false) AS categories_close FROM a LEFT JOIN c USING (condo_id, month))"], f"SELECT condo_id, {M}, open_accounts, categories_close FROM r WHERE open_accounts > 0 OR NOT categories_close"),
+    "q5_report_closure": _with([*A, "a AS (SELECT condo_id, month, count(*) FILTER (abs(opening + credits - debits - closing) > 0.011) AS open_accounts, sum(debits) AS debits, list(CAST(debits * 100 AS BIGINT)) FILTER (abs(debits) > 0.005) AS ds FROM account GROUP BY ALL)", "c AS (SELECT condo_id, month, sum(amount) AS categories FROM expense GROUP BY ALL)", "r AS (SELECT condo_id, month, open_accounts, ds, categories, coalesce(abs(categories - debits) <= 0.02, false) AS categories_close FROM a LEFT JOIN c USING (condo_id, month))"], f"SELECT condo_id, {M}, open_accounts, categories_close, (SELECT CAST(min(bit_count(mask)) AS BIGINT) FROM range(1, 8) AS q(mask) WHERE mask < (1 << len(ds)) AND abs(coalesce(CASE WHEN mask & 1 = 1 THEN ds[1] END, 0) + coalesce(CASE WHEN mask & 2 = 2 THEN ds[2] END, 0) + coalesce(CASE WHEN mask & 4 = 4 THEN ds[3] END, 0) - CAST(categories * 100 AS BIGINT)) <= 2) AS accounts_in_total FROM r WHERE open_accounts > 0 OR NOT categories_close"),
     "q7_missing_reports": "SELECT condo_id, strftime(m, '%Y-%m') AS month FROM (SELECT CAST(user_id % 20 AS BIGINT) AS condo_id, date_trunc('month', ts) AS m, bool_or(event_type = 'purchase' AND user_id % 20 % 3 <> 0) AS done FROM events GROUP BY ALL) WHERE NOT done",
     "d12_month_exists": _with(B, f"SELECT w.condo_id, strftime(w.month, '%Y-%m') AS month, b.condo_id IS NOT NULL AS present, CAST(b.closing AS DOUBLE) AS closing FROM (SELECT DISTINCT condo_id, CAST(month + INTERVAL 2 MONTH AS DATE) AS month FROM expense) w LEFT JOIN balance b USING (condo_id, month)"),
     "s4_month_files": _with([_EXPENSE, f"s AS (SELECT DISTINCT condo_id, month, {KK} AS k FROM expense)"], "SELECT condo_id, strftime(month + INTERVAL 20 YEAR, '%Y-%m') AS month, '/c' || condo_id || '/' || CASE k % 4 WHEN 0 THEN 'Prestacao ' || strftime(month, '%m') || '.' || (year(month) + 20) WHEN 1 THEN 'balancete ' || (year(month) + 20) || '_' || strftime(month, '%m') WHEN 2 THEN ['JANEIRO', 'FEVEREIRO', 'MARCO', 'ABRIL', 'MAIO', 'JUNHO', 'JULHO', 'AGOSTO', 'SETEMBRO', 'OUTUBRO', 'NOVEMBRO', 'DEZEMBRO'][month(month)] || ' ' || (year(month) + 20) ELSE 'conta ' || strftime(month, '%m') || (year(month) + 20) END || '.pdf' AS path, 'pdf' AS format FROM s WHERE k % 5 <> 0"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,32 +34,43 @@ def status_stream(spark: SparkSession, folder: str, schema, out: str, checkpoint
     return changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_versioned(rows: DataFrame, folder: str, stamp: int | None = None) -> None:
-    """The rows of each building and month as a new version, one above the highest there; earlier versions stay.
+COMMITS = "_commits"
 
-    With ``stamp`` that number is the version, so that a repeated write of the same batch replaces itself.
+
+def commits(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(condo_id, month, version, run) of every committed run, None before the first."""
+    try:
+        return spark.read.parquet(f"{folder}/{COMMITS}")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+            raise
+        return None
+
+
+def write_versioned(rows: DataFrame, folder: str, covered: DataFrame | None = None, run: str | None = None) -> None:
+    """``rows`` as a new version of each building and month of ``covered`` (default: those that have rows), one above the highest
+    committed there; earlier versions stay.
+
+    The rows go to a folder of their own and count once the run's commit is written, a single file with a row for each covered
+    key, so that a key without rows has an empty newest version. A ``run`` that is committed already isn't written again; one
+    that broke off before its commit is written anew. Of two runs that take the same number at once the one of the greater
+    name counts, whole.
     """
-    spark = rows.sparkSession
-    if stamp is not None:
-        numbered = rows.withColumn("version", F.lit(stamp))
-    else:
-        try:
-            there = spark.read.parquet(folder).groupBy(*KEYS).agg(F.max("version").alias("last"))
-            numbered = rows.join(there, KEYS, "left").withColumn("version", F.coalesce("last", F.lit(0)) + 1).drop("last")
-        except Exception as missing:  # the first version: no folder yet
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            numbered = rows.withColumn("version", F.lit(1))
-    keyed = numbered.withColumn("m", F.date_format("month", "yyyy-MM"))
-    mode = "append" if stamp is None else "overwrite"
-    keyed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("version", "m").parquet(folder)
+    spark, run = rows.sparkSession, run or uuid.uuid4().hex
+    before = commits(spark, folder)
+    if before is not None and not before.filter(F.col("run") == run).isEmpty():
+        return
+    rows.write.mode("overwrite").parquet(f"{folder}/run={run}")
+    keys = (rows if covered is None else covered).select(*KEYS).distinct()
+    last = keys.withColumn("last", F.lit(0)) if before is None else keys.join(before.groupBy(*KEYS).agg(F.max("version").alias("last")), KEYS, "left")
+    numbered = last.select(*KEYS, (F.coalesce("last", F.lit(0)) + 1).alias("version"), F.lit(run).alias("run"))
+    numbered.coalesce(1).write.mode("append").parquet(f"{folder}/{COMMITS}")
 
 
 def read_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of the highest version of each building and month."""
-    rows = spark.read.parquet(folder).drop("m")
-    newest = rows.groupBy(*KEYS).agg(F.max("version").alias("version"))
-    return rows.join(newest, [*KEYS, "version"], "left_semi")
+    """The rows of each building and month's newest version, with its number; a key whose newest version is empty has none."""
+    newest = commits(spark, folder).groupBy(*KEYS).agg(F.max(F.struct("version", "run")).alias("newest")).select(*KEYS, "newest.*")
+    return spark.read.parquet(folder).join(newest, [*KEYS, "run"]).drop("run")
 
 
 def affected(changed: DataFrame, months: int = 6) -> DataFrame:
@@ -67,13 +80,18 @@ def affected(changed: DataFrame, months: int = 6) -> DataFrame:
 
 def revalidation_stream(spark: SparkSession, folder: str, schema, ledger: Callable[[SparkSession], DataFrame], rule: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """For statement rows that arrive in ``folder``, ``rule`` over the buildings they name, written as a new version for the months
-    that they touch and that the ledger has."""
+    that they touch and that the ledger has, and for the changed months themselves; months without findings get an empty one.
+
+    A run is a batch of this query: a repeated batch is written once, and a query with a new checkpoint adds versions.
+    """
 
     def run(changed: DataFrame, batch: int) -> None:
-        rows = ledger(spark)
-        keys = affected(changed).join(rows.select(*KEYS).distinct(), KEYS, "left_semi")
+        own = changed.sparkSession
+        rows, name = ledger(own), own.sparkContext.getLocalProperty("sql.streaming.queryId")
+        named = rows.select(*KEYS).unionByName(changed.select(*KEYS)).distinct()
+        keys = affected(changed).join(named, KEYS, "left_semi")
         found = rule(rows.join(keys.select("condo_id").distinct(), "condo_id", "left_semi"))
-        write_versioned(found.join(keys, KEYS, "left_semi"), out, batch + 1)
+        write_versioned(found.join(keys, KEYS, "left_semi"), out, keys, f"{name}-{batch}")
 
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -82,3 +100,16 @@ def write_findings(findings: DataFrame, folder: str) -> None:
     """Findings as JSON by month, and their counts by type as CSV."""
     findings.withColumn("m", F.date_format("month", "yyyy-MM")).write.mode("overwrite").partitionBy("m").json(f"{folder}/findings")
     findings.groupBy("type").agg(F.count("*").alias("n")).write.mode("overwrite").option("header", True).csv(f"{folder}/summary")
+
+
+def write_reviews(reviews: DataFrame, folder: str) -> None:
+    """Reviewed findings as JSON by month, with null fields left out."""
+    reviews.withColumn("m", F.date_format("month", "yyyy-MM")).write.mode("overwrite").partitionBy("m").json(f"{folder}/reviews")
+
+
+def write_audit(faults: DataFrame, folder: str) -> None:
+    """An audit's faults (condo_id, month, severity, check, message) as text, a line for each, and as JSON lines."""
+    line = F.format_string("%s %s [%s] %s: %s", F.col("condo_id").cast("string"), F.date_format("month", "yyyy-MM"), F.upper("severity"), F.col("check"), F.coalesce("message", F.lit("")))
+    lines = faults.sort("condo_id", "month", "check")
+    lines.select(F.regexp_replace(line, r"\s+", " ").alias("value")).write.mode("overwrite").text(f"{folder}/audit")
+    lines.write.mode("overwrite").json(f"{folder}/audit_rows")
