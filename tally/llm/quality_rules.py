@@ -3,13 +3,16 @@
 One narrow pass measures each text. KLL sketches of the measures, built map-side and merged per (language, source), then
 per language and over all documents, give the thresholds; a join brings them back to the measures, and the rules compare.
 
-A group's quartiles are pulled toward those of its language, and these toward all documents', the more so the smaller it is.
-How far a document may lie from the group's median is the reach of the outer fence, by the middle one of the three levels
-(so that junk in a quarter of a group doesn't carry the limit off), or what the group's other half reaches if that is more.
+A group's quantiles are pulled toward those of its language, and these toward all documents', the more so the smaller it is.
+A count (symbols, repeated lines, repeated passages) is taken on a logarithmic scale, for a text of typical length or for the
+text itself if that is shorter. Its limit lies in the middle of the widest gap of the group's upper quantiles, if that gap is
+GAP-fold or more: what most documents have stays on one side, whatever that is in the group, and junk on the other. A group
+without such a gap has no limit. The mean length of a word, which no group has at zero, has the outer fence by quartiles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,13 @@ SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 WINDOW = 8
 
-#: Measure -> (its count, the measure's value for one a word, how many of the count come at once). A document fails beyond
-#: its group's limit by more than SPREAD deviations of a count of that size, or of one where the limit is none.
-COUNTS = {"symbol_ratio": ("n_symbols", 1, 1), "dup_lines_per_100": ("n_dup_lines", 100, 1), "repeat_ratio": ("n_repeat_words", 1, 2 * WINDOW), "mean_word": ("word_chars", 1, 1)}
-UPPER = ("symbol_ratio", "dup_lines_per_100", "repeat_ratio", "mean_word")
-LOWER = ("mean_word",)
+#: Measure -> (its count, how many of the count come at once).
+COUNTS = {"symbols": ("n_symbols", 1), "dup_lines": ("n_dup_lines", 1), "repeats": ("n_repeat_words", 2 * WINDOW)}
+#: Ranks of the upper quantiles between which a gap is looked for; junk is never the larger half of a group.
+RANKS = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99, 0.995, 1.0)
+#: How many times as much the far side of a gap has, counted from one.
+GAP = 8.0
+#: The fence of a word's mean length, in interquartile ranges, and in deviations of a count of its letters.
 SPREAD = 3.0
 #: A group of so many documents weighs as much as the level above it.
 PULL = 10.0
@@ -80,39 +85,57 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     return picked.mapInArrow(run, "doc_id long, " + "".join(f"{n} string, " for n in names) + "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
 
 
+def scaled(m: str, typical: float) -> F.Column:
+    """The count of measure ``m`` in events, for ``typical`` words or for the text's own if these are fewer, as log(1 + x)."""
+    count, unit = COUNTS[m]
+    return F.log1p(F.col(count) / unit * F.least(F.lit(1.0), typical / F.greatest(F.col("n_words"), F.lit(1))))
+
+
+def widest_gap(quantiles: F.Column) -> F.Column:
+    """The middle of the widest step between neighbouring quantiles (on the logarithmic scale), null if it isn't GAP-fold."""
+    steps = F.transform(F.sequence(F.lit(1), F.size(quantiles) - 1), lambda i: F.struct((F.get(quantiles, i) - F.get(quantiles, i - 1)).alias("step"), ((F.get(quantiles, i) + F.get(quantiles, i - 1)) / 2).alias("middle")))
+    widest = F.array_max(steps)
+    return F.when(widest["step"] >= math.log(GAP), widest["middle"])
+
+
 def thresholds(measured: DataFrame, names: list[str], k: int = 200) -> DataFrame:
     """Per group, the limits from KLL sketches of the documents that pass the base rules."""
-    groups = materialize(measured.filter(~F.col("base_failed")).groupBy(*names).agg(*(F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in COUNTS)), "sketches")
+    kinds = {m: RANKS for m in COUNTS} | {"mean_word": (0.25, 0.5, 0.75)}
+    groups = materialize(measured.filter(~F.col("base_failed")).groupBy(*names).agg(*(F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in kinds)), "sketches")
 
     def level(merged: DataFrame, keys: list[str], stem: str) -> DataFrame:
-        quartiles = [F.array(*(F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)) for q in (0.25, 0.5, 0.75))).alias(f"{stem}_{m}") for m in COUNTS]
-        return merged.select(*keys, F.kll_sketch_get_n_double(F.col("mean_word")).cast("double").alias(f"{stem}_n"), *quartiles)
+        quantiles = [F.array(*(F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)) for q in ranks)).alias(f"{stem}_{m}") for m, ranks in kinds.items()]
+        held = merged.filter(F.kll_sketch_get_n_double(F.col("mean_word")) > 0)  # the merge of no sketches has no quantiles
+        return held.select(*keys, F.kll_sketch_get_n_double(F.col("mean_word")).cast("double").alias(f"{stem}_n"), *quantiles)
 
-    merged = [F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in COUNTS]
+    merged = [F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in kinds]
     parents = level(groups.groupBy(names[0]).agg(*merged), names[:1], "parent")
     whole = level(groups.agg(*merged), [], "whole")
     levels = level(groups, names, "own").join(parents, names[0]).crossJoin(F.broadcast(whole))  # a single row
     pull = lambda own, n, above: F.zip_with(own, above, lambda x, y: (F.col(n) * x + PULL * y) / (F.col(n) + PULL))
-    for m in COUNTS:
+    for m in kinds:
         levels = levels.withColumn(f"parent_{m}", pull(F.col(f"parent_{m}"), "parent_n", F.col(f"whole_{m}")))
         levels = levels.withColumn(f"own_{m}", pull(F.col(f"own_{m}"), "own_n", F.col(f"parent_{m}")))
 
-    def limit(m: str, sign: int) -> F.Column:
-        """The upper limit for ``sign`` 1, the lower one for -1."""
-        at = lambda stem, i: F.col(f"{stem}_{m}")[1 + sign * i]
-        fence = lambda stem: sign * (at(stem, 1) - at(stem, 0)) + SPREAD * sign * (at(stem, 1) - at(stem, -1))
-        middle = F.array_sort(F.array(*map(fence, ("own", "parent", "whole"))))[1]
+    def fence(sign: int) -> F.Column:
+        """The limit of the mean length of a word: the upper one for ``sign`` 1, the lower one for -1.
+
+        It is the outer fence by the middle one of the three levels, so that junk in a quarter of a group doesn't carry the
+        limit off, or what the group's other half reaches if that is more.
+        """
+        at = lambda stem, i: F.col(f"{stem}_mean_word")[1 + sign * i]
+        reach = lambda stem: sign * (at(stem, 1) - at(stem, 0)) + SPREAD * sign * (at(stem, 1) - at(stem, -1))
+        middle = F.array_sort(F.array(*map(reach, ("own", "parent", "whole"))))[1]
         other = (1 + 2 * SPREAD) * sign * (at("own", 0) - at("own", -1))  # the fence, were the halves alike
         return at("own", 0) + sign * F.greatest(middle, other)
 
-    return levels.select(*names, *(limit(m, 1).alias(f"high_{m}") for m in UPPER), *(limit(m, -1).alias(f"low_{m}") for m in LOWER))
+    return levels.select(*names, *(widest_gap(F.col(f"own_{m}")).alias(f"limit_{m}") for m in COUNTS), fence(1).alias("longest_word"), fence(-1).alias("shortest_word"))
 
 
-def beyond(m: str, sign: int) -> F.Column:
-    """Whether the measure ``m`` fails at its upper (1) or lower (-1) limit."""
-    count, per, unit = COUNTS[m]
-    expected = F.greatest(F.col(f"high_{m}" if sign > 0 else f"low_{m}"), F.lit(0.0)) / per * F.col("n_words")
-    return sign * (F.col(count) - expected) > SPREAD * unit * F.sqrt(F.greatest(expected / unit, F.lit(1.0)))
+def odd_words(limit: str, sign: int) -> F.Column:
+    """Whether the letters of a text lie beyond ``limit`` a word, by more than SPREAD deviations of such a count."""
+    expected = F.greatest(F.col(limit), F.lit(0.0)) * F.col("n_words")
+    return sign * (F.col("word_chars") - expected) > SPREAD * F.sqrt(F.greatest(expected, F.lit(1.0)))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -123,19 +146,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
     passes the base rules has no limits and nothing left to judge.
     """
     names = [f"key{i}" for i in range(len(keys))]
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    measured = materialize(
-        measures(docs, id_col, text_col, keys)
-        .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-        .withColumn("symbol_ratio", F.col("n_symbols") / n)
-        .withColumn("dup_lines_per_100", F.col("n_dup_lines") * 100 / n)
-        .withColumn("repeat_ratio", F.col("n_repeat_words") / n)
-        .withColumn("mean_word", F.col("word_chars") / n),
-        "measures",
-    )
+    measured = materialize(measures(docs, id_col, text_col, keys).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))), "measures")
+    # a single number: half of the documents that pass the base rules have fewer words
+    typical = measured.filter(~F.col("base_failed")).agg(F.percentile_approx("n_words", 0.5).cast("double")).first()[0]
+    scales = measured.withColumns({m: scaled(m, typical or 1.0) for m in COUNTS}).withColumn("mean_word", F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)))
     # as many rows as there are groups; Spark broadcasts the written table only where its size allows
-    limits = materialize(thresholds(measured, names), "limits")
-    joined = measured.join(limits, names, "left")
-    fails = [beyond(m, 1) for m in UPPER] + [beyond(m, -1) for m in LOWER]
+    limits = materialize(thresholds(scales, names), "limits")
+    joined = scales.join(limits, names, "left")
+    fails = [F.col(m) > F.col(f"limit_{m}") for m in COUNTS] + [odd_words("longest_word", 1), odd_words("shortest_word", -1)]
     verdict = ~F.greatest(*(F.coalesce(x, F.lit(False)) for x in fails))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"))

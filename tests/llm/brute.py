@@ -164,40 +164,47 @@ def article(page):
 
 
 def quality_verdicts(rows):
-    """rows: {doc_id: (lang, source, five counts)} -> ({doc_id: kept}, ids so near a limit that rounding decides).
+    """rows: {doc_id: (lang, source, five counts)} -> ({doc_id: kept}, ids so near a limit that rounding decides, {(lang, source): limits}).
 
-    The limits as the docstring of quality_rules states them, from exact quartiles.
+    The limits as the docstring of quality_rules states them, from exact quantiles.
     """
-    measures = {"symbol": (2, 1, 1), "lines": (3, 100, 1), "repeat": (4, 1, 16), "mean": (1, 1, 1)}
+    ranks, units = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99, 0.995, 1.0), {"symbols": (4, 1), "lines": (5, 1), "repeats": (6, 16)}
     ok = {i: r for i, r in rows.items() if not (r[2] < 20 or 100 * r[6] > 30 * r[2])}
-
-    def quartiles(of, m):
-        at, per, _ = measures[m]
-        values = np.sort([r[2 + at] * per / max(r[2], 1) for r in of])
-        return np.array([values[max(0, int(np.ceil(q * len(values))) - 1)] for q in (0.25, 0.5, 0.75)])
-
-    def pulled(own, n, above):
-        return (n * own + 10 * above) / (n + 10)
-
-    kept, near = dict.fromkeys(rows, False), set()
+    quantiles = lambda values, at: np.sort(values)[[max(0, int(np.ceil(q * len(values))) - 1) for q in at]]
+    typical = quantiles([r[2] for r in ok.values()], [0.5])[0] if ok else 1
+    scaled = lambda r, m: np.log1p(r[units[m][0]] / units[m][1] * min(1, typical / max(r[2], 1)))
+    values = {m: (lambda r, m=m: scaled(r, m)) for m in units} | {"mean": lambda r: r[3] / max(r[2], 1)}
+
+    def pulled(lang, source, m):
+        at = ranks if m in units else (0.25, 0.5, 0.75)
+        levels = [[values[m](r) for r in ok.values() if f(r)] for f in (lambda r: True, lambda r: r[0] == lang, lambda r: r[:2] == (lang, source))]
+        whole = quantiles(levels[0], at)
+        parent = (len(levels[1]) * quantiles(levels[1], at) + 10 * whole) / (len(levels[1]) + 10)
+        return (len(levels[2]) * quantiles(levels[2], at) + 10 * parent) / (len(levels[2]) + 10), parent, whole
+
+    kept, near, limits = dict.fromkeys(rows, False), set(), {}
+    for group in {r[:2] for r in ok.values()}:
+        own = {}
+        for m in units:
+            q = pulled(*group, m)[0]
+            step, middle = max(zip(np.diff(q), (q[1:] + q[:-1]) / 2, strict=True))
+            own[m] = middle if step >= np.log(8) else np.inf
+        me, up, whole = pulled(*group, "mean")
+        for sign in (1, -1):
+            fence = lambda q: sign * (q[1 + sign] - q[1]) + 3 * sign * (q[1 + sign] - q[1 - sign])  # noqa: B023, E731
+            own[sign] = me[1] + sign * max(sorted(map(fence, (me, up, whole)))[1], 7 * sign * (me[1] - me[1 - sign]))
+        limits[group] = own
     for i, r in ok.items():
-        own = [x for x in ok.values() if x[:2] == r[:2]]
-        parent = [x for x in ok.values() if x[0] == r[0]]
-        fails = []
-        for m, (at, per, unit) in measures.items():
-            whole = quartiles(list(ok.values()), m)
-            up = pulled(quartiles(parent, m), len(parent), whole)
-            me = pulled(quartiles(own, m), len(own), up)
-            for sign in (1, -1) if m == "mean" else (1,):
-                fence = lambda q: sign * (q[1 + sign] - q[1]) + 3 * sign * (q[1 + sign] - q[1 - sign])  # noqa: B023, E731
-                reach = max(sorted(map(fence, (me, up, whole)))[1], 7 * sign * (me[1] - me[1 - sign]))
-                expected = max(me[1] + sign * reach, 0) / per * r[2]
-                over = sign * (r[2 + at] - expected) - 3 * unit * max(expected / unit, 1) ** 0.5
-                fails.append(over > 0)
-                if abs(over) < 0.05 * (1 + expected):
-                    near.add(i)
-        kept[i] = not any(fails)
-    return kept, near
+        own, over = limits[r[:2]], []
+        for m in units:
+            over.append((scaled(r, m) - own[m], 1e-9))
+        for sign in (1, -1):
+            expected = max(own[sign], 0) * r[2]
+            over.append((sign * (r[3] - expected) - 3 * max(expected, 1) ** 0.5, 0.05 * (1 + expected)))
+        kept[i] = not any(x > 0 for x, _ in over)
+        if any(abs(x) < slack for x, slack in over):
+            near.add(i)
+    return kept, near, limits
 
 
 def near_vectors(rows, threshold=0.9):

@@ -249,11 +249,25 @@ def test_quality_verdict_by_exact_quantiles(spark):
     """``kept`` as exact quartiles would have it: groups below the sketches' size are held exactly."""
     df = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = {r["doc_id"]: (r["lang"], r["source"], *brute.quality(r["text"])) for r in df.collect()}
-    want, near = brute.quality_verdicts(rows)
+    want, near, _ = brute.quality_verdicts(rows)
     got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df).collect()}
     assert all(got[i] == k for i, k in want.items() if i not in near) and len(near) < 0.02 * len(want)
 
 
+def test_quality_limits_differ_where_quartiles_are_zero(spark):
+    """Most documents of either group have no symbol: where some have a few, so many are normal, and where none has they are not."""
+    words = lambda n: " ".join(f"w{n:05}{i * (n + 3) % 997:03}" for i in range(200))
+    with_symbols = lambda n, k: words(n) + " " + "#" * k
+    rows = [(i, with_symbols(i, 1 + i % 12 if i % 5 == 0 else 0), "en", "notes") for i in range(400)]
+    rows += [(1000 + i, words(1000 + i), "en", "news") for i in range(400)]
+    rows += [(2000, with_symbols(2000, 12), "en", "notes"), (2001, with_symbols(2001, 12), "en", "news"), (2002, with_symbols(2002, 400), "en", "notes"), (2003, words(2003), "en", "news")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df).collect()}
+    assert {i for i, k in kept.items() if not k} == {2001, 2002}
+    _, _, limits = brute.quality_verdicts({i: (g, s, *brute.quality(t)) for i, t, g, s in rows})
+    assert np.expm1(limits["en", "news"]["symbols"]) < 6 < 12 < np.expm1(limits["en", "notes"]["symbols"])
+
+
 def test_minhash_of_ids_with_several_texts(spark):
     a, b = (" ".join(f"{x}{i * i % 997}" for i in range(120)) for x in "ab")
     rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (8, b), (3, b + " y z"), (9, ""), (9, None), (9, a), (9, a), (None, a), (None, b), (11, "q r s t u")]
