@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tally.functions.identity import structural_negative
 from tally.functions.text import account_key, norm_text
 
 CENT = 0.011
@@ -45,10 +46,10 @@ def with_history(df: DataFrame, least: int = 1) -> DataFrame:
 
 
 def negative_income(income: DataFrame) -> DataFrame:
-    """Negative income by description without digits."""
+    """Negative income by description without digits; movements of investments are left out."""
     described = F.trim(F.regexp_replace(norm_text(F.col("description")), " *[0-9]+ *", " "))
     return (
-        income.filter(F.col("amount") < -CENT)
+        income.filter((F.col("amount") < -CENT) & ~structural_negative(F.col("description")))
         .groupBy(*KEYS, described.alias("description"))
         .agg(F.sum("amount").alias("total"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("account")), ",").alias("accounts"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tally.functions import text
 from tally.operators import audits, checks, dashboards, history, reviews, rules
-from tally.plans import catalog_assignment, catalog_evidence, catalog_files, catalog_matching, catalog_named, catalog_review, oracle, oracle_assignment, oracle_audits, oracle_evidence, oracle_files, oracle_matching, oracle_more, oracle_named, oracle_review
+from tally.plans import catalog_assignment, catalog_configured, catalog_evidence, catalog_files, catalog_matching, catalog_named, catalog_review, oracle, oracle_assignment, oracle_audits, oracle_configured, oracle_evidence, oracle_files, oracle_matching, oracle_more, oracle_named, oracle_review
 from tally.sources import ledger
 from tally.sources.stored import stored
 
@@ -152,8 +152,8 @@ def queries() -> dict:
         "f36_base_balances": _on(audits.base_balances, a),
         "t3_latest_versions": _on(audits.latest_versions, ledger.imports),
         "q4_text_lint": _on(reviews.lint_texts, ledger.replies),
-    } | catalog_named.queries(_on, plain) | catalog_matching.queries(_on, plain) | catalog_review.queries(_on, plain) | catalog_evidence.queries(_on, plain) | catalog_assignment.queries(_on, plain) | catalog_files.queries(_on, plain)
+    } | catalog_named.queries(_on, plain) | catalog_matching.queries(_on, plain) | catalog_review.queries(_on, plain) | catalog_evidence.queries(_on, plain) | catalog_assignment.queries(_on, plain) | catalog_files.queries(_on, plain) | catalog_configured.queries(_on, plain)
 
 
 def oracle_sql() -> dict:
-    return oracle.SQL | oracle_more.SQL | oracle_audits.SQL | oracle_named.SQL | oracle_matching.SQL | oracle_review.SQL | oracle_evidence.SQL | oracle_assignment.SQL | oracle_files.SQL
+    return oracle.SQL | oracle_more.SQL | oracle_audits.SQL | oracle_named.SQL | oracle_matching.SQL | oracle_review.SQL | oracle_evidence.SQL | oracle_assignment.SQL | oracle_files.SQL | oracle_configured.SQL
