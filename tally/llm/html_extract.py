@@ -2,10 +2,10 @@
 
 Each node of the page's tree has a density: characters per tag of its subtree, adjusted by how much of it is links compared
 with the whole body. Text that lies beside blocks is a block of its own. A node's density sum adds the densities of its
-children (without any, it is its own density), and the node with the largest sum, or the <article> around it, holds the
-article. The least density on its path up to the body is the threshold: wherever a node elsewhere reaches it, the best
-subtree below belongs to the text as well, and so do the headings right before a part of the text and short blocks without
-links between two parts.
+children (without any, it is its own density), and the node with the largest sum holds the article, whatever element it is.
+The least density on its path up to the body is the threshold: wherever a node elsewhere reaches it, the best subtree below
+belongs to the text as well, and so do the headings right before a part of the text and short blocks without links between
+two parts.
 
 All of the body is measured but for scripts, styles and what is never shown. Menus, notices, forms and the like, known by
 element, role and class, count in the densities; they can't be chosen themselves, and inside the choice they are left out.
@@ -259,11 +259,6 @@ def chosen(order: list[Node], body: Node) -> list[Node]:
     while up is not body:
         up = up.parent
         limit, plain = min(limit, up.density), min(plain, each(up))
-    up = best
-    while up is not body and up.tag != "article":
-        up = up.parent
-    if up is not body:
-        up.total, best = best.total, up
     top: dict[int, Node] = {}
     for node in reversed(nodes):  # of each subtree, the node with the largest sum
         top[id(node)] = best if node is best else max([node, *(top[id(x)] for x in node.children if isinstance(x, Node) and not x.inline and not x.out)], key=lambda x: x.total)

@@ -146,6 +146,31 @@ def test_html_ablation(monkeypatch):
     assert "topic 3" in html_extract.main_text(page)
 
 
+def test_html_densities_decide_on_given_pages(spark, monkeypatch):
+    """Without the lists of noise the densities alone find many articles exactly; other weights find none."""
+    pages = [(r["html"], brute.article(r["html"])) for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()]
+    right = lambda: sum(html_extract.main_text(page or "") == text for page, text in pages)
+    assert right() == len(pages)
+    marked = html_extract.mark
+
+    def unmarked(root):
+        order = marked(root)
+        for node in order:
+            node.out = False
+        return order
+
+    def alike(order, body):
+        for node in order:
+            node.density = float(node.chars > 0)
+            parts = [x.density for x in node.children if isinstance(x, html_extract.Node) and not x.inline]
+            node.total = sum(parts) if parts else node.density
+
+    monkeypatch.setattr(html_extract, "mark", unmarked)
+    assert right() >= 0.25 * len(pages)
+    monkeypatch.setattr(html_extract, "weigh", alike)
+    assert right() == 0
+
+
 def test_html_named_containers():
     words = " ".join(["word"] * 80)
     for token in ("has-sidebar content", "article-header", "social-history"):
