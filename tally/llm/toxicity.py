@@ -27,7 +27,7 @@ LEXICON = 5_000
 FOLDS = 4
 #: Letters of the word beginnings that the lexicon may hold.
 STEMS = (4, 5, 6, 7)
-LEAST_ODDS, LEAST_DOCS, LEAST_Z = 1.5, 3, 4.5  # LEAST_DOCS: toxic documents that hold a term, more where many documents make chance finds likely
+LEAST_ODDS, LEAST_DOCS, LEAST_Z = 1.5, 3, 4.5
 NEAR = 10  # words between a term and a second-person pronoun
 WORDS_KEPT = 500_000
 # fixed values: second-person pronouns of the four languages
@@ -48,7 +48,7 @@ def terms(text: str) -> set[str]:
 def learn_lexicons(labelled: DataFrame) -> dict[int | None, dict[str, float]]:
     """Term -> smoothed log-odds of toxic over other documents, from all rows (None) and without each fold.
 
-    ``labelled``: (text, toxic, fold).
+    Each lexicon is chosen and weighed by its own folds only. ``labelled``: (text, toxic, fold).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,23 +63,25 @@ def learn_lexicons(labelled: DataFrame) -> dict[int | None, dict[str, float]]:
     sizes = labelled.groupBy().agg(*(F.count_if((fold == f) & (label if t else ~label)).alias(f"{t}_{f}") for f in range(FOLDS) for t in (0, 1))).first()
     counts = labelled.select("text", "toxic", "fold").mapInArrow(run, "term string, fold int, toxic int, n long")
     cells = [F.coalesce(F.sum(F.when((fold == f) & (F.col("toxic") == t), F.col("n"))), F.lit(0)).alias(f"{t}_{f}") for f in range(FOLDS) for t in (0, 1)]
-    both = [sum(F.col(f"{t}_{f}") for f in range(FOLDS)) for t in (0, 1)]
-    all_sizes = [sum(sizes[f"{t}_{f}"] for f in range(FOLDS)) for t in (0, 1)]
-    n_all = max(2, sum(all_sizes))
-    least = max(LEAST_DOCS, math.ceil(math.log(10 * n_all) / -math.log(min(0.5, max(all_sizes[1], 1) / n_all))))
-    expected = (both[0] + both[1]) * (all_sizes[1] / n_all)
-    odds = F.log((both[1] + 0.5) / (all_sizes[1] + 1)) - F.log((both[0] + 0.5) / (all_sizes[0] + 1))
-    best = counts.groupBy("term").agg(*cells).filter((both[1] >= least) & (both[1] - expected >= LEAST_Z * F.sqrt(expected))).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "term").limit(LEXICON).collect()
+    found = materialize(counts.groupBy("term").agg(*cells), "terms")
     out: dict[int | None, dict[str, float]] = {}
     for left_out in (None, *range(FOLDS)):
         used = [f for f in range(FOLDS) if f != left_out]
-        n = [sum(sizes[f"{t}_{f}"] for f in used) for t in (0, 1)]
-        own = ((r["term"], [sum(r[f"{t}_{f}"] for f in used) for t in (0, 1)]) for r in best)
-        scored = ((term, math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))) for term, c in own if c[1] >= LEAST_DOCS)
-        out[left_out] = {term: x for term, x in scored if x >= LEAST_ODDS}
+        others, toxic = (sum(sizes[f"{t}_{f}"] for f in used) for t in (0, 1))
+        c0, c1 = (sum(F.col(f"{t}_{f}") for f in used) for t in (0, 1))
+        expected = (c0 + c1) * (toxic / max(2, others + toxic))
+        odds = F.log((c1 + 0.5) / (toxic + 1)) - F.log((c0 + 0.5) / (others + 1))
+        chosen = found.filter((c1 >= least_docs(others, toxic)) & (c1 - expected >= LEAST_Z * F.sqrt(expected))).select("term", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS)
+        out[left_out] = {r["term"]: r["odds"] for r in chosen.orderBy(F.desc("odds"), "term").limit(LEXICON).collect()}
     return out
 
 
+def least_docs(others: int, toxic: int) -> int:
+    """How many toxic documents must hold a term: more where many documents make chance finds likely."""
+    n = max(2, others + toxic)
+    return max(LEAST_DOCS, math.ceil(math.log(10 * n) / -math.log(min(0.5, max(toxic, 1) / n))))
+
+
 class Scanner:
     """Features of texts; remembers for each word how it stands to the lexicon."""
 

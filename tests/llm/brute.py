@@ -303,3 +303,23 @@ def nearest(rows, queries, k=10):
                     near.append((total**0.5, i))
             out |= {(q, rank): (i, d) for rank, (d, i) in enumerate(sorted(near)[:k], 1)}
     return out
+
+
+def toxic_lexicon(rows, folds):
+    """{term: log-odds} of rows (text, toxic, fold) in ``folds``, as the docstring of toxicity states it."""
+    rows = [r for r in rows if r[2] in folds]
+    n = [sum(r[1] == t for r in rows) for t in (0, 1)]
+    counts = [Counter(), Counter()]
+    for text, label, _ in rows:
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        counts[label].update(words | {w[:k] + "-" for w in words for k in (4, 5, 6, 7) if len(w) > k})
+    total = max(2, sum(n))
+    least = max(3, int(np.ceil(np.log(10 * total) / -np.log(min(0.5, max(n[1], 1) / total)))))
+    out = {}
+    for term, c1 in counts[1].items():
+        c0 = counts[0][term]
+        expected = (c0 + c1) * n[1] / total
+        odds = np.log((c1 + 0.5) / (n[1] + 1)) - np.log((c0 + 0.5) / (n[0] + 1))
+        if c1 >= least and c1 - expected >= 4.5 * expected**0.5 and odds >= 1.5:
+            out[term] = odds
+    return out

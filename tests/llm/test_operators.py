@@ -265,6 +265,35 @@ def test_ordinal_fit_is_most_likely():
     assert model.above(np.array([0.0]), -1) == [1.0] and model.above(np.array([0.0]), 2) == [0.0]
 
 
+def test_toxic_lexicons_by_fold(spark):
+    """Each fold's lexicon is what the other folds alone give."""
+    draw = np.random.default_rng(2)
+    words = [f"plain{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        toxic, fold = int(i % 5 == 0), i % 4
+        own = [str(w) for w in draw.choice(words, 30)] + (["vile", "own" + "abcd"[fold], "Wretchedly"] if toxic and draw.random() < 0.8 else [])
+        rows.append((" ".join(own), toxic, fold))
+    rows.append((None, 0, 1))
+    got = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    for left_out in (None, 0, 1, 2, 3):
+        want = brute.toxic_lexicon(rows, {0, 1, 2, 3} - {left_out})
+        assert got[left_out].keys() == want.keys() and all(abs(got[left_out][t] - x) < 1e-9 for t, x in want.items())
+        assert {"vile", "wretchedly", "wretc-"} <= want.keys() and all(("own" + "abcd"[f] in want) == (f != left_out) for f in range(4))
+
+
+def test_toxic_features_and_calibration(spark):
+    scan = dict(zip(toxicity.NAMES, toxicity.Scanner({"vile": 2.0, "wret-": 1.0})("You are VILE, wretched and v1le! vile"), strict=True))
+    n, size = 8, len("You are VILE, wretched and v1le! vile")
+    want = {"word_density": 4.0 / n, "stem_density": 1.0 / n, "near_you": 3 / n, "you_density": 1 / n, "exclamations": 1 / size, "capitals": 5 / size, "disguised": 1 / n, "disguised_hits": 1 / n, "log_words": np.log1p(n), "most_repeated": 2.0}
+    assert {k: round(scan[k], 12) for k in want} == {k: round(float(x), 12) for k, x in want.items()}
+    xs, ys = [0.1, 0.2, 0.2, 0.7], [0.0, 0.1, 0.4, 0.9]
+    points = spark.createDataFrame([(x / 50,) for x in range(51)], "x double").withColumn("y", toxicity.calibrated(F.col("x"), xs, ys))
+    for x, y in points.collect():
+        right = 0.4 + (x - 0.2) * 1.0 if 0.2 <= x < 0.7 else 0.9 if x >= 0.7 else 0.0 if x <= 0.1 else (x - 0.1) * 1.0
+        assert abs(y - right) < 1e-9
+
+
 def test_quality_groups_of_null(spark):
     df = spark.createDataFrame([(1, "a " * 30, None, "s"), (2, "b " * 30, "", "s"), (3, "c " * 30, "=", "s")], "doc_id long, text string, lang string, source string")
     assert {r["key0"] for r in quality_rules.measures(df).collect()} == {"", "=", "=="}
