@@ -137,7 +137,7 @@ SQL = {
     "g0_stable_months": _with([*K, "hist AS (SELECT DISTINCT condo_id, month, no, key FROM valid)", "months AS (SELECT DISTINCT condo_id, month, no FROM hist)", "lasts AS (SELECT m.condo_id, m.month, max(p.no) AS last, count(*) AS n, list_sort(list(p.no))[-2] AS prior FROM months m JOIN months p ON p.condo_id = m.condo_id AND p.no BETWEEN m.no - 6 AND m.no - 1 GROUP BY ALL HAVING count(*) >= 2)"], f"SELECT condo_id, {M}, share FROM (SELECT l.condo_id, l.month, round(avg(CASE WHEN EXISTS (SELECT 1 FROM hist b WHERE b.condo_id = l.condo_id AND b.key = a.key AND b.no = l.prior) THEN 1 ELSE 0 END), 6) AS share FROM lasts l JOIN hist a ON a.condo_id = l.condo_id AND a.no = l.last GROUP BY ALL) WHERE share >= 0.05"),
     "g1_new_vendors": _with([*K, TELLING, LISTS, NEW], f"SELECT condo_id, {M}, ord, code, key, {_d('amount')} FROM newv"),
     "g2_round_amounts": _with([*K, TELLING, LISTS, NEW], f"SELECT condo_id, {M}, ord, code, {_d('amount')} FROM valid v WHERE amount >= 2000 AND CAST(amount * 100 AS BIGINT) % 10000 = 0 AND NOT {INST} AND {NF} = '' AND EXISTS (SELECT 1 FROM named h WHERE h.condo_id = v.condo_id AND h.no BETWEEN v.no - 6 AND v.no - 1) AND NOT EXISTS (SELECT 1 FROM valid p WHERE p.condo_id = v.condo_id AND p.amount = v.amount AND p.no BETWEEN v.no - 6 AND v.no - 1) AND NOT EXISTS (SELECT 1 FROM newv w WHERE w.condo_id = v.condo_id AND w.month = v.month AND w.code = v.code)"),
-    "g3_missing_vendors": _with([*K, TELLING, LISTS, "sums AS (SELECT condo_id, month, no, key, list(CAST(amount * 100 AS BIGINT)) AS amounts, max(CASE WHEN inst_n >= 7 THEN 1 ELSE 0 END) AS ended, min({'ord': ord, 'description': description, 'words': words, 'code': code}) AS sample FROM telling JOIN (SELECT DISTINCT ord, description, vendor FROM valid) USING (ord, description) WHERE telling.vendor IS NOT DISTINCT FROM valid_vendor GROUP BY ALL)".replace("SELECT DISTINCT ord, description, vendor FROM valid", "SELECT DISTINCT ord, description, vendor AS valid_vendor FROM valid"), "w AS (SELECT a.condo_id, CAST(a.month + INTERVAL 1 MONTH AS DATE) AS month, a.key, a.sample.code AS code, a.sample.words AS words, list_concat(a.amounts, list_concat(b.amounts, c.amounts)) AS amounts FROM sums a JOIN sums b ON b.condo_id = a.condo_id AND b.key = a.key AND b.no = a.no - 1 JOIN sums c ON c.condo_id = a.condo_id AND c.key = a.key AND c.no = a.no - 2 WHERE a.ended = 0)"], f"SELECT condo_id, {M}, key, code, usual FROM (SELECT *, {MIDDLE.format('amounts')} AS usual FROM w) w WHERE usual >= 500 AND EXISTS (SELECT 1 FROM named n WHERE n.condo_id = w.condo_id AND n.month = w.month) AND NOT EXISTS (SELECT 1 FROM valid o WHERE o.condo_id = w.condo_id AND o.month = w.month AND (o.key = w.key OR {NEAR})) AND NOT (len(w.words) > 0 AND EXISTS (SELECT 1 FROM lists h WHERE h.condo_id = w.condo_id AND h.month = w.month AND {PRESENT}))"),
+    "g3_missing_vendors": _with([*K, TELLING, LISTS, "sums AS (SELECT condo_id, month, no, key, list(CAST(amount * 100 AS BIGINT)) AS amounts, max(CASE WHEN inst_n >= 7 THEN 1 ELSE 0 END) AS ended, min({'ord': ord, 'description': description, 'words': words, 'code': code}) AS sample FROM telling JOIN (SELECT DISTINCT ord, description, vendor FROM valid) USING (ord, description) WHERE telling.vendor IS NOT DISTINCT FROM valid_vendor AND telling.amount > 0.011 GROUP BY ALL)".replace("SELECT DISTINCT ord, description, vendor FROM valid", "SELECT DISTINCT ord, description, vendor AS valid_vendor FROM valid"), "w AS (SELECT a.condo_id, CAST(a.month + INTERVAL 1 MONTH AS DATE) AS month, a.key, a.sample.code AS code, a.sample.words AS words, list_concat(a.amounts, list_concat(b.amounts, c.amounts)) AS amounts FROM sums a JOIN sums b ON b.condo_id = a.condo_id AND b.key = a.key AND b.no = a.no - 1 JOIN sums c ON c.condo_id = a.condo_id AND c.key = a.key AND c.no = a.no - 2 WHERE a.ended = 0)"], f"SELECT condo_id, {M}, key, code, usual FROM (SELECT *, {MIDDLE.format('amounts')} AS usual FROM w) w WHERE usual >= 500 AND EXISTS (SELECT 1 FROM named n WHERE n.condo_id = w.condo_id AND n.month = w.month) AND NOT EXISTS (SELECT 1 FROM valid o WHERE o.condo_id = w.condo_id AND o.month = w.month AND (o.key = w.key OR {NEAR})) AND NOT (len(w.words) > 0 AND EXISTS (SELECT 1 FROM lists h WHERE h.condo_id = w.condo_id AND h.month = w.month AND {PRESENT}))"),
     "g4_missing_expected": _with([*N, "hits AS (SELECT condo_id, month, no, CAST(sum(amount) * 100 AS BIGINT) AS total FROM named WHERE regexp_matches(description, '^SALARIO') GROUP BY ALL)"], f"SELECT condo_id, {M}, usual FROM (SELECT a.condo_id, CAST(a.month + INTERVAL 1 MONTH AS DATE) AS month, a.no, list_sort([a.total, b.total, c.total])[2] / 100.0 AS usual FROM hits a JOIN hits b ON b.condo_id = a.condo_id AND b.no = a.no - 1 JOIN hits c ON c.condo_id = a.condo_id AND c.no = a.no - 2) w WHERE usual >= 500 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.condo_id = w.condo_id AND h.no = w.no + 1) AND EXISTS (SELECT 1 FROM named n WHERE n.condo_id = w.condo_id AND n.month = w.month)"),
     "g5_atypical_amounts": _with([*E, WORKS, f"work AS (SELECT *, vendor AS key, {_STEMS.format('obj', '', 5)} AS na, {_STEMS.format('obj', 'NOT ', 6)} AS ra, {COMPETENCE_SQL} AS competence FROM (SELECT *, {_OBJECT} AS obj FROM works1 WHERE amount > 0.011 AND NOT {kind('description', 'withholding')}))", f"cur AS (SELECT * FROM work WHERE inst_n IS NULL AND NOT {kind('description', 'eventual')})", "nodes AS (SELECT condo_id, month, no, key, na, ra, min(ord) AS node FROM cur GROUP BY ALL)", f"links AS (SELECT a.condo_id, a.month, a.key, a.node AS f, b.node AS t FROM nodes a JOIN nodes b ON b.condo_id = a.condo_id AND b.month = a.month AND b.key = a.key AND {ALIKE.format('a', 'b')})", "reach AS (SELECT condo_id, month, key, f, t FROM links UNION SELECT r.condo_id, r.month, r.key, r.f, l.t FROM reach r JOIN links l ON l.condo_id = r.condo_id AND l.month = r.month AND l.key = r.key AND l.f = r.t)", "grp AS (SELECT condo_id, month, key, f AS node, min(t) AS grp FROM reach GROUP BY ALL)", "sums AS (SELECT c.condo_id, c.month, c.no, c.key, g.grp, CAST(sum(amount) * 100 AS BIGINT) AS total, count(*) AS n, count(DISTINCT competence) AS competences, count(DISTINCT CASE WHEN competence < strftime(c.month, '%Y-%m') THEN competence END) AS earlier, max(CAST(amount AS DOUBLE)) - min(CAST(amount AS DOUBLE)) <= 0.15 * avg(CAST(amount AS DOUBLE)) AS alike FROM cur c JOIN nodes n USING (condo_id, month, key, na, ra) JOIN grp g ON g.condo_id = c.condo_id AND g.month = c.month AND g.key = c.key AND g.node = n.node GROUP BY ALL)", "leads AS (SELECT s.*, n.na, n.ra FROM sums s JOIN nodes n ON n.condo_id = s.condo_id AND n.month = s.month AND n.key = s.key AND n.node = s.grp)", "monthly AS (SELECT condo_id, no, key, na, ra, CAST(sum(amount) * 100 AS BIGINT) AS cost FROM work GROUP BY ALL)", f"costs AS (SELECT s.condo_id, s.month, s.key, s.grp, m.no, sum(m.cost) AS cost FROM leads s JOIN monthly m ON m.condo_id = s.condo_id AND m.key = s.key AND m.no BETWEEN s.no - 6 AND s.no - 1 AND {ALIKE.format('s', 'm')} GROUP BY ALL HAVING sum(m.cost) > 1)", "past AS (SELECT condo_id, month, key, grp, list(CAST(cost AS BIGINT)) AS totals FROM costs GROUP BY ALL HAVING count(*) >= 2)", f"t AS (SELECT l.* EXCLUDE (total), total / 100.0 AS total, CASE WHEN totals IS NOT NULL THEN {MIDDLE.format('totals')} END AS usual, n >= 2 AND competences >= 2 AND alike AS many FROM leads l LEFT JOIN past USING (condo_id, month, key, grp))", "k AS (SELECT *, CASE WHEN usual > 0.011 AND total >= 2.5 * usual AND total - usual >= 1000 THEN CASE WHEN many THEN 'accumulated' WHEN earlier >= 2 THEN 'earlier' ELSE 'above' END WHEN usual IS NULL AND many AND earlier >= 2 THEN 'uncompared' END AS kind FROM t)"], f"SELECT condo_id, {M}, key, grp AS ord, total, n, usual, false AS variable, kind FROM k WHERE kind IS NOT NULL").replace("WITH ", "WITH RECURSIVE ", 1),
     "g7_reversals": _with([*K, "sides AS (SELECT *, abs(amount) AS size, row_number() OVER (PARTITION BY condo_id, month, key, invoice, abs(amount), amount < 0 ORDER BY ord) AS i FROM keyed WHERE abs(amount) >= 500)", "pairs AS (SELECT a.condo_id, a.month, a.ord, a.code, a.amount, 'reversal' AS kind FROM sides a JOIN sides b ON a.condo_id = b.condo_id AND a.month = b.month AND a.key = b.key AND a.invoice = b.invoice AND a.size = b.size AND a.i = b.i AND (a.amount < 0) <> (b.amount < 0) UNION ALL SELECT condo_id, month, ord, code, amount, 'appropriation' FROM keyed WHERE regexp_matches(upper(description), '\\bAPROP\\b'))"], f"SELECT condo_id, {M}, ord, code, CAST(max(amount) AS DOUBLE) AS amount, max(kind) AS kind FROM pairs GROUP BY condo_id, pairs.month, ord, code"),
