@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tally.functions.text import norm_text
 
 # fixed values: patterns of documents
-PAYMENT_PAGE = r"(?i)Comprovante\s+de\s+(?:Pagamento|Transfer|Opera[cç]|Dep[oó]sito|Agendamento|Liquida)|Dados\s+do\s+(?:Lan[cç]amento|Pagamento)|Comprovante\s+PIX|Pagamento\s+realizado|Conta\s+de\s+d[eé]bito|Data\s+d[ao]\s+(?:pagamento|transfer)"
-INVOICE_MARKER = r"(?i)NOTA\s+FISCAL|NOTA\s+FATURA|NFS-?E|DANF[A-Z]?|NF-?E\b|CHAVE\s+DE\s+ACESSO|Documento\s+Auxiliar|NOTA\s+DE\s+REEMBOLSO|VALOR\s+TOTAL\s+DOS\s+SERVI|TOMADOR\s+D[EO]\s+SERVI|PRESTADOR\s+D[EO]\s+SERVI"
-FALSE_MARKER = r"(?i)NF-?e\s+n[aã]o\s+\w+|encaminhar[^.;\n]{0,100}Nota\s+Fiscal[^.;\n]{0,120}|Nota\s+Fiscal[^.;\n]{0,40}Solicita[cç][aã]o\s+de\s+Pagamento[^\n]{0,80}|NF\s+ser[aá]\s+emitida[^\n]{0,60}"
+PAYMENT_PAGE = r"(?i)Comprovante\s+de\s+(?:Pagamento|Transfer|Opera[cç]|Dep[oó]sito|Agendamento|Liquida)|Dados\s+do\s+(?:Lan[cç]amento|Pagamento)|Comprovante\s+PIX|Pagamento\s+realizado|Valor\s+(?:do\s+)?lan\S*to|Conta\s+de\s+d[eé]bito|Data\s+d[ao]\s+(?:pagamento|transfer)"
+AUTHENTICATION, MECHANICAL = r"(?i)Autentica[cç][aã]o", r"(?i)Autentica[cç][aã]o\s+mec[aâ]nica"
+INVOICE_MARKER = r"(?i)NOTA\s+FISCAL|NOTA\s+FATURA|NFS-?E|DANF[A-Z]?|NF-?E\b|CHAVE\s+DE\s+ACESSO|Identifica\S*\s+do\s+Emitente|Documento\s+Auxiliar|NOTA\s+DE\s+REEMBOLSO|C[oó]digo\s+de\s+Verifica\S*o|C[aá]lculo\s+do\s+ISS|VALOR\s+TOTAL\s+DOS\s+SERVI|TOMADOR\s+D[EO]\s+SERVI|PRESTADOR\s+D[EO]\s+SERVI"
+FALSE_MARKER = r"(?i)PRESTADORES\s+PESSOA[\s\S]{0,2500}|prestador\s+de\s+servi[cç]o\s+(?:n[aã]o|deve)[^\n]{0,200}|NF-?e\s+n[aã]o\s+\w+|encaminhar[^.;\n]{0,100}Nota\s+Fiscal[^.;\n]{0,120}|Nota\s+Fiscal[^.;\n]{0,40}Solicita[cç][aã]o\s+de\s+Pagamento[^\n]{0,80}|NF\s+ser[aá]\s+emitida[^\n]{0,60}"
 BANK_SLIP = r"(?i)Benefici[aá]rio|Linha\s+Digit|Recibo\s+do\s+Pagador|Sacador|Ficha\s+de\s+Compensa"
 SLIP_IDS = [r"(?i)Recibo\s*Declara.{0,4}:?\s*([0-9]{5,})", r"(?i)N[uú]mero\s+do\s+Documento:?\s*([0-9]{2}[0-9.\-\s]{10,24}[0-9])", r"(?i)Documento No\.?\s*([0-9\s]{8,20}[0-9])"]
 TOTALS = [r"(?i)valor\s+total:?\s*R?\$?\s*([0-9.]+,[0-9]{2})", r"(?i)valor\s+do\s+pagamento:?\s*R?\$?\s*([0-9.]+,[0-9]{2})", r"(?i)\bvalor:?\s*R\$\s*([0-9.]+,[0-9]{2})"]
@@ -36,7 +37,8 @@ def amount_in_text(text: Column, amount: Column) -> Column:
 
 
 def is_payment_page(text: Column) -> Column:
-    return text.rlike(PAYMENT_PAGE)
+    """a payment's words; an authentication counts unless it is only the slip's place for a mechanical one."""
+    return text.rlike(PAYMENT_PAGE) | F.regexp_replace(text, MECHANICAL, " ").rlike(AUTHENTICATION)
 
 
 def is_bank_slip(text: Column) -> Column:

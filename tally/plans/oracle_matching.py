@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tally.functions.documents import BANK_SLIP, FALSE_MARKER, INVOICE_MARKER, PAYMENT_PAGE
+from tally.functions.documents import AUTHENTICATION, BANK_SLIP, FALSE_MARKER, INVOICE_MARKER, MECHANICAL, PAYMENT_PAGE
 from tally.functions.identity import TAX
 from tally.plans.oracle import _ACCOUNT, _EXPENSE, _INCOME, _ISSUANCE, M, _d, _with
 from tally.plans.oracle_named import EXEMPT, K, NF, RENAMED, kind
@@ -39,9 +39,11 @@ def _shown(text: str, amount: str) -> str:
 
 
 _CENTS = "lpad(CAST(CAST(abs({0}) * 100 AS BIGINT) % 100 AS VARCHAR), 2, '0')"
-PAY = f"regexp_matches(page_text, '{PAYMENT_PAGE}')"
+PAY = f"(regexp_matches(page_text, '{PAYMENT_PAGE}') OR regexp_matches(regexp_replace(page_text, '{MECHANICAL}', ' ', 'g'), '{AUTHENTICATION}'))"
 SLIP = f"regexp_matches(page_text, '{BANK_SLIP}')"
-INV = f"regexp_matches(regexp_replace(page_text, '{FALSE_MARKER}', ' ', 'g'), '{INVOICE_MARKER}')"
+# DuckDB's expressions repeat up to a thousand times
+_FALSE = FALSE_MARKER.replace("{0,2500}", "{0,1000}")
+INV = f"regexp_matches(regexp_replace(page_text, '{_FALSE}', ' ', 'g'), '{INVOICE_MARKER}')"
 PAGES = "pages AS (SELECT condo_id, month, code, read_amount, substr(raw_text, length('[Pagina 1]') + 2) AS page_text FROM papers WHERE raw_text <> '')"
 DOCS = [*K, _AT, PAGES]
 ONCE = "once AS (SELECT condo_id, month, code, min({'ord': ord, 'description': description, 'category': category, 'amount': amount}) AS x, count(*) AS n FROM keyed GROUP BY ALL), one AS (SELECT condo_id, month, code, n, x.description AS description, x.category AS category, x.amount AS amount, concat_ws(' ', x.description, x.category) AS both_texts FROM once)"

@@ -99,9 +99,13 @@ def test_documents_on_literals(spark):
     rows = [("valor 1.573,55", 573.55, False), ("R$ 1.573,55", 1573.55, True), ("pago 1573.55", 1573.55, True), ("R$ 368,1 ", 368.10, True), ("R$ 15,00", 5.0, False), (None, 1.0, False)]
     df = spark.createDataFrame(rows, "t string, a double, shown boolean").withColumn("a", F.col("a").cast("decimal(18,2)"))
     assert [r[0] for r in df.select(documents.amount_in_text(F.col("t"), F.col("a"))).collect()] == [r[2] for r in rows]
-    rows = [("NF-e nao disponivel", False), ("Encaminhar a Nota Fiscal junto", False), ("DANFE 12", True)]
+    rows = [("NF-e nao disponivel", False), ("Encaminhar a Nota Fiscal junto", False), ("DANFE 12", True), ("Codigo de Verificacao: A1", True), ("Cálculo do ISS", True), ("Identificação do Emitente", True)]
+    rows += [("prestador de serviço deve emitir DANFE", False), ("PRESTADORES PESSOA JURIDICA: " + "x\n" * 900 + "NOTA FISCAL", False), ("DANFE\nprestador de servico nao emite NOTA FISCAL", True)]
     df = spark.createDataFrame(rows, "t string, i boolean")
     assert [r[0] for r in df.select(documents.has_invoice_marker(F.col("t"))).collect()] == [r[1] for r in rows]
+    rows = [("Autenticação 12AB", True), ("Autenticação mecânica", False), ("Valor do lançamento: 10", True), ("valor lancamento", True), ("Autenticacao mecanica, autenticacao 9", True), ("recibo", False)]
+    df = spark.createDataFrame(rows, "t string, p boolean")
+    assert [r[0] for r in df.select(documents.is_payment_page(F.col("t"))).collect()] == [r[1] for r in rows]
     df = spark.createDataFrame([("NOTA FISCAL No 001.378", "1378", True), ("Comprovante de Pagamento 1378", "1378", False), ("NF. 1378 taxa", "1378", False), ("nota 21378", "1378", False)], "t string, n string, found boolean")
     assert [r[0] for r in df.select(documents.invoice_in_page(F.col("t"), F.col("n"))).collect()] == [True, False, False, False]
     one = spark.createDataFrame([("identificação no extrato: D1213 D1217 valor total: R$ 1.000,10",)], "t string").select(documents.listed_codes(F.col("t")), documents.total_paid(F.col("t")).cast("double")).first()
