@@ -64,6 +64,19 @@ def member(raw: bytes, level: int = 4) -> bytes:
     return squeeze.compress(raw) + squeeze.flush()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark would take it for: without one it lies on the default file system, not on a task's disk."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified folder, and the path there; a local one is the shared folder that is mounted everywhere."""
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """(path, n_bytes) of the archives written, one per task, into ``folder`` (any address that pyarrow.fs opens).
 
@@ -72,7 +85,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, root = opened(folder)
         store.create_dir(root, recursive=True)
         task = TaskContext.get()
         name = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
@@ -174,7 +187,7 @@ def read_archives(archives: DataFrame, folder: str, split: int = 16 << 20, paylo
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"][: 7 if payloads else 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, root = opened(folder)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
@@ -200,6 +213,6 @@ def round_trip(spark: SparkSession, pages: DataFrame, split: int = 16 << 20, id_
     others refer to them); a long payload is one record, held whole by the task that writes or reads it; an empty table gives
     no rows; other columns are ignored.
     """
-    folder = new_path(spark, "warc")
+    folder = qualified(spark, new_path(spark, "warc"))
     archives = materialize(write_archives(plan_records(pages, id_col, url_col, html_col), folder), "archives")
     return read_archives(archives, folder, split)

@@ -265,6 +265,23 @@ def test_ordinal_fit_is_most_likely():
     assert model.above(np.array([0.0]), -1) == [1.0] and model.above(np.array([0.0]), 2) == [0.0]
 
 
+def test_warc_folders(spark, tmp_path):
+    from pyarrow import fs
+
+    assert warc.qualified(spark, str(tmp_path)) == f"file:{tmp_path}" and warc.qualified(spark, f"file://{tmp_path}").startswith("file:/")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.test.link./ckpt", f"file:{tmp_path}")
+    before = hadoop.get("fs.defaultFS")
+    hadoop.set("fs.defaultFS", "viewfs://test/")
+    try:  # a path without a scheme isn't the machine's own disk where the default file system is another
+        assert warc.qualified(spark, "/ckpt/x") == "viewfs://test/ckpt/x"
+    finally:
+        hadoop.set("fs.defaultFS", before)
+    for name in (f"file:{tmp_path}", f"file://{tmp_path}", str(tmp_path)):
+        store, root = warc.opened(name)
+        assert isinstance(store, fs.LocalFileSystem) and root == str(tmp_path)
+
+
 def test_toxic_lexicons_by_fold(spark):
     """Each fold's lexicon is what the other folds alone give."""
     draw = np.random.default_rng(2)
