@@ -18,8 +18,10 @@ def entries(spark, sf_dir):
 
 @stored
 def works(spark, sf_dir):
-    """Workshops' entries with their identity."""
-    return op.with_identity(named.works(spark, sf_dir))
+    """Workshops' entries with their identity, which is worked out once for each distinct vendor and description."""
+    rows, said = named.works(spark, sf_dir), ["vendor", "description"]
+    once = op.with_identity(rows.select(*said).distinct().withColumn("category", F.lit(None).cast("string"))).select(*said, "key", "object", "is_eventual")
+    return rows.join(once, said).withColumn("is_structural", identity.structural(F.col("category"), F.col("description")))
 
 
 accounts, split_accounts = stored(named.accounts), stored(named.split_accounts)
