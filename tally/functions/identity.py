@@ -60,12 +60,21 @@ def terms(text: Column) -> Column:
     return F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(*NOISE))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def vendor_key2(vendor: Column, description: Column) -> Column:
     """the first two terms of the vendor, else of the description's second, last, first or another part."""
-    parts = F.filter(F.split(F.coalesce(description, F.lit("")), r"\s+-\s+"), lambda p: F.trim(p) != "")
-    inner = F.when(F.size(parts) > 3, F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 3, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    ordered = F.when(F.size(parts) >= 3, F.concat(F.array(F.get(parts, F.lit(1)), F.element_at(parts, -1), F.get(parts, F.lit(0))), inner)).otherwise(parts)
-    named = F.filter(F.transform(F.concat(F.array(F.coalesce(vendor, F.lit(""))), F.coalesce(ordered, F.array().cast("array<string>"))), terms), lambda t: F.size(t) > 0)
+    none = F.array().cast("array<string>")
+
+    def ordered(parts: Column) -> Column:
+        inner = F.when(F.size(parts) > 3, F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 3, F.lit(1)))).otherwise(none)
+        return F.when(F.size(parts) >= 3, F.concat(F.array(F.get(parts, F.lit(1)), F.element_at(parts, -1), F.get(parts, F.lit(0))), inner)).otherwise(parts)
+
+    parts = bound(F.filter(F.split(F.coalesce(description, F.lit("")), r"\s+-\s+"), lambda p: F.trim(p) != ""), ordered)
+    named = F.filter(F.transform(F.concat(F.array(F.coalesce(vendor, F.lit(""))), F.coalesce(parts, none)), terms), lambda t: F.size(t) > 0)
     return F.coalesce(F.array_join(F.slice(F.get(named, F.lit(0)), 1, 2), " "), norm_text(F.coalesce(description, F.lit(""))))
 
 
@@ -110,9 +119,12 @@ def presence_words(vendor: Column, description: Column) -> Column:
     no month."""
     words = F.array_distinct(terms(F.concat_ws(" ", vendor, description)))
     good = F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(*GENERIC) & ~F.substring(t, 1, 3).isin(*MONTHS))
-    first = F.slice(good, 1, 1)
-    long = F.filter(F.when(F.size(good) > 1, F.slice(good, F.lit(2), F.greatest(F.size(good) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>")), lambda t: F.length(t) >= 4)
-    return F.slice(F.concat(first, long), 1, 3)
+
+    def chosen(g: Column) -> Column:
+        rest = F.when(F.size(g) > 1, F.slice(g, F.lit(2), F.greatest(F.size(g) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        return F.slice(F.concat(F.slice(g, 1, 1), F.filter(rest, lambda t: F.length(t) >= 4)), 1, 3)
+
+    return bound(good, chosen)
 
 
 def natures(words: Column) -> Column:
