@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tally.operators import audits, checks, configured, history, identified, rules
-from tally.plans.catalog_named import accounts, entries
+from tally.plans.catalog_named import accounts, entries, written_entries
 from tally.sources import configs, ledger, named
 from tally.sources.stored import stored
 
@@ -30,7 +30,7 @@ def applied(spark, sf_dir):
 
 def found(spark, sf_dir) -> dict:
     """Rule -> its findings by the lowest limits that a building has, with what the limits ask for."""
-    e, n, i, a, r, s = (t(spark, sf_dir) for t in (expense, entries, income, account_month, accounts, statements))
+    e, n, i, a, r, s = (t(spark, sf_dir) for t in (expense, written_entries, income, account_month, accounts, statements))
 
     def rows(df, kind, subject, amount, *more):
         return df.select("condo_id", "month", F.lit(kind).alias("type"), F.col(subject).cast("string").alias("subject"), F.expr(amount).alias("amount"), *more)
