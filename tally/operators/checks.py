@@ -23,7 +23,7 @@ def account_identity(account_month: DataFrame, tolerance: float = 0.05) -> DataF
 
 def duplicate_codes(expense: DataFrame) -> DataFrame:
     """A code twice or more with one amount."""
-    return expense.groupBy(*KEYS, "code").agg(F.count("*").alias("n"), F.count_distinct("amount").alias("amounts"), F.max("amount").alias("amount")).filter("n >= 2 and amounts = 1").drop("amounts")
+    return expense.groupBy(*KEYS, "code").agg(F.count("*").alias("n"), F.min("amount").alias("least"), F.max("amount").alias("amount")).filter("n >= 2 and least = amount").drop("least")
 
 
 def negative_expense(expense: DataFrame) -> DataFrame:

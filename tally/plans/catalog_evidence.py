@@ -16,7 +16,8 @@ UTILITIES = ["ENEL DISTRIBUICAO", "Água e Esgoto - conta", "Claro", "Gás natur
 @stored
 def entries(spark, sf_dir):
     """One row for each code; a third are utilities by name or kind, with dates, amounts and codes around the description."""
-    rows = named.one_per_code(ledger.expense(spark, sf_dir)).drop("vendor")
+    # of equal rows of a code the description comes before the category; what comes after it decides nothing here
+    rows = named.one_per_code(ledger.expense(spark, sf_dir).select(*KEYS, "ord", "code", "description", "amount", "category", "account", "invoice", "paid"))
     at = (F.col("ord") % 4).cast("int")
     name = F.when(F.col("ord") % 3 == 0, F.element_at(F.array(*map(F.lit, UTILITIES)), at + 1)).otherwise("Limpeza mensal")
     text = F.concat(F.when(at == 1, "").when(at == 2, "123456 10/02/1995 ").otherwise("10/02/1995 "), name, F.when(at == 3, " 1.234,56 0013").otherwise(""))

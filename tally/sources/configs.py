@@ -26,7 +26,7 @@ OVERLAYS = [
 
 
 def _buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.expense(spark, sf_dir).select("condo_id").distinct()
+    return ledger.condos(spark, sf_dir)
 
 
 def base_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, condo_id, text): the beginning of each month's file, with its own name, its alias, another's, part of one or none."""
-    months = ledger.expense(spark, sf_dir).select(*KEYS).distinct()
+    months = ledger.months(spark, sf_dir)
     own = buildings(spark, sf_dir).select("condo_id", "name")
     other = own.select(F.pmod(F.col("condo_id") - 1, F.lit(ledger.BUILDINGS)).cast("int").alias("condo_id"), F.col("name").alias("other"))
     alias = aliases(spark, sf_dir)
@@ -51,13 +51,13 @@ WRITTEN = ["Ordinária", "FUNDO-DE-RESERVA.", "PROVISAO P/ 13o", "PINTURA EXTRA"
 
 def canonical_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(condo_id, month, known): each statement lacks one of the names."""
-    months = ledger.expense(spark, sf_dir).select(*KEYS).distinct()
+    months = ledger.months(spark, sf_dir)
     rows = months.select(*KEYS, F.posexplode(F.array(*map(F.lit, CANONICAL))).alias("at", "known"))
     return rows.filter((F.col("at") + F.col("condo_id") + month_no(F.col("month"))) % len(CANONICAL) != 0).drop("at")
 
 
 def written_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = ledger.expense(spark, sf_dir).select(*KEYS).distinct()
+    months = ledger.months(spark, sf_dir)
     return months.select(*KEYS, F.explode(F.array(*map(F.lit, WRITTEN))).alias("name"))
 
 
