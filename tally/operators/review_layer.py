@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tally.functions.text import account_key, format_brl
+from tally.operators import likeness
 from tally.operators.matching import subset_sums
 from tally.operators.rules import KEYS
 
@@ -133,14 +134,18 @@ def untraced_descriptions(cited: DataFrame, lines: DataFrame) -> DataFrame:
     """Q3: the items (code, description) of findings whose description's beginning (its first 25 characters, eight letters or digits at
     least) stands nowhere in the month's text.
 
-    A beginning is looked for only where its first eight characters stand.
+    Only the places of a text where the first eight characters of some beginning stand are looked at, and compared by equality with the
+    beginnings of the lengths that go with these eight: common words meet no list of segments.
     """
     wanted = cited.withColumn("prefix", account_key(F.substring("description", 1, PREFIX))).filter(F.length("prefix") >= LEAST_PREFIX)
-    asked = wanted.select(*KEYS, "prefix", F.substring("prefix", 1, LEAST_PREFIX).alias("gram")).distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("segment") - LEAST_PREFIX + 1), lambda i: F.substring(F.col("segment"), i, F.lit(LEAST_PREFIX))))
-    there = text_segments(lines).filter(F.length("segment") >= LEAST_PREFIX).select(*KEYS, "segment", F.explode(grams).alias("gram"))
-    traced = asked.join(there, [*KEYS, "gram"]).filter(F.contains("segment", "prefix")).select(*KEYS, "prefix").distinct()
-    return wanted.join(traced, [*KEYS, "prefix"], "left_anti").select(*KEYS, "code", "description")
+    asked = likeness.written(wanted.select(*KEYS, "prefix").distinct(), "beginnings")
+    heads = asked.select(F.substring("prefix", 1, LEAST_PREFIX).alias("gram"), F.length("prefix").alias("n")).distinct()
+    heads = likeness.written(heads.groupBy("gram").agg(F.collect_set("n").alias("lengths")), "heads")
+    windows = F.transform(F.sequence(F.lit(1), F.length("segment") - LEAST_PREFIX + 1), lambda i: F.substring(F.col("segment"), i, F.lit(PREFIX)))
+    there = text_segments(lines).filter(F.length("segment") >= LEAST_PREFIX).select(*KEYS, F.explode(windows).alias("window"))
+    there = there.withColumn("gram", F.substring("window", 1, LEAST_PREFIX)).join(heads, "gram").select(*KEYS, "window", F.explode("lengths").alias("n"))
+    traced = there.filter(F.length("window") >= F.col("n")).select(*KEYS, F.expr("substring(window, 1, n)").alias("prefix")).distinct()
+    return wanted.join(asked.join(traced, [*KEYS, "prefix"], "left_semi"), [*KEYS, "prefix"], "left_anti").select(*KEYS, "code", "description")
 
 
 def report_closure(account_month: DataFrame, expense: DataFrame, tolerance: float = 0.011) -> DataFrame:
