@@ -128,6 +128,12 @@ def status(statements: DataFrame, settings: DataFrame, stable: DataFrame) -> Dat
     return rows.select(*KEYS, F.inline(F.array(*each)))
 
 
+def in_force(rows: DataFrame, rule: str, applied: DataFrame, settings: DataFrame) -> DataFrame:
+    """The rows within the building's limits of a rule, of the statements where it applies."""
+    kept = rows.join(settings, "condo_id", "left").filter(F.coalesce(RULES[rule][2](), F.lit(False))).drop("settings")
+    return kept.join(applied.filter(F.col("applied") & (F.col("rule") == rule)).select(*KEYS), KEYS, "left_semi")
+
+
 def configured_findings(found: dict[str, DataFrame], applied: DataFrame, settings: DataFrame) -> DataFrame:
     """The findings of all rules (``found``: rule -> rows with condo_id, month, type, subject, amount and what its limits ask for) of
     the statements where the rule applies, within the building's limits, numbered per building and month by rule, subject, amount."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tally.operators import audits, checks, configured, history, identified, rules
-from tally.plans.catalog_named import accounts, entries, written_entries
+from tally.plans.catalog_named import accounts, written_entries
 from tally.sources import configs, ledger, named
-from tally.sources.stored import stored
+from tally.sources.stored import at_hand, stored
 
 expense, income, account_month, statements = stored(ledger.expense), stored(ledger.income), stored(ledger.account_month), stored(named.statements)
 
@@ -25,13 +25,19 @@ def settings(spark, sf_dir):
 
 @stored
 def applied(spark, sf_dir):
-    return configured.status(statements(spark, sf_dir), settings(spark, sf_dir), identified.stable_months(entries(spark, sf_dir), 0.05))
+    return configured.status(statements(spark, sf_dir), settings(spark, sf_dir), identified.stable_months(at_hand(written_entries, spark, sf_dir), 0.05))
 
 
 def found(spark, sf_dir) -> dict:
-    """Rule -> its findings by the lowest limits that a building has, with what the limits ask for."""
+    """Rule -> its findings by the lowest limits that a building has, with what the limits ask for.
+
+    G1 costs most for each entry that it asks about: only those of statements where it applies, within the building's limit, are asked about.
+    """
+    # what is written first serves the tables after it
     e, n, i, a, r, s = (t(spark, sf_dir) for t in (expense, written_entries, income, account_month, accounts, statements))
 
+    asked = configured.in_force(identified.of_new_vendor(n, 3000).select("condo_id", "month", "no", "code", "key", "words", "amount"), "G1", applied(spark, sf_dir), settings(spark, sf_dir))
+
     def rows(df, kind, subject, amount, *more):
         return df.select("condo_id", "month", F.lit(kind).alias("type"), F.col(subject).cast("string").alias("subject"), F.expr(amount).alias("amount"), *more)
 
@@ -52,7 +58,7 @@ def found(spark, sf_dir) -> dict:
         "R16": rows(identified.switched_category(n), "switched_category", "category", "total"),
         "R17": rows(identified.new_category_of_renamed(n), "new_category", "category", "total"),
         "R20": rows(audits.late_by_business_days(e), "late", "code", "days", "days"),
-        "G1": rows(identified.new_vendors(n), "new_vendor", "code", "amount"),
+        "G1": rows(identified.new_among(asked, n, 2), "new_vendor", "code", "amount"),
         "G7": rows(identified.reversals(n), "reversal", "code", "amount"),
         "G8": rows(identified.duplicates_with_invoice(n), "duplicate_invoice", "description", "amount"),
         "G10": rows(identified.deficit_without_transfers(r, n, i).filter("is_deficit"), "deficit", "account", "deficit"),
