@@ -9,7 +9,7 @@ from tally.operators import review_layer as op
 from tally.plans.catalog_matching import attachments
 from tally.sources import ledger, named, readers
 from tally.sources.ledger import month_no
-from tally.sources.stored import stored
+from tally.sources.stored import at_hand, stored
 
 KEYS, ID = ["condo_id", "month"], ["condo_id", "month", "type", "subject"]
 
@@ -22,13 +22,24 @@ def every():
 account_month = stored(ledger.account_month)
 
 
+@stored
+def amounts(spark, sf_dir):
+    """What the findings ask of expenses, so that these are joined once for all of them."""
+    return at_hand(ledger.expense, spark, sf_dir).select(*KEYS, "account", "code", "amount")
+
+
+@stored
+def book(spark, sf_dir):
+    return ledger.balances(ledger.income(spark, sf_dir), amounts(spark, sf_dir))
+
+
 @stored
 def findings(spark, sf_dir):
     """Findings on income, continuity and duplicates, one for each subject."""
     parts = [
         rules.finding(rules.negative_income(ledger.income(spark, sf_dir)), "negative_income", "R1", F.col("description"), F.col("total")),
-        rules.finding(rules.balance_continuity(account_month(spark, sf_dir)), "balance_continuity", "R9", F.col("account"), F.col("gap")),
-        rules.finding(checks.duplicate_codes(ledger.expense(spark, sf_dir)), "duplicate", "A7", F.col("code"), F.col("amount")),
+        rules.finding(rules.balance_continuity(book(spark, sf_dir)), "balance_continuity", "R9", F.col("account"), F.col("gap")),
+        rules.finding(checks.duplicate_codes(amounts(spark, sf_dir)), "duplicate", "A7", F.col("code"), F.col("amount")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
