@@ -78,6 +78,16 @@ def test_many_items_of_few_amounts(spark):
     assert {float(r["target"]): (r["items"], r["used"], r["codes"]) for r in got} == {57.0: (600, 3, "009,019,029"), 40.0: (600, 3, "000,001,009")} and most < 20_000
 
 
+def test_half_sums_that_reach_no_target(spark):
+    # 300 amounts, 45,150 pairs of them; a target near the least sum lets few of them begin a subset
+    items = spark.createDataFrame([(1, 1000 + i, str(i), (i * i * 7919 % 1_000_003 + 1000) / 100) for i in range(300)], "k int, ord long, code string, amount double").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    four = sorted((a, c) for _, _, c, a in items.collect())[1:5]
+    targets = spark.createDataFrame([(1, sum(a for a, _ in four))], "k int, target decimal(18,2)")
+    found, most = most_rows(spark, lambda: matching.subset_sums(items, targets, 4, 0, ("k",)))
+    assert found[0]["used"] == 4 and set(found[0]["codes"].split(",")) == {c for _, c in four}
+    assert most < 2_000
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
