@@ -95,13 +95,11 @@ def block_totals(cells: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """Declared totals of accounts (``sub`` null) and sub-accounts against the sum of their entries."""
     rows = block_rows(cells)
     key = ["condo_id", "month", "block", "account", "sub"]
-    declared = rows.filter("is_total").groupBy(*key).agg(F.sum("amount").alias("declared"))
-    entries = rows.filter("not is_total")
-    whole = entries.withColumn("sub", F.lit(None).cast("string"))
-    items = entries.filter("sub is not null").unionByName(whole).groupBy(*key).agg(F.sum("amount").alias("items"))
-    same = [declared[c].eqNullSafe(items[c]) for c in key]
-    joined = declared.join(items, [*same], "left").select(*(declared[c] for c in key), F.coalesce("items", F.lit(0).cast("decimal(28,2)")).alias("items"), "declared")
-    return joined.withColumn("closes", F.abs(F.col("items") - F.col("declared")) <= tolerance)
+    # an entry counts for its sub-account and for its account: the sheets are read once
+    null, is_entry = F.lit(None).cast("string"), ~F.col("is_total")
+    each = rows.withColumn("sub", F.explode(F.when(is_entry & F.col("sub").isNotNull(), F.array("sub", null)).otherwise(F.array(F.when(F.col("is_total"), F.col("sub"))))))
+    sums = each.groupBy(*key).agg(F.coalesce(F.sum(F.when(is_entry, F.col("amount"))), F.lit(0).cast("decimal(28,2)")).alias("items"), F.sum(F.when(F.col("is_total"), F.col("amount"))).alias("declared"))
+    return sums.filter("declared is not null").withColumn("closes", F.abs(F.col("items") - F.col("declared")) <= tolerance)
 
 
 def drop_repeated_blocks(rows: DataFrame) -> DataFrame:
