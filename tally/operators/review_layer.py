@@ -118,16 +118,21 @@ def untraced_facts(findings: DataFrame, expense: DataFrame, account_month: DataF
 
 
 #: Letters and digits of a description that a fact is traced by, at least and at most, and the length of a text's segments.
-LEAST_PREFIX, PREFIX, SEGMENT = 8, 25, 512
+LEAST_PREFIX, PREFIX, SEGMENT = 8, 25, 64
 
 
 def text_segments(lines: DataFrame) -> DataFrame:
-    """(condo_id, month, segment): the letters and digits of a month's lines (ord, line) in one row, cut into overlapping segments, so
-    that a description that goes over the end of a line is found."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", account_key(F.col("line")).alias("key"))))
-    whole = lines.groupBy(*KEYS).agg(F.array_join(F.transform(ordered, lambda x: x["key"]), "").alias("text"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(SEGMENT))
-    return whole.select(*KEYS, F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(SEGMENT + PREFIX - 1)))).alias("segment"))
+    """(condo_id, month, segment, own): the letters and digits of a month's lines (ord, line), cut into segments that go on with what
+    follows their ``own`` letters, so that a description that goes over the end of a line is found.
+
+    A line takes what follows from the lines behind it, each of which has a letter at least: no row holds a month's text.
+    """
+    rows = lines.select(*KEYS, "ord", account_key(F.col("line")).alias("key")).filter("key <> ''")
+    behind = W.partitionBy(*KEYS).orderBy("ord", "key").rowsBetween(1, PREFIX - 1)
+    rest = F.array_join(F.collect_list(F.substring("key", 1, PREFIX - 1)).over(behind), "")
+    text = rows.withColumn("text", F.concat("key", F.substring(rest, 1, PREFIX - 1)))
+    cut = lambda i: F.struct(F.substring(F.col("text"), i, F.lit(SEGMENT + PREFIX - 1)).alias("segment"), F.least(F.lit(SEGMENT), F.length("key") - i + 1).alias("own"))
+    return text.select(*KEYS, F.inline(F.transform(F.sequence(F.lit(1), F.length("key"), F.lit(SEGMENT)), cut)))
 
 
 def untraced_descriptions(cited: DataFrame, lines: DataFrame) -> DataFrame:
@@ -141,7 +146,7 @@ def untraced_descriptions(cited: DataFrame, lines: DataFrame) -> DataFrame:
     asked = likeness.written(wanted.select(*KEYS, "prefix").distinct(), "beginnings")
     heads = asked.select(F.substring("prefix", 1, LEAST_PREFIX).alias("gram"), F.length("prefix").alias("n")).distinct()
     heads = likeness.written(heads.groupBy("gram").agg(F.collect_set("n").alias("lengths")), "heads")
-    windows = F.transform(F.sequence(F.lit(1), F.length("segment") - LEAST_PREFIX + 1), lambda i: F.substring(F.col("segment"), i, F.lit(PREFIX)))
+    windows = F.transform(F.sequence(F.lit(1), F.least("own", F.length("segment") - LEAST_PREFIX + 1)), lambda i: F.substring(F.col("segment"), i, F.lit(PREFIX)))
     there = text_segments(lines).filter(F.length("segment") >= LEAST_PREFIX).select(*KEYS, F.explode(windows).alias("window"))
     there = there.withColumn("gram", F.substring("window", 1, LEAST_PREFIX)).join(heads, "gram").select(*KEYS, "window", F.explode("lengths").alias("n"))
     traced = there.filter(F.length("window") >= F.col("n")).select(*KEYS, F.expr("substring(window, 1, n)").alias("prefix")).distinct()
