@@ -128,9 +128,12 @@ def text_segments(lines: DataFrame) -> DataFrame:
     A line takes what follows from the lines behind it, each of which has a letter at least: no row holds a month's text.
     """
     rows = lines.select(*KEYS, "ord", account_key(F.col("line")).alias("key")).filter("key <> ''")
-    behind = W.partitionBy(*KEYS).orderBy("ord", "key").rowsBetween(1, PREFIX - 1)
-    rest = F.array_join(F.collect_list(F.substring("key", 1, PREFIX - 1)).over(behind), "")
-    text = rows.withColumn("text", F.concat("key", F.substring(rest, 1, PREFIX - 1)))
+    order, told = W.partitionBy(*KEYS).orderBy("ord", "key"), PREFIX - 1
+    rows, reach = rows.withColumn("begun", F.substring("key", 1, told)), 1
+    while reach < told:  # what is told from a line on, by twice as many lines in each turn
+        rows = rows.withColumn("begun", F.substring(F.concat("begun", F.lead("begun", reach, "").over(order)), 1, told))
+        reach *= 2
+    text = rows.withColumn("text", F.concat("key", F.lead("begun", 1, "").over(order)))
     cut = lambda i: F.struct(F.substring(F.col("text"), i, F.lit(SEGMENT + PREFIX - 1)).alias("segment"), F.least(F.lit(SEGMENT), F.length("key") - i + 1).alias("own"))
     return text.select(*KEYS, F.inline(F.transform(F.sequence(F.lit(1), F.length("key"), F.lit(SEGMENT)), cut)))
 
